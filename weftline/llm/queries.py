@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat, merkle
+from weftline.llm import chat, merkle, packing, tokens
 
 QUERIES = {
+    "op5_token_counts": tokens.op5_token_counts,
     "op6_document_fingerprints": merkle.op6_document_fingerprints,
     "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_packing": packing.op9_packing,
+    "op10_bpe_round_trip": tokens.op10_bpe_round_trip,
 }
 SQL = {
     "op6_document_fingerprints": merkle.OP6_SQL,
