@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat, merkle, packing, tokens
+from weftline.llm import chat, merkle, packing, quality, tokens
 
 QUERIES = {
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_document_fingerprints": merkle.op6_document_fingerprints,
     "op8_chat_formatting": chat.op8_chat_formatting,
