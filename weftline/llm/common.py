@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: UTF-8 bytes of text that one step of a Python operator holds at a time; a longer text makes a step of its own.
@@ -21,7 +22,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTE
         col = batch.column(column)
         if batch.num_rows == 0:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         begin, held = 0, 0
         for i, n in enumerate(lengths):
             if held and held + n > limit:

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,7 +155,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def run(batches):
         for b in steps(batches, "text"):
-            texts = [t or b"" for t in pa.compute.cast(b.column("text"), pa.binary()).to_pylist()]
+            texts = [t or b"" for t in pc.cast(b.column("text"), pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.score(texts), pa.float64())], [*names, "quality_score"])
 
     from pyspark.sql import types as T
