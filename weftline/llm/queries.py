@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat, merkle, packing, quality, tokens
+from weftline.llm import chat, merkle, minhash, packing, quality, tokens
 
 QUERIES = {
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_document_fingerprints": merkle.op6_document_fingerprints,
+    "op7_minhash_near_dedup": minhash.op7_minhash_near_dedup,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_packing": packing.op9_packing,
     "op10_bpe_round_trip": tokens.op10_bpe_round_trip,
