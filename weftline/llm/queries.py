@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat, merkle, minhash, packing, quality, tokens
+from weftline.llm import chat, hilbert, merkle, minhash, packing, privacy, quality, tokens
 
 QUERIES = {
+    "op2_personal_data": privacy.op2_personal_data,
     "op3_quality_classifier": quality.op3_quality_classifier,
+    "op4_nearest_neighbours": hilbert.op4_nearest_neighbours,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_document_fingerprints": merkle.op6_document_fingerprints,
     "op7_minhash_near_dedup": minhash.op7_minhash_near_dedup,
