@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat, hilbert, merkle, minhash, packing, privacy, quality, tokens
+from weftline.llm import chat, hilbert, merkle, minhash, packing, privacy, quality, repeats, tokens
 
 QUERIES = {
+    "op1_suffix_array_dedup": repeats.op1_suffix_array_dedup,
     "op2_personal_data": privacy.op2_personal_data,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_nearest_neighbours": hilbert.op4_nearest_neighbours,
