@@ -1,6 +1,8 @@
-"""All queries over the reference operators by name, and the SQL that states the same result."""
+"""All queries over the library's operators by name, and the SQL that states the same result."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from weftline.plans import corpus, rollouts  # noqa: F401  they register their queries
+from weftline.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
