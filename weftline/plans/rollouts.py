@@ -23,7 +23,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _advantage(column) -> DataFrame:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return scored(spark, sf_dir).select(*KEY, F.round(column, 6).alias("advantage"))
+        return scored(spark, sf_dir).select(*KEY, F.round(column(), 6).alias("advantage"))
 
     return run
 
@@ -35,13 +35,13 @@ def _register(name: str, column, expression: str) -> None:
 
 
 E_ = groupstats.ESTIMATORS
-_register("grpo_advantage", E_["grpo"]("l_orderkey", "score"), "CASE WHEN n = 1 THEN s / (1 + 1e-6) ELSE (s - m) / (sd + 1e-6) END")
-_register("grpo_no_std", groupstats.grpo("l_orderkey", "score", scale=False), "CASE WHEN n = 1 THEN s ELSE s - m END")
-_register("grpo_floored_advantage", E_["grpo_vectorized"]("l_orderkey", "score"), "CASE WHEN n = 1 THEN s ELSE (s - m) / (sqrt(greatest(sd * sd, 1e-6)) + 1e-6) END")
-_register("rloo_advantage", E_["rloo"]("l_orderkey", "score"), "CASE WHEN n = 1 THEN s ELSE s - (t - s) / (n - 1) END")
-_register("rloo_vectorized_advantage", E_["rloo_vectorized"]("l_orderkey", "score"), "CASE WHEN n = 1 THEN 0 ELSE s - (t - s) / (n - 1) END")
-_register("opo_advantage", E_["opo"]("l_orderkey", "score", "length"), "s - CASE WHEN n = 1 THEN 0 ELSE lt / ln END")
-_register("rpp_baseline_raw", E_["baseline"]("l_orderkey", "score"), "CASE WHEN n = 1 THEN s ELSE s - m END")
+_register("grpo_advantage", lambda: E_["grpo"]("l_orderkey", "score"), "CASE WHEN n = 1 THEN s / (1 + 1e-6) ELSE (s - m) / (sd + 1e-6) END")
+_register("grpo_no_std", lambda: groupstats.grpo("l_orderkey", "score", scale=False), "CASE WHEN n = 1 THEN s ELSE s - m END")
+_register("grpo_floored_advantage", lambda: E_["grpo_vectorized"]("l_orderkey", "score"), "CASE WHEN n = 1 THEN s ELSE (s - m) / (sqrt(greatest(sd * sd, 1e-6)) + 1e-6) END")
+_register("rloo_advantage", lambda: E_["rloo"]("l_orderkey", "score"), "CASE WHEN n = 1 THEN s ELSE s - (t - s) / (n - 1) END")
+_register("rloo_vectorized_advantage", lambda: E_["rloo_vectorized"]("l_orderkey", "score"), "CASE WHEN n = 1 THEN 0 ELSE s - (t - s) / (n - 1) END")
+_register("opo_advantage", lambda: E_["opo"]("l_orderkey", "score", "length"), "s - CASE WHEN n = 1 THEN 0 ELSE lt / ln END")
+_register("rpp_baseline_raw", lambda: E_["baseline"]("l_orderkey", "score"), "CASE WHEN n = 1 THEN s ELSE s - m END")
 
 
 @query(
