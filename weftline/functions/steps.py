@@ -74,10 +74,13 @@ def unfenced(text: Column) -> Column:
     return F.trim(F.when(found != "", found).otherwise(text))
 
 
-@F.pandas_udf("double")
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two strings, 0 if one is null."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
+def similarity(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp ratio of two strings, 0 if one is null; by Arrow batches."""
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() if p is not None and q is not None else 0.0 for p, q in zip(x, y, strict=True)], dtype=float)
+
+    return F.pandas_udf(run, "double")(a, b)
 
 
 _OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Pow: operator.pow}
@@ -115,9 +118,13 @@ def consistent(equation: str | None) -> bool | None:
     return all(abs(x - sides[0]) <= 1e-6 for x in sides[1:])
 
 
-@F.pandas_udf("boolean")
-def equation_holds(equations: pd.Series) -> pd.Series:
-    return pd.Series([consistent(e) for e in equations], dtype="object")
+def equation_holds(equation: Column) -> Column:
+    """``consistent`` of a column, by Arrow batches."""
+
+    def run(equations: pd.Series) -> pd.Series:
+        return pd.Series([consistent(e) for e in equations], dtype="object")
+
+    return F.pandas_udf(run, "boolean")(equation)
 
 
 def assignments(text: Column) -> Column:
