@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import corpus, measures, prepared, rollouts  # noqa: F401  they register their queries
+from weftline.plans import corpus, loops, measures, prepared, rollouts  # noqa: F401  they register their queries
 from weftline.plans.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
