@@ -10,6 +10,7 @@ import math
 import re
 import tokenize
 from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -163,6 +164,7 @@ METRICS = (
 )
 
 
+@lru_cache(maxsize=4096)
 def measure(source: str | None) -> tuple:
     """All metrics of one source; one that has no syntax gets a complexity of 999 and zeros."""
     text = source or ""
@@ -240,6 +242,13 @@ def signatures(tree: ast.AST) -> dict[str, tuple]:
 COMPARISON = "edit_distance double, syntax_match double, syntax_overlap double, flow_overlap double, same_signatures boolean, passes boolean"
 
 
+def acceptable(before: str, after: str) -> bool:
+    """Whether a rewrite has syntax, is safe and keeps the functions of its source."""
+    a, b = parse(before), parse(after)
+    return a is not None and b is not None and signatures(a).items() <= signatures(b).items() and safe(b)
+
+
+@lru_cache(maxsize=4096)
 def compare(before: str | None, after: str | None) -> tuple:
     """How alike two sources are; passes: the second has syntax, is safe and keeps the functions of the first."""
     a, b = parse(before), parse(after)

@@ -114,7 +114,7 @@ def rewrite_code(df: DataFrame, key: str, code: str, rewrite: Callable = mock_re
                     for s in strategies:
                         new = rewrite(now, s)
                         a, b = codemetrics.measure(now), codemetrics.measure(new)
-                        passes = codemetrics.compare(now, new)[5]
+                        passes = codemetrics.acceptable(now, new)
                         before, after = (a[2], b[2]) if s == "style" else (a[3], b[3])
                         ok = passes and new != now and after - before >= 0.01
                         rows.append((record, r, s, before, after, passes, new != now, ok))

@@ -161,12 +161,12 @@ def gae_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH RECURSIVE {_SEQ}, g AS (
  SELECT user_id, event_id, k, r AS ret, CASE WHEN mask THEN r ELSE 0 END AS run FROM o WHERE k = 1
- UNION ALL SELECT o.user_id, o.event_id, o.k, o.r + 0.9173 * g.run, CASE WHEN o.mask THEN o.r + 0.9173 * g.run ELSE 0 END FROM g JOIN o ON o.user_id = g.user_id AND o.k = g.k + 1)
-SELECT event_id, round(ret, 4) AS returns FROM g"""
+ UNION ALL SELECT o.user_id, o.event_id, o.k, o.r + 0.91734563 * g.run, CASE WHEN o.mask THEN o.r + 0.91734563 * g.run ELSE 0 END FROM g JOIN o ON o.user_id = g.user_id AND o.k = g.k + 1)
+SELECT event_id, round(ret, 6) AS returns FROM g"""
 )
 def discounted_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _arrays(spark, sf_dir).withColumn("a", groupstats.discounted(F.col("r"), F.col("m"), 0.9173))
-    return a.select(F.explode(F.arrays_zip("ids", "a")).alias("x")).select(F.col("x.ids").alias("event_id"), F.round("x.a", 4).alias("returns"))
+    a = _arrays(spark, sf_dir).withColumn("a", groupstats.discounted(F.col("r"), F.col("m"), 0.91734563))
+    return a.select(F.explode(F.arrays_zip("ids", "a")).alias("x")).select(F.col("x.ids").alias("event_id"), F.round("x.a", 6).alias("returns"))
 
 
 _K3 = "greatest(least(exp(greatest(least(old - new, 20), -20)) - greatest(least(old - new, 20), -20) - 1, 10), -10)"
@@ -229,9 +229,9 @@ def kl_cov_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.round(-F.col("adv") * F.exp(F.col("new") - F.col("old")) + F.when(F.col("top") == 1, F.abs(F.col("new") - F.col("old"))).otherwise(0.0), 6).alias("loss"))
 
 
-@query(f"WITH {TOKENS} SELECT event_id, round(0.5 * greatest((new - r) * (new - r), (greatest(least(new, old + 0.05), old - 0.05) - r) * (greatest(least(new, old + 0.05), old - 0.05) - r)), 4) AS loss FROM tok")
+@query(f"WITH {TOKENS} SELECT event_id, round(0.5 * greatest((new - r) * (new - r), (greatest(least(new, old + 0.05), old - 0.05) - r) * (greatest(least(new, old + 0.05), old - 0.05) - r)), 10) AS loss FROM tok")
 def value_loss_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens(spark, sf_dir).select("event_id", F.round(policy.value_loss(F.col("new"), F.col("old"), F.col("r"), 0.05), 4).alias("loss"))
+    return tokens(spark, sf_dir).select("event_id", F.round(policy.value_loss(F.col("new"), F.col("old"), F.col("r"), 0.05), 10).alias("loss"))
 
 
 _SUM = "sum(CASE WHEN mask THEN old - rollout ELSE 0 END) OVER (PARTITION BY user_id)"
