@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that one step of a Python operator holds at a time; a longer text makes a step of its own.
 STEP_BYTES = 4 << 20
@@ -32,9 +33,20 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTE
         yield batch.slice(begin)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a plan's size, from the sizes of its files: it sets numbers of buckets, nothing else."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: Beyond this an estimate means that Catalyst does not know (it then multiplies a default).
+UNKNOWN_BYTES = 1 << 50
+
+
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """About the bytes of a plan: Catalyst's estimate from the sizes of files, or else the lengths of the texts, counted
+    over all rows. It sets numbers of groups, nothing else."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < UNKNOWN_BYTES else int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
+
+
+def gathered(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
+    """``df`` in no more tasks than its rows need: small results then shuffle and write few files. No limit on rows."""
+    return df.coalesce(max(1, -(-rows // per_task)))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -144,17 +144,19 @@ def revealing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
 
     Counted are texts: an entity's information is log2(texts / texts with it), the pair's is
     log2(texts with both near each other * texts / (texts with the entity * texts with the term)). Equal texts with
-    entities count once, so copies of one text do not make its words revealing; pairs need MIN_TEXTS such texts.
+    the entity count once, for the term too, so copies of one text do not make its words revealing; pairs need
+    MIN_TEXTS such texts.
     """
-    near = scanned.where(F.size("contexts") > 0).select("digest", F.explode("contexts").alias("c")).select("digest", "c.entity", "c.term").distinct()
-    both = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_TEXTS)
+    seen = scanned.where(F.size("contexts") > 0).select("doc_id", "digest", F.explode("contexts").alias("c"))
+    near = seen.select("doc_id", "digest", "c.entity", "c.term", "c.start").groupBy("entity", "term", "digest").agg(F.count("*").alias("places"), F.count_distinct("start").alias("each")).withColumn("rows", F.col("places") / F.col("each"))
+    both = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.sum("rows").alias("n_rows")).where(F.col("n_both") >= MIN_TEXTS)
     both = checkpointed(both)
     alone = near.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     texts = scanned.count()
     term = term_frequencies(docs, both.select("term").distinct())
     joined = both.join(alone, "entity").join(term, "term")
     information = F.log2(F.lit(float(texts)) / F.col("n_entity"))
-    mutual = F.log2(F.col("n_both") * F.lit(float(texts)) / (F.col("n_entity") * F.greatest("n_term", "n_both")))
+    mutual = F.log2(F.col("n_both") * F.lit(float(texts)) / (F.col("n_entity") * F.greatest(F.col("n_term") - (F.col("n_rows") - F.col("n_both")), F.col("n_both"))))
     return joined.where((information > 0) & (mutual >= DISCLOSURE * information)).select("entity", "term")
 
 

@@ -18,7 +18,7 @@ BUCKETS = 1 << 17
 DIMENSIONS = 16
 GRAMS = (2, 3, 4)
 #: Updates (documents seen) that training makes at least, and passes at most.
-UPDATES, PASSES = 12_000, 40
+UPDATES, PASSES = 12_000, 150
 RATE = 0.3
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
