@@ -22,8 +22,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest doc_id. Rows with a null id stay if their text
-    has no class of its own; of rows that repeat a kept doc_id all stay."""
+    """Of each class of near duplicates the document with the smallest doc_id. Rows with a null id all stay, as do
+    all rows that repeat a kept doc_id."""
     classes = minhash.near_duplicates(docs)
     kept = classes.where("doc_id = class_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -213,10 +213,11 @@ def test_base_spans_against_the_patterns():
 def test_terms_that_reveal_an_entity_go(spark):
     filler = [(i, f"plain words number {i} with the usual text") for i in range(100, 160)]
     known = [(i, f"the zorblat office {i} answers at jo@x.org today") for i in range(5)]
-    odd = [(200, None), (201, ""), (202, "zorblat alone stays"), (None, "call +1 (555) 123-4567 now"), (5, known[4][1]), (5, known[4][1])]
+    odd = [(200, None), (201, ""), (202, "zorblat alone stays"), (None, "call +1 (555) 123-4567 now"), (5, known[4][1]), (5, known[4][1]), (300, "mail a@b.co please"), (300, "no address here"), (300, "1.2.3.4")]
     df = spark.createDataFrame(known + filler + odd, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long")).withColumn("spans", F.lit("x"))
     got = {(r.doc_id, r.text) for r in privacy.sanitise(df).collect()}
     texts = {i: t for i, t in got}
+    assert {t for i, t in got if i == 300} == {"mail [EMAIL] please", "no address here", "[IP]"}
     assert texts[0] == "the   0  at [EMAIL] today" or "zorblat" not in texts[0]
     assert "[EMAIL]" in texts[0]
     assert "the" in texts[0].split()

@@ -95,7 +95,7 @@ def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, st
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, digest, spans (kind, start, end), contexts (entity, term, start, end) of each row."""
-    schema = "doc_id long, digest binary, spans array<struct<kind:string,start:int,stop:int>>, contexts array<struct<entity:string,term:string,start:int,stop:int>>"
+    schema = "doc_id long, digest string, spans array<struct<kind:string,start:int,stop:int>>, contexts array<struct<entity:string,term:string,start:int,stop:int>>"
 
     def run(batches):
         kinds = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
@@ -105,10 +105,10 @@ def scan(docs: DataFrame) -> DataFrame:
             for t in b.column("text").to_pylist():
                 t = t or ""
                 own = base_spans(t)
-                digests.append(hashlib.blake2b(t.encode("utf-8"), digest_size=16).digest())
+                digests.append(hashlib.sha256(t.encode("utf-8")).hexdigest())
                 spans.append([{"kind": k, "start": s, "stop": e} for k, s, e in own])
                 ctx.append([{"entity": n, "term": w, "start": s, "stop": e} for n, w, s, e in contexts(t, own)] if own else [])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(spans, pa.list_(kinds)), pa.array(ctx, pa.list_(near))], ["doc_id", "digest", "spans", "contexts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests, pa.string()), pa.array(spans, pa.list_(kinds)), pa.array(ctx, pa.list_(near))], ["doc_id", "digest", "spans", "contexts"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -198,7 +198,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
                 texts.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in kept], kept)
 
-    joined = docs.join(spans.withColumnsRenamed({"spans": "__spans", "extra": "__extra", "d": "__d", "g": "__g"}), docs["doc_id"].eqNullSafe(F.col("__d")), "left")
+    spans = spans.withColumnsRenamed({"spans": "__spans", "extra": "__extra", "d": "__d", "g": "__g"})
+    keyed = docs.withColumn("__digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__digest") == F.col("__g")), "left")
     touched = joined.where("__spans is not null").select(*kept, "__spans", "__extra").mapInArrow(run, schema)
     if "n_chars" in kept:
         touched = touched.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
