@@ -136,11 +136,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityM
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "quality")
     chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by ``rows``
-    got: dict[int, tuple[str, int]] = {}
-    for r in found.toLocalIterator(prefetchPartitions=True):
-        got[r.doc_id] = min(got.get(r.doc_id, (r.text, r.quality)), (r.text, r.quality))
-    ids = sorted(got)
-    return train([got[i][0].encode("utf-8") for i in ids], [int(got[i][1]) for i in ids])
+
+    def run(batches):
+        got: dict[int, tuple[str, int]] = {}
+        for b in batches:
+            for doc, text, label in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "quality")), strict=True):
+                got[doc] = min(got.get(doc, (text, label)), (text, label))
+        ids = sorted(got)
+        model = train([got[i][0].encode("utf-8") for i in ids], [int(got[i][1]) for i in ids])
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weights", "bias"])
+
+    # the bounded sample is trained on in one task, so that the driver holds no texts, only the model
+    row = found.select("doc_id", "text", "quality").repartition(1).mapInArrow(run, "weights binary, bias double").first()
+    return train([], []) if row is None else QualityModel(np.frombuffer(row.weights, dtype=np.float32), row.bias)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
