@@ -183,6 +183,35 @@ def test_near_duplicates_against_brute_force(spark):
     assert minhash.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 1 << 17])
+def test_pairs_inside_a_template_family_are_found(spark, monkeypatch, block):
+    """Many classes of one template meet in the same buckets, where pairs at 0.8 are led by neither of the two."""
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", block, raising=False)
+    rng = random.Random(1)
+    base = [f"t{i}" for i in range(1000)]
+
+    def edited(words, n):
+        out = list(words)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = f"e{rng.randrange(10**9)}"
+        return out
+
+    family = [edited(base, 14) for _ in range(200)]
+    for _ in range(60):
+        family.append(edited(base, 16))
+        family.append(edited(family[-1], 19))
+    rows = [(i, " ".join(w)) for i, w in enumerate(family)]
+    sets = [set(grams(t)) for _, t in rows]
+    edges = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    want = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    assert len(set(want.values())) > 40
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(50, 49), (7, 7), (None, 3)], "a long, b long")
     got = {r.id: r.class_id for r in components(edges).collect()}

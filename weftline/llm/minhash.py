@@ -18,8 +18,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 #: A prime, so that every stride visits all registers.
 REGISTERS = 193
-#: Rounds in which a bucket's members of other classes are compared with one more of them.
+#: Rounds in which a bucket's members of other classes are compared with one more of them, before the remaining pairs.
 LEADERS = 3
+#: Members of a bucket up to which its remaining pairs are rows; larger buckets are compared block by block.
+SMALL = 16
+#: About the bytes of shingles in a block.
+BLOCK_BYTES = 1 << 20
 #: Ids that a join sends to all executors at most; beyond, both sides are shuffled.
 BROADCAST_IDS = 2_000_000
 #: Pairs with their shingles that one task compares.
@@ -129,7 +133,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def pack_shingles(docs: DataFrame) -> DataFrame:
-    """doc_id, set: the text's shingles and counts as bytes (8 each, the count as a float)."""
+    """doc_id, n (different shingles), total (their counts), set: shingles and counts as bytes (8 each, the count as a float)."""
 
     def run(batches):
         for b in steps(batches, "text", STEP):
@@ -137,9 +141,10 @@ def pack_shingles(docs: DataFrame) -> DataFrame:
             doc, shingle, weight = shingles(texts)
             cut = np.searchsorted(doc, np.arange(len(texts) + 1))
             sets = [shingle[i:j].tobytes() + (weight[i:j].astype(np.float32).tobytes() if (weight[i:j] != 1).any() else b"") for i, j in zip(cut, cut[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([j - i for i, j in zip(cut.tolist(), cut.tolist()[1:], strict=False)], pa.int32()), pa.array(sets, pa.binary())], ["doc_id", "n", "set"])
+            total = np.bincount(doc, weight, minlength=len(texts))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([j - i for i, j in zip(cut.tolist(), cut.tolist()[1:], strict=False)], pa.int32()), pa.array(total, pa.float64()), pa.array(sets, pa.binary())], ["doc_id", "n", "total", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, set binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, total double, set binary")
 
 
 def unpack(n: int, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -177,15 +182,64 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return gathered(y.select("a", "b", "n_a", "set_a", "n_b", "set_b"), n, SETS_PER_TASK).mapInArrow(run, "a long, b long")
 
 
+def links_of_cell(t: pa.Table, similarity: float) -> pa.Table:
+    """The links (a, b) between different classes of a bucket's blocks i and j, which ``t`` holds with their sets."""
+    ids, classes, n, total, block = (t.column(c).to_numpy() for c in ("id", "class_id", "n", "total", "block"))
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    sets = [unpack(k, x) for k, x in zip(n.tolist(), t.column("set").to_pylist(), strict=True)]
+    code = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True)[1]
+    cut, doc, right = np.r_[0, np.cumsum(n)], np.repeat(np.arange(len(n)), n), block == j
+    code_r, doc_r = code[right[doc]], doc[right[doc]]
+    may_lack = total * (1 - similarity + 1e-6)
+    mark, out = np.zeros(len(code) + 1, dtype=bool), []
+    for x in np.flatnonzero(block == i).tolist():
+        own = code[cut[x] : cut[x + 1]]
+        mark[own] = True
+        common = np.bincount(doc_r[mark[code_r]], minlength=len(n))
+        mark[own] = False
+        near = right & (classes != classes[x]) & (common > 0) & (n[x] - common <= may_lack[x]) & (n - common <= may_lack)
+        if i == j:
+            near[:x] = False
+        out += [(max(ids[x], ids[y]), min(ids[x], ids[y])) for y in np.flatnonzero(near).tolist() if probability_jaccard(sets[x], sets[y]) >= similarity]
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def remaining(met: DataFrame, led: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float, places: int) -> DataFrame:
+    """The links (a, b) of all pairs of different classes that share a bucket and of which neither has led there.
+
+    A leader was compared with all of its bucket that were not of its class. A text with n different shingles that
+    another lacks has a similarity of at most 1 - n / total with it, which excludes pairs before they are compared.
+    Small buckets make their pairs as rows; larger ones are dealt into blocks by the hash of the id, and each two
+    blocks meet in a group of their own, so that a set is sent once for a block and not once for a pair.
+    """
+    few = lambda df: gathered(df, places, 200_000)
+    rest = few(few(met.select("bucket", "id").join(led, ["bucket", "id"], "left_anti")).join(classes, "id"))
+    rest = checkpointed(few(rest.join(sets.select(F.col("doc_id").alias("id"), "n", "total"), "id")))
+    full = few(rest.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("class_id").alias("low"), F.max("class_id").alias("high"))).where("low <> high")
+    rest = checkpointed(few(rest.join(full.select("bucket", "size", F.ceil(F.col("shingles") * 8 / BLOCK_BYTES).cast("int").alias("blocks")), "bucket")))
+
+    small, slack = rest.where(F.col("size") <= SMALL), 1 - similarity + 1e-6
+    side = lambda k: few(small.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "class_id", "n", "total"))))
+    near = (F.col("n_x") - F.col("n_y") <= F.col("total_x") * slack) & (F.col("n_y") - F.col("n_x") <= F.col("total_y") * slack)
+    pairs = side("x").join(side("y"), "bucket").where("class_id_x <> class_id_y and id_x > id_y").where(near)
+    found = checkpointed(verified(checkpointed(few(pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct())), sets, similarity))
+
+    large = rest.where(F.col("size") > SMALL).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    large = large.select("bucket", "id", "class_id", "n", "total", "block", "blocks").join(sets.select(F.col("doc_id").alias("id"), "set"), "id")
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = large.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "class_id", "n", "total", "set")
+    return found.unionByName(checkpointed(cells.groupBy("bucket", "i", "j").applyInArrow(lambda t: links_of_cell(t, similarity), "a long, b long")))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of each row: the smallest doc_id of the texts that it is linked to.
 
     Equal texts are one class and go on as their smallest doc_id. Those of different texts that share a band are
     compared with the bucket's leader, the one of them that meets most others over all bands; then, in LEADERS rounds
-    in all, those that are still in another class with another leader. Pairs are links if their exact probability
-    Jaccard similarity of five-word shingles, weighted by their counts, reaches ``similarity``. So no bucket makes
-    all its pairs; a link between two texts can only be lost if neither is a leader in a common bucket and no chain
-    of links to leaders joins them.
+    in all, those that are still in another class with another leader; at last all pairs of a bucket that are still
+    in different classes with each other. Pairs are links if their exact probability Jaccard similarity of five-word
+    shingles, weighted by their counts, reaches ``similarity``. So every two texts that share a band are compared or
+    already in one class; the leaders join most of a bucket first, so that few buckets make many pairs.
 
     Texts without words (null, empty) are linked only to equal ones, null and empty being equal. A null doc_id has
     the class of its text, null if no row with an id has that text. Repeated rows are all returned; other columns are
@@ -225,6 +279,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         # a class counts as tried in a bucket where one of its members has led
         led = leaders.select("bucket", F.col("b").alias("id")) if led is None else checkpointed(few(led.unionByName(leaders.select("bucket", F.col("b").alias("id")))))
         tried = few(few(led.join(classes, "id")).select("bucket", "class_id").distinct())
+    if n:
+        links = checkpointed(gathered(links.unionByName(remaining(met, led, classes, sets, similarity, places)), n))
+        labelled = components(links)
+        classes = checkpointed(gathered(degree.select("id").join(labelled, "id", "left"), n).select("id", F.coalesce("class_id", "id").alias("class_id")))
     member = gathered(signed, rows).select("doc_id", "digest").join(gathered(same, rows).select("digest", "rep"), "digest", "left")
     return gathered(member, rows).join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"))
 
