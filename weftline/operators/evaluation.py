@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,16 +32,22 @@ def best_worst_expected(df: DataFrame, keys: list[str], uid: str, value: str, n:
 
 def bootstrap(df: DataFrame, uid: str, value: str, n: int, draws: int = 1000, seed: int = 42) -> DataFrame:
     """Per prompt mean and deviation, over ``draws`` resamples of n values with replacement, of their largest and
-    smallest. The seed begins anew for each prompt; values are taken in ascending order, so the result is stable."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(pdf[value].to_numpy(dtype=float))
-        pick = v[np.random.default_rng(seed).integers(0, len(v), size=(draws, n))]
-        hi, lo = pick.max(axis=1), pick.min(axis=1)
-        return pd.DataFrame({uid: [pdf[uid].iloc[0]], "best_mean": [hi.mean()], "best_std": [hi.std()], "worst_mean": [lo.mean()], "worst_std": [lo.std()]})
+    smallest. The seed begins anew for each prompt, so prompts of one size share their draws; values are taken in
+    ascending order, so the result is stable. Prompts come as arrays, many in a batch."""
+
+    def run(batches):
+        drawn = lru_cache(maxsize=64)(lambda size: np.random.default_rng(seed).integers(0, size, size=(draws, n)))
+        for pdf in batches:
+            rows = []
+            for key, values in zip(pdf[uid], pdf["_v"], strict=True):
+                pick = np.sort(np.asarray(values, dtype=float))[drawn(len(values))]
+                hi, lo = pick.max(axis=1), pick.min(axis=1)
+                rows.append((key, hi.mean(), hi.std(), lo.mean(), lo.std()))
+            yield pd.DataFrame(rows, columns=[uid, "best_mean", "best_std", "worst_mean", "worst_std"])
 
     kind = dict(df.dtypes)[uid]
-    return df.select(uid, value).groupBy(uid).applyInPandas(run, f"{uid} {kind}, best_mean double, best_std double, worst_mean double, worst_std double")
+    values = F.collect_list(F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))).alias("_v")
+    return df.groupBy(uid).agg(values).mapInPandas(run, f"{uid} {kind}, best_mean double, best_std double, worst_mean double, worst_std double")
 
 
 def majority(df: DataFrame, uid: str, answer: str, value: str, order: tuple[str, ...]) -> DataFrame:
