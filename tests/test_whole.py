@@ -28,3 +28,11 @@ def test_bootstrap_keeps_prompts_of_nulls(spark):
     got = {None if r.uid is None or r.uid != r.uid else r.uid: r.best_mean for r in evaluation.bootstrap(df, "uid", "v", 4).collect()}
     assert set(got) == {1, 2, None}
     assert got[None] == 3.0
+
+
+def test_expansion_covers_every_event(spark):
+    events = spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "event_type").toPandas()
+    got = QUERIES["expand_with_mock"](spark, DATA).toPandas()
+    assert sorted(got.event_id) == sorted(events.event_id)
+    summary = {r.event_type: r.n for r in QUERIES["expansion_summary"](spark, DATA).collect()}
+    assert summary == events.groupby("event_type").size().to_dict() | {"ALL": len(events)}
