@@ -36,3 +36,8 @@ def test_expansion_covers_every_event(spark):
     assert sorted(got.event_id) == sorted(events.event_id)
     summary = {r.event_type: r.n for r in QUERIES["expansion_summary"](spark, DATA).collect()}
     assert summary == events.groupby("event_type").size().to_dict() | {"ALL": len(events)}
+
+
+def test_feature_search_runs_all_rounds(spark):
+    got = QUERIES["feature_search"](spark, DATA).orderBy("round").collect()
+    assert [(r.round, r.feature) for r in got] == [(i, f"f{i}") for i in range(4)]

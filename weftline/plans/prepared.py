@@ -374,7 +374,7 @@ def describe_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", *_NUMERIC, "l_returnflag")
     df = tabular.encoded(df, "l_returnflag")
-    trace = tabular.search(df, _NUMERIC, "l_returnflag", "l_partkey", rounds=1)
+    trace = tabular.search(df, _NUMERIC, "l_returnflag", "l_partkey")
     return spark.createDataFrame(trace, "round long, feature string, passes boolean, accuracy double, accepted boolean")
 
 
