@@ -11,14 +11,24 @@ from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that one step of a Python operator holds at a time; a longer text makes a step of its own.
 STEP_BYTES = 4 << 20
+#: Rows of a step, however short their texts.
+STEP_ROWS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, longer by underscores if a column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose ``column`` holds about ``limit`` bytes at most, or one row."""
+    """Slices of the batches whose ``column`` holds about ``limit`` bytes at most, or one row, and STEP_ROWS at most."""
     for batch in batches:
         col = batch.column(column)
         if batch.num_rows == 0:
@@ -26,7 +36,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTE
         lengths = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         begin, held = 0, 0
         for i, n in enumerate(lengths):
-            if held and held + n > limit:
+            if held and held + n > limit or i - begin == STEP_ROWS:
                 yield batch.slice(begin, i - begin)
                 begin, held = i, 0
             held += n

@@ -18,12 +18,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 #: A prime, so that every stride visits all registers.
 REGISTERS = 193
-#: Rounds in which a bucket's members of other classes are compared with one more of them, before the remaining pairs.
-LEADERS = 3
-#: Members of a bucket up to which its remaining pairs are rows; larger buckets are compared block by block.
-SMALL = 16
+#: Rounds in which each text is compared with one leader of its buckets, before the remaining pairs are compared.
+ROUNDS = 2
 #: About the bytes of shingles in a block.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 2 << 20
 #: Ids that a join sends to all executors at most; beyond, both sides are shuffled.
 BROADCAST_IDS = 2_000_000
 #: Pairs with their shingles that one task compares.
@@ -33,6 +31,8 @@ STEP = 2 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
+#: Bytes that part words: white space and ASCII punctuation, so that a full stop or a comma does not make another word.
+_BLANK = np.array([b <= 32 or (b < 128 and not chr(b).isalnum()) for b in range(256)])
 _POWERS = np.cumprod(np.r_[np.uint64(1), np.full(4095, 0x100000001B3, dtype=np.uint64)])
 
 
@@ -45,13 +45,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def shingles(texts: list[str], words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, 48-bit shingle, count), each shingle once per document, in ascending order.
 
-    Words are parted by white space of code points up to 32 and lower-cased. A text of fewer words is one shingle of
-    all of them; a text without words has none.
+    Words are lower-cased and parted by white space of code points up to 32 and by ASCII punctuation. A text of fewer
+    words is one shingle of all of them; a text without words has none. At most 65,535 texts at a time.
     """
     raw = [t.lower().encode("utf-8") for t in texts]
     buf = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", dtype=np.uint8)
     doc = np.r_[0, np.repeat(np.arange(len(raw)), np.fromiter((len(t) + 1 for t in raw), dtype=np.int64, count=len(raw)))]
-    blank = buf <= 32
+    blank = _BLANK[buf]
     starts = np.flatnonzero(~blank[1:] & blank[:-1]) + 1
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0)
@@ -183,67 +183,72 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def links_of_cell(t: pa.Table, similarity: float) -> pa.Table:
-    """The links (a, b) between different classes of a bucket's blocks i and j, which ``t`` holds with their sets."""
-    ids, classes, n, total, block = (t.column(c).to_numpy() for c in ("id", "class_id", "n", "total", "block"))
-    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    """The links (a, b) between the texts of ``t`` that are ``asking`` and those that are not, of other classes.
+
+    A text with n different shingles that another lacks has a similarity of at most 1 - n / total with it, which
+    excludes pairs before they are compared.
+    """
+    ids, classes, n, total, asking = (t.column(c).to_numpy(zero_copy_only=False) for c in ("id", "class_id", "n", "total", "asking"))
     sets = [unpack(k, x) for k, x in zip(n.tolist(), t.column("set").to_pylist(), strict=True)]
     code = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True)[1]
-    cut, doc, right = np.r_[0, np.cumsum(n)], np.repeat(np.arange(len(n)), n), block == j
-    code_r, doc_r = code[right[doc]], doc[right[doc]]
+    cut, doc = np.r_[0, np.cumsum(n)], np.repeat(np.arange(len(n)), n)
+    side = ~asking[doc]
+    code_r, doc_r = code[side], doc[side]
     may_lack = total * (1 - similarity + 1e-6)
     mark, out = np.zeros(len(code) + 1, dtype=bool), []
-    for x in np.flatnonzero(block == i).tolist():
+    for x in np.flatnonzero(asking).tolist():
         own = code[cut[x] : cut[x + 1]]
         mark[own] = True
         common = np.bincount(doc_r[mark[code_r]], minlength=len(n))
         mark[own] = False
-        near = right & (classes != classes[x]) & (common > 0) & (n[x] - common <= may_lack[x]) & (n - common <= may_lack)
-        if i == j:
-            near[:x] = False
+        near = ~asking & (classes != classes[x]) & (common > 0) & (n[x] - common <= may_lack[x]) & (n - common <= may_lack)
         out += [(max(ids[x], ids[y]), min(ids[x], ids[y])) for y in np.flatnonzero(near).tolist() if probability_jaccard(sets[x], sets[y]) >= similarity]
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def remaining(met: DataFrame, led: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float, places: int) -> DataFrame:
-    """The links (a, b) of all pairs of different classes that share a bucket and of which neither has led there.
+def remaining(met: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float, places: int) -> DataFrame:
+    """The links (a, b) of all pairs of different classes that share a bucket.
 
-    A leader was compared with all of its bucket that were not of its class. A text with n different shingles that
-    another lacks has a similarity of at most 1 - n / total with it, which excludes pairs before they are compared.
-    Small buckets make their pairs as rows; larger ones are dealt into blocks by the hash of the id, and each two
-    blocks meet in a group of their own, so that a set is sent once for a block and not once for a pair.
+    A bucket's largest class need not be compared with itself, so each pair has a text of the others, which asks.
+    Texts and asking texts of a bucket are dealt into blocks by the hash of the id; a block of each meet in a group
+    of their own, so that a set travels once for a block and not once for a pair. Of buckets that hold the same texts
+    one is compared.
     """
     few = lambda df: gathered(df, places, 200_000)
-    rest = few(few(met.select("bucket", "id").join(led, ["bucket", "id"], "left_anti")).join(classes, "id"))
-    rest = checkpointed(few(rest.join(sets.select(F.col("doc_id").alias("id"), "n", "total"), "id")))
-    full = few(rest.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("class_id").alias("low"), F.max("class_id").alias("high"))).where("low <> high")
-    rest = checkpointed(few(rest.join(full.select("bucket", "size", F.ceil(F.col("shingles") * 8 / BLOCK_BYTES).cast("int").alias("blocks")), "bucket")))
-
-    small, slack = rest.where(F.col("size") <= SMALL), 1 - similarity + 1e-6
-    side = lambda k: few(small.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "class_id", "n", "total"))))
-    near = (F.col("n_x") - F.col("n_y") <= F.col("total_x") * slack) & (F.col("n_y") - F.col("n_x") <= F.col("total_y") * slack)
-    pairs = side("x").join(side("y"), "bucket").where("class_id_x <> class_id_y and id_x > id_y").where(near)
-    found = checkpointed(verified(checkpointed(few(pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct())), sets, similarity))
-
-    large = rest.where(F.col("size") > SMALL).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    large = large.select("bucket", "id", "class_id", "n", "total", "block", "blocks").join(sets.select(F.col("doc_id").alias("id"), "set"), "id")
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = large.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "class_id", "n", "total", "set")
-    return found.unionByName(checkpointed(cells.groupBy("bucket", "i", "j").applyInArrow(lambda t: links_of_cell(t, similarity), "a long, b long")))
+    held = checkpointed(few(few(met.select("bucket", "id")).join(classes, "id")))
+    spread = few(held.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark"), F.min("class_id").alias("low"), F.max("class_id").alias("high")))
+    one = few(spread.where("low <> high").groupBy("size", "mark").agg(F.min("bucket").alias("bucket"))).select("bucket")
+    held = checkpointed(few(few(held.join(one, "bucket")).join(sets.select(F.col("doc_id").alias("id"), "n", "total"), "id")))
+    per_class = few(held.groupBy("bucket", "class_id").agg(F.count("*").alias("texts"), F.sum("n").alias("n")))
+    blocks = lambda n: F.ceil(F.greatest(n, F.lit(1)) * 8 / BLOCK_BYTES).cast("int")
+    full = few(per_class.groupBy("bucket").agg(F.max(F.struct("texts", "class_id", "n")).alias("most"), F.sum("n").alias("n")))
+    full = full.select("bucket", F.col("most.class_id").alias("most"), blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("most.n")).alias("asking_blocks"))
+    held = few(held.join(full, "bucket"))
+    at = lambda count: F.pmod(F.xxhash64("id", F.lit(7)), count).cast("int")
+    every = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
+    texts = F.transform(every("asking_blocks"), lambda j: F.struct(at(F.col("blocks")).alias("i"), j.alias("j"), F.lit(False).alias("asking")))
+    asking = F.transform(every("blocks"), lambda i: F.struct(i.alias("i"), at(F.col("asking_blocks")).alias("j"), F.lit(True).alias("asking")))
+    cell = F.explode(F.when(F.col("class_id") == F.col("most"), texts).otherwise(F.concat(texts, asking)))
+    rows = few(held.select("bucket", "id", "class_id", "n", "total", cell.alias("cell")).select("bucket", "id", "class_id", "n", "total", "cell.*"))
+    rows = rows.join(sets.select(F.col("doc_id").alias("id"), "set"), "id")
+    return checkpointed(rows.groupBy("bucket", "i", "j").applyInArrow(lambda t: links_of_cell(t, similarity), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of each row: the smallest doc_id of the texts that it is linked to.
 
-    Equal texts are one class and go on as their smallest doc_id. Those of different texts that share a band are
-    compared with the bucket's leader, the one of them that meets most others over all bands; then, in LEADERS rounds
-    in all, those that are still in another class with another leader; at last all pairs of a bucket that are still
-    in different classes with each other. Pairs are links if their exact probability Jaccard similarity of five-word
-    shingles, weighted by their counts, reaches ``similarity``. So every two texts that share a band are compared or
-    already in one class; the leaders join most of a bucket first, so that few buckets make many pairs.
+    Equal texts are one class and go on as their smallest doc_id. Of different texts that share a band of the
+    signature, each is compared with one leader: of its buckets' texts that meet most others over all bands, the one
+    of them all that meets most. Those that are in another class than a bucket's leader then are compared with one
+    more, ROUNDS in all; at last all pairs of a bucket that are still in different classes with each other. Pairs are
+    links if their exact probability Jaccard similarity of five-word shingles, weighted by their counts, reaches
+    ``similarity``. So every two texts that share a band are compared or already in one class; leaders join most of a
+    bucket first, so that few pairs remain.
 
     Texts without words (null, empty) are linked only to equal ones, null and empty being equal. A null doc_id has
-    the class of its text, null if no row with an id has that text. Repeated rows are all returned; other columns are
-    ignored; no rows give no rows.
+    the class of its text, null if no row with an id has that text. Repeated rows are all returned; other columns,
+    whatever their names, are ignored; no rows give no rows. A very long text is a step of its own. Ties: of leaders
+    that meet as many, the smallest doc_id leads.
     """
     docs = docs.select("doc_id", "text")
     signed = checkpointed(sign(docs))
@@ -259,33 +264,33 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     met = checkpointed(few(met.select("bucket", "id").join(degree, "id")))
     needed = degree.select(F.col("id").alias("doc_id"))
     wanted = docs.join(F.broadcast(needed) if n <= BROADCAST_IDS else needed, "doc_id", "left_semi")
-    sets = checkpointed(gathered(pack_shingles(wanted), n, SETS_PER_TASK))
+    sets = checkpointed(gathered(pack_shingles(wanted).dropDuplicates(["doc_id"]), n, SETS_PER_TASK))
 
-    links = None
     classes = checkpointed(gathered(degree, n).select("id", F.col("id").alias("class_id")))
-    led = tried = None
-    for _ in range(LEADERS if n else 0):
-        now = few(met.join(classes, "id"))
-        if tried is not None:  # leaders come from outside the classes of the leaders before them
-            now = few(now.join(tried, ["bucket", "class_id"], "left_anti"))
-        best = now.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "class_id")).alias("l"))
-        leaders = checkpointed(few(best.select("bucket", (-F.col("l.minus")).alias("b"), F.col("l.class_id").alias("class_b"))))
-        asked = few(met.select("bucket", "id").join(leaders, "bucket")).join(classes, "id").where("class_id <> class_b")
-        pairs = checkpointed(few(few(asked.select(F.col("id").alias("a"), "b")).distinct()))
+    links, rest = None, met
+    for _ in range(ROUNDS if n else 0):
+        best = rest.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("l"))
+        leaders = few(best.select("bucket", (-F.col("l.minus")).alias("b"), F.col("l.degree").alias("degree_b")))
+        led = checkpointed(few(rest.join(leaders, "bucket")))
+        own = few(led.where("id <> b").groupBy("id").agg(F.max(F.struct("degree_b", (-F.col("b")).alias("minus"))).alias("l")))
+        pairs = checkpointed(own.select(F.col("id").alias("a"), (-F.col("l.minus")).alias("b")))
         found = checkpointed(verified(pairs, sets, similarity))
         links = found if links is None else checkpointed(gathered(links.unionByName(found), n))
-        labelled = components(links)
-        classes = checkpointed(gathered(degree.select("id").join(labelled, "id", "left"), n).select("id", F.coalesce("class_id", "id").alias("class_id")))
-        # a class counts as tried in a bucket where one of its members has led
-        led = leaders.select("bucket", F.col("b").alias("id")) if led is None else checkpointed(few(led.unionByName(leaders.select("bucket", F.col("b").alias("id")))))
-        tried = few(few(led.join(classes, "id")).select("bucket", "class_id").distinct())
+        classes = joined_classes(degree, links, n)
+        of_leader = classes.select(F.col("id").alias("b"), F.col("class_id").alias("class_b"))
+        rest = checkpointed(few(few(led.join(classes, "id")).join(of_leader, "b").where("class_id <> class_b").select("bucket", "id", "degree")))
     if n:
-        links = checkpointed(gathered(links.unionByName(remaining(met, led, classes, sets, similarity, places)), n))
-        labelled = components(links)
-        classes = checkpointed(gathered(degree.select("id").join(labelled, "id", "left"), n).select("id", F.coalesce("class_id", "id").alias("class_id")))
+        links = checkpointed(gathered(links.unionByName(remaining(met, classes, sets, similarity, places)), n))
+        classes = joined_classes(degree, links, n)
     member = gathered(signed, rows).select("doc_id", "digest").join(gathered(same, rows).select("digest", "rep"), "digest", "left")
     return gathered(member, rows).join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"))
 
 
+def joined_classes(ids: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """(id, class_id) of each of the ``n`` ids: the smallest that it is linked to, or itself."""
+    labelled = gathered(ids.select("id").join(components(links), "id", "left"), n)
+    return checkpointed(labelled.select("id", F.coalesce("class_id", "id").alias("class_id")))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
