@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that one step of a Python operator holds at a time; a longer text makes a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: Rows of a step, however short their texts.
 STEP_ROWS = 50_000
 
+#: The C library, if it can trim its heap.
+_LIBC = next((c for c in [ctypes.CDLL(ctypes.util.find_library("c"))] if hasattr(c, "malloc_trim")), None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,15 +49,16 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTE
         yield batch.slice(begin)
 
 
-#: Beyond this an estimate means that Catalyst does not know (it then multiplies a default).
-UNKNOWN_BYTES = 1 << 50
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """The bytes of the texts of all rows. It sets numbers of groups, nothing else."""
+    return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
-def text_bytes(df: DataFrame, column: str = "text") -> int:
-    """About the bytes of a plan: Catalyst's estimate from the sizes of files, or else the lengths of the texts, counted
-    over all rows. It sets numbers of groups, nothing else."""
-    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return known if known < UNKNOWN_BYTES else int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
+def give_back() -> None:
+    """Returns freed memory to the system; Python workers live on between tasks and stages, and so would it."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def gathered(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
@@ -59,11 +66,20 @@ def gathered(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
     return df.coalesce(max(1, -(-rows // per_task)))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all machines share. Only a local session without one, as in tests, gets
+    a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return tempfile.mkdtemp()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder; a folder is set only where the session has none."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

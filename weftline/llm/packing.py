@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm.common import steps, table
+from weftline.llm.common import give_back, steps, table
 from weftline.llm.tokens import byte_bpe
 
 LENGTH = 1024
@@ -69,7 +69,8 @@ def pack(docs: DataFrame, path: str, ranks_path: str, length: int = LENGTH) -> D
     A document's ids are followed by id 0. Full sequences are cut off a document first; remainders wait in pools of
     POOL_TOKENS, which are balanced one by one. Sequences other than full ones have a power of two as length, so
     none needs padding. Null and empty texts are the single id 0; repeated rows and null ids are packed like any
-    other; other columns are ignored. Sequence ids hold the task's partition, so a task that runs again gives the
+    other; of remainders of one length the first read is placed first; a very long text is a step of its own and is
+    cut into full sequences; other columns, whatever their names, are ignored; no rows give no rows. Sequence ids hold the task's partition, so a task that runs again gives the
     same ids.
     """
 
@@ -119,6 +120,8 @@ def pack(docs: DataFrame, path: str, ranks_path: str, length: int = LENGTH) -> D
         if pool:
             flush()
             yield out()
+        bpe.chunks.clear()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 

@@ -7,19 +7,24 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftline.llm.common import steps, table
+from weftline.llm.common import give_back, steps, table, unused
 
 #: Labelled rows that training takes at most: those of the smallest hash of their id.
 SAMPLE_ROWS = 4000
+#: Bytes of their texts at most: rows are taken in order of the hash as long as they fit.
+SAMPLE_BYTES = 64 << 20
 BUCKETS = 1 << 17
 DIMENSIONS = 16
 GRAMS = (2, 3, 4)
 #: Updates (documents seen) that training makes at least, and passes at most.
 UPDATES, PASSES = 12_000, 150
 RATE = 0.3
+#: Bytes of text whose features a task holds at a time.
+STEP = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.r_[np.uint64(1), np.full(4095, 0x100000001B3, dtype=np.uint64)])
@@ -31,8 +36,8 @@ def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
 
 
 def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Arrays (bucket, document) of all features of the texts, kind by kind: character n-grams of every length, words,
-    pairs of words, and a mark for a word that repeats the one before it. Words are parted by bytes up to 32."""
+    """Arrays (bucket, document) of all features of the texts, kind by kind: character n-grams of every length, words
+    and pairs of words. Words are parted by bytes up to 32."""
     sep = b"\n"
     buf = np.frombuffer(sep + sep.join(texts) + sep, dtype=np.uint8)
     sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
@@ -57,10 +62,8 @@ def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         of = doc[starts]
         out.append((_bucket(words, 11), of))
         same = of[1:] == of[:-1]
-        pairs = words[1:] * np.uint64(31) + words[:-1]
+        pairs = words[1:] ^ words[:-1]  # in either order; all pairs of a word with itself are one
         out.append((_bucket(pairs, 12)[same], of[1:][same]))
-        again = same & (words[1:] == words[:-1])
-        out.append((np.full(int(again.sum()), int(_bucket(np.zeros(1, np.uint64), 13)[0]), dtype=np.int32), of[1:][again]))
     return out
 
 
@@ -131,11 +134,15 @@ def held_out(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityModel:
     """A model of the ``rows`` labelled documents at most with the smallest hashes of their ids, outside the held-out
-    third. Labels other than 0 and 1 and null ids or labels take no part; of repeated rows the smallest text and label
+    third, and of SAMPLE_BYTES of text at most. Labels other than 0 and 1 and null ids or labels take no part; of repeated rows the smallest text and label
     count."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "quality")
     chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by ``rows``
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.sum(F.octet_length("text")).alias("bytes"))  # bounded by ``rows``
+    held = F.sum("bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    fitting = sizes.withColumn("held", held).where(F.col("held") <= SAMPLE_BYTES).select("doc_id", "quality")
+    found = texts.join(F.broadcast(fitting), "doc_id")
 
     def run(batches):
         got: dict[int, tuple[str, int]] = {}
@@ -151,24 +158,29 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityM
     return train([], []) if row is None else QualityModel(np.frombuffer(row.weights, dtype=np.float32), row.bias)
 
 
-def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """All columns of ``docs`` with ``quality_score`` (0 to 1), each row in its own task.
+def score(docs: DataFrame, model: QualityModel, name: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` with the score (0 to 1) called ``name``, each row in its own task.
 
-    Null and empty texts get the bias's score. Repeated rows score alike; no rows give no rows. A column of that name
-    is replaced.
+    Null and empty texts get the bias's score. Repeated rows score alike; a very long text is a step of its own; no
+    rows give no rows. A column of that name is replaced, all others are kept.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
-    kept = docs.drop("quality_score")
+    kept = docs.drop(name)
     names = kept.columns
 
     def run(batches):
-        for b in steps(batches, "text"):
+        for b in steps(batches, "text", STEP):
             texts = [t or b"" for t in pc.cast(b.column("text"), pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.score(texts), pa.float64())], [*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.score(texts), pa.float64())], [*names, name])
+        give_back()
 
-    from pyspark.sql import types as T
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())]))
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that score at least 0.5 by a model of their own labelled rows, with their columns."""
+    name = unused("quality_score", docs.columns)
+    return score(docs, fit(docs, labels), name).where(F.col(name) >= 0.5).select(*docs.columns)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm.common import steps, table
+from weftline.llm.common import give_back, steps, table
 
 #: Entries that a worker's chunk cache holds before it starts again.
 CACHE_ENTRIES = 400_000
@@ -116,6 +116,10 @@ class ForcedBoundaryBpe:
             self.ids_of[chunk] = " ".join(map(str, ids))
             self.tokens_of[chunk] = " ".join([self.names[i] for i in ids])
 
+    def forget(self) -> None:
+        self.ids_of.clear()
+        self.tokens_of.clear()
+
     def chunks(self, text: str) -> list[list[str] | str]:
         """Normalised, white-space-free chunks of the stretches between special tokens, and those tokens as strings."""
         import unicodedata
@@ -135,8 +139,7 @@ class ForcedBoundaryBpe:
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """Per text its ids and its decoded tokens, each as one string joined by spaces."""
         if len(self.ids_of) > CACHE_ENTRIES:
-            self.ids_of.clear()
-            self.tokens_of.clear()
+            self.forget()
         cut = [self.chunks(t) for t in texts]
         new = {c for doc in cut for part in doc if isinstance(part, list) for c in part} - self.ids_of.keys()
         new = list(new)
@@ -164,7 +167,8 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (decimal, joined by spaces), decoded text, n_tokens of each row, in its own task, no shuffle.
 
     Null texts count as empty (no tokens, empty decoded text). Rows that repeat a doc_id are all returned, null ids
-    included; other columns are ignored. A very long text is one step of its own.
+    included, each by itself, so ties need no rule; other columns, whatever their names, are ignored; no rows give no
+    rows. A very long text is one step of its own.
     """
 
     def run(batches):
@@ -173,6 +177,8 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
             got = list(bpe.encode([t or "" for t in b.column("text").to_pylist()]))
             n = [ids.count(" ") + 1 if ids else 0 for ids, _ in got]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.string()), pa.array(n, pa.int64())], ["doc_id", "ids", "decoded", "n_tokens"])
+        bpe.forget()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids string, decoded string, n_tokens long")
 
@@ -306,7 +312,8 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words, n_tokens: greedy longest-match tokens of each white-space word with a space before it.
 
     ``path`` is a vocabulary of base64 tokens with ranks, one a line. Null and empty texts count 0. Each row counts
-    on its own, so ties, repeated rows and null ids need no rule; other columns are ignored; no rows give no rows.
+    on its own, so ties, repeated rows and null ids need no rule; other columns, whatever their names, are ignored; no
+    rows give no rows. A very long text is a step of its own.
     """
 
     def run(batches):
@@ -320,6 +327,8 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
                 words.append(len(ws))
                 tokens.append(sum(map(counts.__getitem__, ws)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
+        counts.clear()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
 
