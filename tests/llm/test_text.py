@@ -65,9 +65,26 @@ def test_fingerprints_of_edge_cases(spark):
 
 def test_fingerprints_locate_edits(spark):
     a, b = "One, two.\nThree.\n\nFour. Five.", "One, two.\nThree.\n\nFour. Six."
-    df = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
-    row = df.select(*(merkle.differing(F.col("a"), F.col("b"), level).alias(str(level)) for level in (2, 3, 4)), merkle.likeness(merkle.leaves(F.col("a")), merkle.leaves(F.col("b"))).alias("near")).first()
-    assert (row["2"], row["3"], row["4"], row.near) == ([1], [2], [4], 4 / 6)
+    more = "New.\n" + a
+    df = spark.createDataFrame([(a, b), (a, a), (more, a), (None, "")], "a string, b string").select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
+    near = merkle.likeness(F.col("a"), F.col("b"), merkle.leaves(F.col("a")), merkle.leaves(F.col("b"))).alias("near")
+    rows = df.select(*(merkle.differing(F.col("a"), F.col("b"), level).alias(str(level)) for level in (2, 3, 4)), near).collect()
+    assert [tuple(r) for r in rows] == [([1], [2], [4], 4 / 6), ([], [], [], 1.0), ([0], [0], [0], 5 / 6), ([], [], [], 1.0)]
+
+
+def test_roots_test_equality(spark):
+    rng = random.Random(2)
+    texts = {"", " ", "a.", "a. ", "a.  ", "a.\n", "a.\n\n", "\n", "\n\n", "\n\n\n", ". ", "a\n\nb", "a\n\n\nb", "a. b", "a.\nb", "a b"}
+    texts |= {"".join(rng.choice(["a", ".", " ", "\n", ", "]) for _ in range(rng.randint(1, 9))) for _ in range(600)}
+    df = spark.createDataFrame([(t,) for t in sorted(texts)], "t string").select(F.substring_index(merkle.fingerprint(F.col("t")), "|", 1).alias("root"))
+    assert df.distinct().count() == len(texts)
+
+
+def test_successors_follow_ids_wherever_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "IDS_PER_BUCKET", 10)
+    ids = [*range(0, 200, 2), 10**15]
+    df = spark.createDataFrame([(i, 1) for i in ids] + [(None, 1)], "doc_id long, n_chars long")
+    assert {r.doc_id: r.next_id for r in merkle.successors(df).collect()} == dict(zip(ids, [ids[-1], *ids[:-1]], strict=True))
 
 
 def _strings(n: int = 400) -> list[str]:
