@@ -4,23 +4,26 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftline.llm.common import checkpointed, steps, table
+from weftline.llm.common import checkpointed, steps, table, unused
 
 KINDS = ("email", "ip", "card", "phone")
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
-#: Words on each side of an entity that may reveal it.
-CONTEXT_WORDS = 8
-#: Different texts in which a term must accompany an entity before its share says anything.
-MIN_TEXTS = 3
-#: A term reveals an entity if it carries at least this share of the entity's information.
-DISCLOSURE = 0.9
-#: Candidate terms that are sent to all executors at most; beyond, they are joined.
+#: Pseudo-texts that draw a term's share of texts with an entity towards the entity's share of all texts.
+PRIOR_TEXTS = 5.0
+#: A term reveals an entity if, given the term, at most so many bits of it remain unknown, and so many at least were told.
+RESIDUAL_BITS, TOLD_BITS = 0.6, 2.0
+#: Terms that are sent to all executors at most; beyond, they are joined.
 BROADCAST_TERMS = 500_000
+#: Ids of further copies that are sent to all executors at most; beyond, they are joined.
+BROADCAST_IDS = 1_000_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -30,6 +33,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"\w+")
+#: Words with a digit, each read from its beginning.
+_CODE = re.compile(r"\b(?=[^\W0-9]*[0-9])\w+")
 
 
 def luhn(digits: str) -> bool:
@@ -74,146 +79,224 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words near each span, lower-cased, without those that touch any span."""
-    out = set()
-    for kind, a, b in spans:
-        # a word's length is not bounded, but a window of 64 code points a word is
-        left = [m for m in _WORD.finditer(text, max(0, a - 64 * CONTEXT_WORDS), a)][-CONTEXT_WORDS:]
-        right = []
-        for m in _WORD.finditer(text, b, b + 64 * CONTEXT_WORDS):
-            right.append(m)
-            if len(right) == CONTEXT_WORDS:
-                break
-        name = entity(kind, text[a:b])
-        for m in (*left, *right):
-            s, e = m.span()
-            if all(e <= x or s >= y for _, x, y in spans):
-                out.add((name, m.group().lower(), s, e))
-    return sorted(out)
+def term_of(word: str) -> str:
+    """A word's term: the lower-cased word, or, if it holds a digit, its shape (letters or none, and its length), so that
+    what is written alike counts together."""
+    if not _DIGIT.search(word):
+        return word.lower()
+    return f"{'a9' if any(c.isalpha() for c in word) else '9'}#{len(word)}"
+
+
+def words_outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """The words that touch no span, in one pass."""
+    edges = sorted((a, b) for _, a, b in spans)
+    k, reach = 0, 0  # spans that begin before a word's end, and how far they reach
+    for m in _WORD.finditer(text):
+        while k < len(edges) and edges[k][0] < m.end():
+            reach = max(reach, edges[k][1])
+            k += 1
+        if m.start() >= reach:
+            yield m
+
+
+def terms(text: str) -> set[str]:
+    """All terms of a text without spans. Words with digits are left as they are beside their shapes."""
+    found = {w.lower() for w in set(_WORD.findall(text))}
+    if _DIGIT.search(text):
+        found.update(map(term_of, _CODE.findall(text)))
+    return found
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, spans (kind, start, end), contexts (entity, term, start, end) of each row."""
-    schema = "doc_id long, digest string, spans array<struct<kind:string,start:int,stop:int>>, contexts array<struct<entity:string,term:string,start:int,stop:int>>"
+    """doc_id, mark, digest, entities and terms (those outside of spans; both empty without spans) of each row."""
 
     def run(batches):
-        kinds = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
-        near = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
+        strings = pa.list_(pa.string())
         for b in steps(batches, "text"):
-            digests, spans, ctx = [], [], []
+            digests, entities, outside = [], [], []
             for t in b.column("text").to_pylist():
                 t = t or ""
                 own = base_spans(t)
-                digests.append(hashlib.sha256(t.encode("utf-8")).hexdigest())
-                spans.append([{"kind": k, "start": s, "stop": e} for k, s, e in own])
-                ctx.append([{"entity": n, "term": w, "start": s, "stop": e} for n, w, s, e in contexts(t, own)] if own else [])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests, pa.string()), pa.array(spans, pa.list_(kinds)), pa.array(ctx, pa.list_(near))], ["doc_id", "digest", "spans", "contexts"])
+                digests.append(hashlib.blake2b(t.encode("utf-8"), digest_size=16).digest())
+                entities.append(sorted({entity(k, t[x:y]) for k, x, y in own}))
+                outside.append(sorted({term_of(m.group()) for m in words_outside(t, own)}) if own else [])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(digests, pa.binary()), pa.array(entities, strings), pa.array(outside, strings)], ["doc_id", "mark", "digest", "entities", "terms"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return keyed(docs).mapInArrow(run, "doc_id long, mark long, digest binary, entities array<string>, terms array<string>")
 
 
-def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_term): the rows of ``docs`` that hold each of ``terms``, counted over whole texts."""
-    n = terms.count()
-    if n <= BROADCAST_TERMS:
-        wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in terms.toLocalIterator()))
+def texts_with_terms(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, n): the rows of ``docs`` without spans that hold each of the terms ``wanted``, counted over whole texts."""
+    if wanted.count() <= BROADCAST_TERMS:
+        sent = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in wanted.toLocalIterator()))
 
         def run(batches):
-            known = wanted.value
+            known, count = sent.value, Counter()
             for b in steps(batches, "text"):
-                count: dict[str, int] = {}
                 for t in b.column("text").to_pylist():
-                    for w in known.intersection(_WORD.findall((t or "").lower())):
-                        count[w] = count.get(w, 0) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
+                    if t and not base_spans(t):
+                        count.update(known & terms(t))
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
 
-        counted = docs.select("text").mapInArrow(run, "term string, n long") if n else docs.sparkSession.createDataFrame([], "term string, n long")
-        return counted.groupBy("term").agg(F.sum("n").alias("n_term"))
+        return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
-    def words(batches):
+    def split(batches):
         for b in steps(batches, "text"):
             for t in b.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(set(_WORD.findall((t or "").lower()))), pa.string())], ["term"])
+                if t and not base_spans(t):
+                    yield pa.RecordBatch.from_arrays([pa.array(sorted(terms(t)), pa.string())], ["term"])
 
-    return docs.select("text").mapInArrow(words, "term string").join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    return docs.select("text").mapInArrow(split, "term string").join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def revealing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(entity, term) where the pointwise mutual information reaches DISCLOSURE of the entity's information.
+def told(n_both: Column, n_term: Column, share: Column) -> tuple[Column, Column]:
+    """Bits of an entity that a term leaves unknown, and bits that it tells: from the share of the term's texts that hold
+    the entity, drawn by PRIOR_TEXTS towards ``share``, the entity's share of all texts."""
+    posterior = (n_both + PRIOR_TEXTS * share) / (n_term + PRIOR_TEXTS)
+    return -F.log2(posterior), F.log2(posterior / share)
 
-    Counted are texts: an entity's information is log2(texts / texts with it), the pair's is
-    log2(texts with both near each other * texts / (texts with the entity * texts with the term)). Equal texts with
-    the entity count once, for the term too, so copies of one text do not make its words revealing; pairs need
-    MIN_TEXTS such texts.
-    """
-    seen = scanned.where(F.size("contexts") > 0).select("doc_id", "digest", F.explode("contexts").alias("c"))
-    near = seen.select("doc_id", "digest", "c.entity", "c.term", "c.start").groupBy("entity", "term", "digest").agg(F.count("*").alias("places"), F.count_distinct("start").alias("each")).withColumn("rows", F.col("places") / F.col("each"))
-    both = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.sum("rows").alias("n_rows")).where(F.col("n_both") >= MIN_TEXTS)
-    both = checkpointed(both)
-    alone = near.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    texts = scanned.count()
-    term = term_frequencies(docs, both.select("term").distinct())
-    joined = both.join(alone, "entity").join(term, "term")
-    information = F.log2(F.lit(float(texts)) / F.col("n_entity"))
-    mutual = F.log2(F.col("n_both") * F.lit(float(texts)) / (F.col("n_entity") * F.greatest(F.col("n_term") - (F.col("n_rows") - F.col("n_both")), F.col("n_both"))))
-    return joined.where((information > 0) & (mutual >= DISCLOSURE * information)).select("entity", "term")
-
-
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, spans (kind, start, stop), extra (start, stop of revealing terms), digest of each row.
-
-    The base spans are those of the patterns; the corpus adds, near an entity, the terms that reveal it. Null and
-    empty texts have none. Repeated rows get the same spans; null ids are kept; other columns are ignored; no rows
-    give no rows.
+
+def reveals(n_both: Column, n_term: Column, share: Column) -> Column:
+    left, gained = told(n_both, n_term, share)
+    return (left <= RESIDUAL_BITS) & (gained >= TOLD_BITS)
+
+
+def revealing(docs: DataFrame) -> DataFrame:
+    """(term, entity) of all terms that reveal a protected entity, estimated over the whole corpus.
+
+    Entities are every value, the four kinds, and personal data of any kind. Counted are different texts, for the
+    corpus, the entities, the terms and the pairs alike; a term counts where it stands outside of spans. A term tells
+    log2(P(entity | term) / P(entity)) bits of the entity's log2(1 / P(entity)); P(entity | term) is drawn towards
+    P(entity) by a prior, so a term of few texts tells little, without a least number of texts. Values that occur in
+    the same texts are one entity, named by the smallest. Rows without an id count once each, copies or not.
     """
-    docs = docs.select("doc_id", "text")
     scanned = checkpointed(scan(docs))
-    known = revealing(docs, scanned)
-    rows = scanned.where(F.size("contexts") > 0).select("doc_id", "digest", F.explode("contexts").alias("c")).select("doc_id", "digest", "c.*")
-    extra = rows.join(known, ["entity", "term"]).groupBy(F.col("doc_id").alias("d"), F.col("digest").alias("g")).agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("extra"))
-    out = scanned.join(extra, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")), "left")
-    return out.select("doc_id", "spans", F.coalesce("extra", F.array().cast("array<struct<start:int,stop:int>>")).alias("extra"), "digest")
+    copies = checkpointed(scanned.groupBy("digest").agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "mark")).alias("first")))
+    texts = copies.count()
+    private = checkpointed(scanned.where(F.size("entities") > 0).groupBy("digest").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms")))
+    total = F.lit(float(texts))
+    kind = lambda k: F.exists("entities", lambda e: e.startswith(f"{k}:"))
+    flags = {"any": F.lit(True)} | {k: kind(k) for k in KINDS}
+    count = lambda: [F.sum(F.col(f"is_{k}").cast("long")).alias(f"n_{k}") for k in flags]
+    marked = private.select("digest", "entities", "terms", *(c.alias(f"is_{k}") for k, c in flags.items()))
+    sizes = marked.agg(*count()).first()
+    # by kind: one pass over the terms counts for all kinds
+    held = checkpointed(marked.select(F.explode("terms").alias("term"), *(f"is_{k}" for k in flags)).groupBy("term").agg(*count()))
+    by_kind = held.select("term", F.explode(F.array(*(F.struct(F.lit(k).alias("entity"), F.col(f"n_{k}").alias("n_both"), F.lit(float(sizes[f"n_{k}"] or 0)).alias("n_entity")) for k in flags))).alias("e")).select("term", "e.*")
+    # by value: only values in so many texts that a term could reveal them
+    value = private.select("digest", F.explode("entities").alias("entity"))
+    value = value.groupBy("entity").agg(F.count("*").cast("double").alias("n_entity"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("where"))
+    value = value.where(reveals(F.col("n_entity"), F.col("n_entity"), F.col("n_entity") / total)).groupBy("n_entity", "where").agg(F.min("entity").alias("entity"))
+    value = checkpointed(value.select("entity", "n_entity"))
+    pairs = by_kind
+    if value.count():
+        of_text = private.select("digest", F.explode("entities").alias("entity")).join(value, "entity")
+        pairs = pairs.unionByName(of_text.join(private.select("digest", "terms"), "digest").select("entity", "n_entity", F.explode("terms").alias("term")).groupBy("term", "entity").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")))
+    share = F.col("n_entity") / total
+    pairs = checkpointed(pairs.where((F.col("n_both") > 0) & reveals(F.col("n_both"), F.col("n_both"), share)))
+    wanted = checkpointed(pairs.select("term").distinct())
+    if not wanted.count():
+        return pairs.select("term", "entity")
+    # the texts without spans that hold the terms; of copies one counts
+    again = copies.where("rows > 1").select("digest", "first")
+    again = scanned.join(again, "digest").where(F.struct("doc_id", "mark") != F.col("first")).select("doc_id", "mark").distinct()
+    again = checkpointed(again)
+    once = keyed(docs).join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, ["doc_id", "mark"], "left_anti")
+    clean = texts_with_terms(once, wanted)
+    n_term = held.select("term", "n_any").join(wanted, "term", "left_semi").join(clean, "term", "left").select("term", (F.col("n_any") + F.coalesce("n", F.lit(0))).alias("n_term"))
+    return pairs.join(n_term, "term").where(reveals(F.col("n_both"), F.col("n_term"), share)).select("term", "entity")
+
+
+SPAN = "array<struct<kind:string,start:int,stop:int>>"
+
+
+def with_spans(docs: DataFrame, name: str) -> DataFrame:
+    """All columns of ``docs`` and ``name``: the spans (kind, start, stop) of each text; the base ones by kind and
+    start, then those of kind 'term': every place, outside of the base spans, of a term that reveals an entity."""
+    known = checkpointed(revealing(docs.select("doc_id", "text")).select("term").distinct())
+    found = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string(SPAN))])
+    few = known.count() <= BROADCAST_TERMS
+    sent = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in known.toLocalIterator()) if few else frozenset())
+
+    def run(batches):
+        terms_ = sent.value
+        for b in steps(batches, "text"):
+            spans = []
+            for t in b.column("text").to_pylist():
+                t = t or ""
+                own = base_spans(t)
+                extra = [("term", *m.span()) for m in words_outside(t, own) if term_of(m.group()) in terms_] if terms_ and not terms_.isdisjoint(terms(t)) else []
+                spans.append([{"kind": k, "start": x, "stop": y} for k, x, y in own + extra])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, found)], [*b.schema.names, name])
+
+    out = docs.mapInArrow(run, schema)
+    if few:
+        return out
+
+    digest = unused(f"{name}_digest", [*docs.columns, name])
+
+    def places(batches):
+        for b in steps(batches, "text"):
+            for key, t in zip(b.column("digest").to_pylist(), b.column("text").to_pylist(), strict=True):
+                at = [(key, term_of(w.group()), *w.span()) for w in words_outside(t or "", base_spans(t or ""))]
+                yield pa.RecordBatch.from_pylist([dict(zip(("digest", "term", "start", "stop"), x, strict=True)) for x in at], pa.schema([("digest", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+
+    # a text's places are found once for all its copies
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    once = docs.select(sha.alias("digest"), "text").dropDuplicates(["digest"])
+    extra = once.mapInArrow(places, "digest string, term string, start int, stop int").join(known, "term")
+    extra = extra.groupBy(F.col("digest").alias(digest)).agg(F.transform(F.sort_array(F.collect_list(F.struct("start", "stop"))), lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("extra"))
+    extra = extra.withColumnRenamed("extra", unused("extra", [*docs.columns, name, digest]))
+    joined = out.withColumn(digest, sha).join(extra, digest, "left")
+    return joined.withColumn(name, F.concat(name, F.coalesce(joined[joined.columns[-1]], F.array().cast(SPAN)))).select(*docs.columns, name)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with base spans generalised to their kind's mark, revealing terms removed and n_chars brought up to
-    date if there is such a column. Texts without spans, null ones too, stay as they are."""
-    spans = find(docs).where((F.size("spans") > 0) | (F.size("extra") > 0)).select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), "spans", "extra").dropDuplicates(["d", "g"])
-    kept = docs.columns
-    schema = docs.schema
+    """``docs`` with base spans generalised to their kind's mark, revealing terms removed and n_chars brought up to date
+    if there is such a column.
+
+    Texts without spans, null and empty ones too, stay as they are. Repeated rows change alike; of overlapping spans
+    the first is marked and the others go with it. Columns of any other name are kept; no rows give no rows. A very
+    long text is a step of its own.
+    """
+    kept, name = docs.columns, unused("found", docs.columns)
+    lengths = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
 
     def run(batches):
         for b in batches:
-            texts = []
-            for t, own, extra in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), b.column("__extra").to_pylist(), strict=True):
-                if t is not None and own is not None:
-                    cuts = sorted([(s["start"], s["stop"], MARKS[s["kind"]]) for s in own] + [(s["start"], s["stop"], "") for s in extra])
+            texts, sizes = [], b.column("n_chars").to_pylist() if lengths else []
+            for i, (t, spans) in enumerate(zip(b.column("text").to_pylist(), b.column(name).to_pylist(), strict=True)):
+                if t is not None and spans:
                     parts, at = [], 0
-                    for start, stop, mark in cuts:
+                    for start, stop, mark in sorted((s["start"], s["stop"], MARKS.get(s["kind"], "")) for s in spans):
                         if start >= at:
                             parts += [t[at:start], mark]
                         at = max(at, stop)
                     t = "".join([*parts, t[at:]])
+                    if lengths:
+                        sizes[i] = len(t)
                 texts.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in kept], kept)
+            changed = {"text": pa.array(texts, pa.string())} | ({"n_chars": pa.array(sizes, b.column("n_chars").type)} if lengths else {})
+            yield pa.RecordBatch.from_arrays([changed.get(c, b.column(c)) for c in kept], kept)
 
-    spans = spans.withColumnsRenamed({"spans": "__spans", "extra": "__extra", "d": "__d", "g": "__g"})
-    keyed = docs.withColumn("__digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-    joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__digest") == F.col("__g")), "left")
-    touched = joined.where("__spans is not null").select(*kept, "__spans", "__extra").mapInArrow(run, schema)
-    if "n_chars" in kept:
-        touched = touched.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
-    return joined.where("__spans is null").select(*kept).unionByName(touched)
+    return with_spans(docs, name).mapInArrow(run, docs.schema)
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = find(table(spark, sf_dir, "documents"))
-    line = lambda kind, s: F.concat_ws(":", kind, s["start"].cast("string"), s["stop"].cast("string"))
-    base = F.transform("spans", lambda s: line(s["kind"], s))
+    """Spans of every whole text; null and empty texts have none, repeated rows get the same."""
+    out = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), "spans")
+    line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
     return out.select(
         "doc_id",
-        *(F.size(F.filter(F.transform("spans", lambda s: s["kind"]), F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in KINDS),
-        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(base, F.transform("extra", lambda s: line(F.lit("term"), s))), ",").alias("spans"),
+        *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS),
+        F.sha2(F.array_join(F.transform(F.filter("spans", lambda s: s["kind"] != "term"), line), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", line), ",").alias("spans"),
+        F.size(of("term")).cast("long").alias("n_terms"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
