@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,18 +14,28 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import checkpointed, table
 
-CURVES, PLANES, BITS = 16, 6, 7
-#: Ranks on each side of a query that a curve offers: at least so many, and at least this share of all vectors.
-WINDOW, SHARE = 512, 0.05
+#: Curves in all, projections of each, and bits of a projection.
+CURVES, PLANES, BITS = 512, 2, 7
+#: A vector stands on so many of the curves, those on which it lies farthest out; a query asks as many.
+OWN = 32
+#: A curve's cells are shifted by up to this share of the whole.
+SHIFT = 0.125
+#: Ranks on each side of a query that a curve offers: so many at least, or a share of a power of the number of vectors
+#: (at 10,000 vectors 65, at 50,000 240, at 1,000,000,000 some 815,000).
+WINDOW, WINDOW_SHARE, WINDOW_POWER = 64, 0.034, 0.82
 QUERIES_AT_ONCE = 256
 
 
+def window_of(n: int) -> int:
+    return max(WINDOW, int(WINDOW_SHARE * n**WINDOW_POWER))
+
+
 @dataclass(frozen=True)
 class Curves:
     """Projections and shifts of all curves, and the scale that makes projected coordinates about uniform."""
 
-    planes: np.ndarray  # CURVES, dimensions + 1, PLANES
-    shifts: np.ndarray  # CURVES, PLANES
+    planes: np.ndarray  # dimensions + 1, curves * planes of each
+    shifts: np.ndarray  # curves, planes of each
     mean: np.ndarray
     deviation: np.ndarray
     norm: float
@@ -37,15 +48,18 @@ class Curves:
             return np.c_[x * (self.norm / n)[:, None], np.zeros(len(x))]
         return np.c_[x, np.sqrt(np.maximum(self.norm**2 - n**2, 0.0))]
 
-    def keys(self, x: np.ndarray, query: bool) -> np.ndarray:
-        lifted = self.lift(x, query)
-        out = []
-        for c in range(len(self.planes)):
-            y = (lifted @ self.planes[c] - self.mean[c]) / self.deviation[c]
-            u = 1.0 / (1.0 + np.exp(-1.702 * y))  # close to the normal distribution function
-            cells = ((u + self.shifts[c]) * (1 << (BITS - 1))).astype(np.int64).clip(0, (1 << BITS) - 1)
-            out.append(hilbert(cells, BITS))
-        return np.stack(out, axis=1)
+    def places(self, x: np.ndarray, query: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Per vector the curves on which it lies farthest from the middle, the farthest first, and its keys there.
+
+        What lies near a vector lies about as far out, and there few others do, so such curves tell most.
+        """
+        z = ((self.lift(x, query) @ self.planes - self.mean) / self.deviation).reshape(len(x), *self.shifts.shape)
+        count = min(OWN, len(self.shifts))
+        curve = np.argsort(-(z * z).sum(axis=2), axis=1, kind="stable")[:, :count]
+        own = np.take_along_axis(z, curve[:, :, None], axis=1)
+        u = 1.0 / (1.0 + np.exp(-1.702 * own))  # close to the normal distribution function
+        cells = ((u + self.shifts[curve]) / (1 + SHIFT) * (1 << BITS)).astype(np.int64).clip(0, (1 << BITS) - 1)
+        return curve, hilbert(cells.reshape(-1, cells.shape[2]), BITS).reshape(curve.shape)
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -77,97 +91,128 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
-    """id, vec (packed 64-bit floats): without null, zero, empty and non-finite vectors and null ids."""
-    v = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
+    """id, vec (packed floats, of 32 bits if the column's are): without null, zero, empty and non-finite vectors and
+    null ids. Of an id's different vectors the smallest stays, compared as lists."""
+    single = "float" in vectors.schema[column].dataType.simpleString()
+    v = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<float>" if single else "array<double>").alias("vec")).where("id is not null and vec is not null")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    v = v.where(~F.exists("vec", bad) & F.exists("vec", lambda x: x != 0))
+    v = v.where(~F.exists("vec", bad) & F.exists("vec", lambda x: x != 0)).groupBy("id").agg(F.min("vec").alias("vec"))
+    kind = "<f4" if single else "<f8"
 
     def run(batches):
         for b in batches:
-            lists = b.column("vec")
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([np.asarray(x, dtype="<f8").tobytes() for x in lists.to_pylist()], pa.binary())], ["id", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([np.asarray(x, dtype=kind).tobytes() for x in b.column("vec").to_pylist()], pa.binary())], ["id", "vec"])
 
     return v.mapInArrow(run, "id long, vec binary")
 
 
-def unpack(column: pa.Array | pd.Series) -> np.ndarray:
-    raw = column.to_pylist() if isinstance(column, pa.Array) else list(column)
-    return np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1)
+def unpack(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1).astype(np.float64)
 
 
-def fit(points: DataFrame, curves: int = CURVES, seed: int = 5) -> Curves | None:
+def fit(points: DataFrame, kind: str, seed: int = 5) -> Curves | None:
     """Random projections; their means and deviations, and the largest norm, over all points. None without points."""
     first = points.select("vec").first()
     if first is None:
         return None
-    dims = len(first.vec) // 8
-    norm = points.select(F.length("vec")).distinct().limit(2).count()
-    if norm > 1:
+    dims = len(first.vec) // np.dtype(kind).itemsize
+    if points.select(F.length("vec")).distinct().limit(2).count() > 1:
         raise ValueError("vectors of different lengths")
-    rng = np.random.default_rng(seed)
-    planes = np.stack([np.linalg.qr(rng.standard_normal((dims + 1, min(PLANES, dims + 1))))[0] for _ in range(curves)])
-    shifts = rng.random((curves, planes.shape[2]))
+    rng, curves = np.random.default_rng(seed), CURVES
+    each = min(PLANES, dims + 1)
+    per = (dims + 1) // each  # curves that one rotation serves
+    rotations = [np.linalg.qr(rng.standard_normal((dims + 1, dims + 1)))[0][:, : per * each] for _ in range(-(-curves // per))]
+    planes = np.concatenate(rotations, axis=1)[:, : curves * each]
+    shifts = SHIFT * rng.random((curves, each))
 
     def norms(batches):
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([float(np.linalg.norm(unpack(b.column("vec")), axis=1).max())])], ["n"])
+                yield pa.RecordBatch.from_arrays([pa.array([float(np.linalg.norm(unpack(b.column("vec"), kind), axis=1).max())])], ["n"])
 
     top = points.mapInArrow(norms, "n double").agg(F.max("n")).first()[0]
-    draft = Curves(planes, shifts, np.zeros(0), np.zeros(0), top)
+    draft = Curves(planes, shifts, np.zeros(0), np.ones(0), top)
 
     def sums(batches):
         for b in batches:
             if b.num_rows:
-                y = np.einsum("nd,cdp->cpn", draft.lift(unpack(b.column("vec")), False), planes).reshape(-1, b.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(y))), pa.array(y.sum(axis=1)), pa.array((y * y).sum(axis=1)), pa.array(np.full(len(y), b.num_rows))], ["k", "s", "s2", "n"])
+                y = draft.lift(unpack(b.column("vec"), kind), False) @ planes
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(y.shape[1])), pa.array(y.sum(axis=0)), pa.array((y * y).sum(axis=0)), pa.array(np.full(y.shape[1], b.num_rows))], ["k", "s", "s2", "n"])
 
     rows = sorted(points.mapInArrow(sums, "k long, s double, s2 double, n long").groupBy("k").agg(F.sum("s"), F.sum("s2"), F.sum("n")).collect())
     s, s2, n = (np.array([float(r[i]) for r in rows]) for i in (1, 2, 3))
     mean = s / n
     deviation = np.sqrt(np.maximum(s2 / n - mean**2, 1e-18))
-    return Curves(planes, shifts, mean.reshape(curves, -1), deviation.reshape(curves, -1), top)
+    return Curves(planes, shifts, mean, deviation, top)
+
+
+def best_of_block(query: dict, other: dict, window: int, k: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, gid, score) of the k + 1 best of a block within the window of each query, ties by the smaller gid.
+
+    A fast product finds the candidates; all that might be among the best, ties included, are computed again one by
+    one, so that equal vectors always score the same.
+    """
+    x, y = unpack(other["vec"], kind), unpack(query["vec"], kind)
+    out = []
+    for a in range(0, len(y), QUERIES_AT_ONCE):
+        part = slice(a, a + QUERIES_AT_ONCE)
+        s = y[part] @ x.T
+        s[np.abs(query["rank"][part][:, None] - other["rank"][None, :]) > window] = -np.inf
+        m = min(k + 1, len(x))
+        least = np.partition(s, len(x) - m, axis=1)[:, len(x) - m]
+        slack = 1e-9 * np.abs(least) + 1e-12 * np.linalg.norm(y[part], axis=1) * np.linalg.norm(x, axis=1).max()
+        q, c = np.nonzero((s >= np.where(np.isfinite(least), least - slack, -np.inf)[:, None]) & np.isfinite(s))
+        score = (y[part][q] * x[c]).sum(axis=1)
+        gid = other["gid"][c]
+        order = np.lexsort((gid, -score, q))
+        q, gid, score = q[order], gid[order], score[order]
+        first = np.searchsorted(q, np.arange(len(y[part])))
+        top = np.arange(len(q)) - first[q] <= k
+        out.append((query["gid"][part][q[top]], gid[top], score[top]))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
 
 
 def nearest(vectors: DataFrame, id_column: str, column: str, is_query: F.Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest others by inner product, among the windows' vectors.
 
     ``is_query`` is a condition on ``id``. Equal vectors are one point of the curves, with its k + 1 smallest ids, so
-    copies neither fill a window nor a task. Each curve orders all points; a query is compared with the points within
-    max(WINDOW, SHARE of all) ranks of its own place, in blocks of that many ranks; the curves' best are merged and
-    ranked again by exact products. Ties go to the smaller id. Unusable vectors and null ids take no part, repeated
-    ids are one. No usable rows give no rows; fewer than k others give them all.
+    copies neither fill a window nor a task. Each point stands on OWN of the curves, which order their points; a query
+    asks as many and is compared with the points within ``window_of`` all points ranks of its own place, in blocks of
+    that many ranks; the curves' best are merged and ranked again by exact products.
+
+    Ties go to the smaller id, also at the edge of what a block returns. Unusable vectors (null, zero, empty, with
+    null or non-finite components) and null ids take no part; an id with several vectors has the smallest of them;
+    other columns, whatever their names, are ignored. No usable rows give no rows; fewer than k others give them all.
     """
     spark = vectors.sparkSession
-    points = checkpointed(usable(vectors, id_column, column).distinct())
+    kind = "<f4" if "float" in vectors.schema[column].dataType.simpleString() else "<f8"
+    points = checkpointed(usable(vectors, id_column, column))
     top_ids = Window.partitionBy("vec").orderBy("id")
     ids = points.withColumn("n", F.row_number().over(top_ids)).where(F.col("n") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     asks = points.groupBy("vec").agg(F.min("id").alias("gid"), F.max(is_query).alias("asks"))
     groups = checkpointed(asks.join(ids, "vec"))
-    curves = fit(groups.select("vec"))
+    curves = fit(groups.select("vec"), kind)
     result = "query_id long, rank int, vec_id long, score double"
     if curves is None:
         return spark.createDataFrame([], result)
-    n = groups.count()
-    window = max(WINDOW, int(SHARE * n))
+    window = window_of(groups.count())
     sent = spark.sparkContext.broadcast(curves)  # of fixed size
 
     def place(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, asking = unpack(b.column("vec")), np.array(b.column("asks").to_pylist(), dtype=bool)
-            for query in (False, True):
-                rows = np.flatnonzero(asking) if query else np.arange(len(x))
-                if not len(rows):
-                    continue
-                keys = sent.value.keys(x[rows], query)
-                c = keys.shape[1]
-                take = pa.array(np.repeat(rows, c))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(c, dtype=np.int32), len(rows))), pa.array(keys.reshape(-1)), b.column("gid").take(take), pa.array(np.full(len(take), query)), b.column("vec").take(take)],
-                    ["curve", "key", "gid", "query", "vec"],
-                )
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                b = whole.slice(start, 1024)
+                x, asking = unpack(b.column("vec"), kind), b.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+                for query in (False, True):
+                    rows = np.flatnonzero(asking) if query else np.arange(len(x))
+                    if not len(rows):
+                        continue
+                    curve, key = sent.value.places(x[rows], query)
+                    take = pa.array(np.repeat(rows, curve.shape[1]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(curve.reshape(-1).astype(np.int32)), pa.array(key.reshape(-1)), b.column("gid").take(take), pa.array(np.full(len(take), query)), b.column("vec").take(take)],
+                        ["curve", "key", "gid", "query", "vec"],
+                    )
 
     places = groups.select("gid", "asks", "vec").mapInArrow(place, "curve int, key long, gid long, query boolean, vec binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -183,7 +228,7 @@ def nearest(vectors: DataFrame, id_column: str, column: str, is_query: F.Column,
     def deal(batches):
         at = {c: before[p, c] for p, c in before if p == TaskContext.get().partitionId()}
         for b in batches:
-            curve, query = np.array(b.column("curve").to_pylist()), np.array(b.column("query").to_pylist(), dtype=bool)
+            curve, query = b.column("curve").to_numpy(), b.column("query").to_numpy(zero_copy_only=False)
             rank = np.zeros(len(curve), dtype=np.int64)
             for c in np.unique(curve).tolist():
                 here = curve == c
@@ -194,32 +239,27 @@ def nearest(vectors: DataFrame, id_column: str, column: str, is_query: F.Column,
             q = np.flatnonzero(query)
             for step in (-1, 0, 1):
                 near = rank[q] // window + step
-                inside = (near >= 0) & (near * window < np.array([total[c] for c in curve[q].tolist()]))
+                inside = (near >= 0) & (near * window < np.array([total[c] for c in curve[q].tolist()], dtype=np.int64))
                 rows.append(q[inside])
                 blocks.append(near[inside])
             take = np.concatenate(rows)
             idx = pa.array(take)
-            yield pa.RecordBatch.from_arrays([pa.array(curve[take].astype(np.int32)), pa.array(np.concatenate(blocks)), pa.array(rank[take]), *(b.column(x).take(idx) for x in ("gid", "query", "vec"))], ["curve", "block", "rank", "gid", "query", "vec"])
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        q, c = block[block["query"]], block[~block["query"]]
-        out = []
-        if len(q) and len(c):
-            x, gid, rank = unpack(c["vec"]), c["gid"].to_numpy(), c["rank"].to_numpy()
-            for a in range(0, len(q), QUERIES_AT_ONCE):
-                part = q.iloc[a : a + QUERIES_AT_ONCE]
-                y = unpack(part["vec"])
-                s = y @ x.T
-                s[np.abs(part["rank"].to_numpy()[:, None] - rank[None, :]) > window] = -np.inf
-                m = min(k + 5, len(x))
-                best = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                exact = (y[:, None, :] * x[best]).sum(axis=2)
-                ok = np.isfinite(np.take_along_axis(s, best, axis=1))
-                out.append(pd.DataFrame({"query": np.repeat(part["gid"].to_numpy(), m)[ok.reshape(-1)], "gid": gid[best][ok], "score": exact[ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "gid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            yield pa.RecordBatch.from_arrays([b.column("curve").take(idx), pa.array(np.concatenate(blocks)), pa.array(rank[take]), *(b.column(x).take(idx) for x in ("gid", "query", "vec"))], ["curve", "block", "rank", "gid", "query", "vec"])
+
+    def compare(batches):
+        for _, rows in groupby(runs(batches), key=lambda r: r[0]):
+            t = pa.Table.from_batches([r for _, r in rows])
+            query = t.column("query").to_numpy()
+            sides = []
+            for side in (query, ~query):
+                own = t.filter(pa.array(side))
+                sides.append({"gid": own.column("gid").to_numpy(), "rank": own.column("rank").to_numpy(), "vec": own.column("vec").combine_chunks()})
+            if len(sides[0]["gid"]) and len(sides[1]["gid"]):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in best_of_block(*sides, window, k, kind)], ["query", "gid", "score"])
 
     dealt = ordered.mapInArrow(deal, "curve int, block long, rank long, gid long, query boolean, vec binary")
-    best = dealt.groupBy("curve", "block").applyInPandas(compare, "query long, gid long, score double")
+    dealt = dealt.repartition(parts, "curve", "block").sortWithinPartitions("curve", "block")
+    best = dealt.mapInArrow(compare, "query long, gid long, score double")
     best = best.groupBy("query", "gid").agg(F.max("score").alias("score"))
     best = best.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "gid"))).where(F.col("n") <= k + 1)
     offered = best.join(groups.select("gid", "ids"), "gid").select("query", "score", F.explode("ids").alias("vec_id"))
@@ -231,5 +271,15 @@ def nearest(vectors: DataFrame, id_column: str, column: str, is_query: F.Column,
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def runs(batches) -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:
+    """The stretches of rows of one curve and block, which stand together."""
+    for b in batches:
+        curve, block = b.column("curve").to_numpy(), b.column("block").to_numpy()
+        cuts = np.flatnonzero((curve[1:] != curve[:-1]) | (block[1:] != block[:-1])) + 1
+        for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(curve)], strict=True):
+            if stop > start:
+                yield (int(curve[start]), int(block[start])), b.slice(start, stop - start)
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0)
