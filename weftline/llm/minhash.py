@@ -246,8 +246,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     bucket first, so that few pairs remain.
 
     Texts without words (null, empty) are linked only to equal ones, null and empty being equal. A null doc_id has
-    the class of its text, null if no row with an id has that text. Repeated rows are all returned; other columns,
-    whatever their names, are ignored; no rows give no rows. A very long text is a step of its own. Ties: of leaders
+    the class of its text, null if no row with an id has that text. Repeated rows are all returned; rows of one
+    doc_id with different texts are one member that has the shingles of any of them; other columns, whatever their
+    names, are ignored; no rows give no rows. A very long text is a step of its own. Ties: of leaders
     that meet as many, the smallest doc_id leads.
     """
     docs = docs.select("doc_id", "text")
@@ -264,7 +265,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     met = checkpointed(few(met.select("bucket", "id").join(degree, "id")))
     needed = degree.select(F.col("id").alias("doc_id"))
     wanted = docs.join(F.broadcast(needed) if n <= BROADCAST_IDS else needed, "doc_id", "left_semi")
-    sets = checkpointed(gathered(pack_shingles(wanted).dropDuplicates(["doc_id"]), n, SETS_PER_TASK))
+    sets = checkpointed(gathered(pack_shingles(wanted), n, SETS_PER_TASK))
 
     classes = checkpointed(gathered(degree, n).select("id", F.col("id").alias("class_id")))
     links, rest = None, met
@@ -286,6 +287,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return gathered(member, rows).join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"))
 
 
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows of a doc_id that is in a class with a smaller one and the smallest of none. Rows without
+    an id stay. What goes is sent to the documents, so that texts are not shuffled."""
+    of = near_duplicates(docs).where("doc_id is not null")
+    gone = checkpointed(of.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("first")).where(~F.col("first")).select("doc_id"))
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def joined_classes(ids: DataFrame, links: DataFrame, n: int) -> DataFrame:
     """(id, class_id) of each of the ``n`` ids: the smallest that it is linked to, or itself."""
     labelled = gathered(ids.select("id").join(components(links), "id", "left"), n)
