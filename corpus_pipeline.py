@@ -1,69 +1,5 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+"""The corpus pipeline of the training-data operators, for the driver: STAGES, run and ORACLE_SQL."""
 
-It counts as part of the ``llm`` subpackage. STAGES lists (name, function); a function takes (spark, docs, sf_dir).
-"""
+from weftline.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from weftline.llm import minhash, packing, privacy, quality, repeats
-from weftline.llm.common import table
-
-
-def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least 0.5. The classifier learns from the labelled rows of ``docs`` outside
-    the held-out third; rows without text are scored like any other."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("quality_score") >= 0.5).select(*docs.columns)
-
-
-def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest doc_id. Rows with a null id all stay, as do
-    all rows that repeat a kept doc_id."""
-    classes = minhash.near_duplicates(docs)
-    kept = classes.where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
-
-
-def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of strings that a document of a smaller doc_id has too."""
-    return repeats.without_repeats(docs)
-
-
-def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data generalised and the terms removed that reveal it."""
-    return privacy.sanitise(docs)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids with their sequences and places."""
-    return packing.pack(docs, *packing.default_paths())
-
-
-STAGES = [
-    ("quality classifier", keep_good),
-    ("near-duplicate classes", keep_one_of_each_class),
-    ("repeated passages", drop_repeats),
-    ("personal data", hide_personal_data),
-    ("packing", pack_sequences),
-]
-
-#: A learned score, signatures and token ids are beyond SQL; tests compare the stages with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. Stages are written to the shared folder that spark.checkpoint.dir names."""
-    import tempfile
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    home = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{home}/{i}")
-        docs = spark.read.parquet(f"{home}/{i}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
