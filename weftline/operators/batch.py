@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.sources.shared import checkpointed
+
 
 def with_position(df: DataFrame, order: list[str], name: str = "row_id", rows_per_range: int = 50_000) -> DataFrame:
     """``df`` with each row's place (from 0) in an order of its columns.
@@ -12,17 +14,19 @@ def with_position(df: DataFrame, order: list[str], name: str = "row_id", rows_pe
     No task orders all rows: rows are range-partitioned and counted first, and each range's offset is the sum of the
     ranges before it. The result is cut off from its plan, as ranges may differ between two runs of a plan.
     """
+    return before(df, order, F.lit(1), name, rows_per_range).withColumn(name, F.col(name).cast("long"))
+
+
+def before(df: DataFrame, order: list[str], value: Column, name: str, rows_per_range: int = 50_000) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows that stand before each in an order of its columns, as described at
+    ``with_position``. The order must tell all rows apart."""
     n = max(1, -(-df.count() // rows_per_range))
-    sorted_ = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        df.sparkSession.sparkContext.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    sorted_ = sorted_.checkpoint()
-    sizes = sorted_.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return sorted_.withColumn("_i", place).join(F.broadcast(before), "_p").withColumn(name, (F.col("_before") + F.col("_i")).cast("long")).drop("_p", "_i", "_before")
+    ranged = checkpointed(df.withColumn("__value", value).repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p").agg(F.sum("__value").alias("_n"))
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = sizes.select("_p", (F.sum("_n").over(until(Window.orderBy("_p"))) - F.col("_n")).alias("_before"))  # a row a range
+    own = F.sum("__value").over(until(Window.partitionBy("_p").orderBy(*order))) - F.col("__value")
+    return ranged.withColumn("_i", own).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_before") + F.col("_i")).drop("_p", "_i", "_before", "__value")
 
 
 def take(df: DataFrame, position: str, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.batch import before
+
 
 def mean_std_at_n(df: DataFrame, keys: list[str], uid: str, value: str) -> DataFrame:
     """Per prompt mean and population deviation of its responses, averaged over the prompts of each key."""
@@ -70,10 +72,13 @@ def grading(df: DataFrame, keys: list[str], uid: str, score: str, length: str, f
 def distinct_ngrams(df: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
     """Per key the distinct share of all word n-grams of its texts; 0 where there are none.
 
-    Grams are counted per key and gram first, so a frequent gram is one row of the second step.
+    A gram travels as two 64-bit hashes of its words' hashes. Grams are counted per key and gram first, so a frequent
+    gram is one row of the second step.
     """
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    grams = df.select(key, words.alias("w")).where(F.size("w") >= n).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).alias("g"))
+    words = F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    at = lambda i: [F.get("w", i + k) for k in range(n)]
+    gram = lambda i: F.struct(F.xxhash64(*at(i)).alias("a"), F.xxhash64(F.lit(n), *reversed(at(i))).alias("b"))
+    grams = df.select(key, words.alias("w")).where(F.size("w") >= n).select(key, F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - n), gram)).alias("g"))
     counts = grams.groupBy(key, "g").agg(F.count("*").alias("c")).groupBy(key).agg((F.count("*") / F.sum("c")).alias("distinct_share"))
     return df.select(key).distinct().join(counts, key, "left").select(key, F.coalesce("distinct_share", F.lit(0.0)).alias("distinct_share"))
 
@@ -120,7 +125,7 @@ def data_metrics(df: DataFrame, score: str, reward: str, advantage: str, returns
 def classification(df: DataFrame, truth: str, predicted: str, probability: str) -> DataFrame:
     """One row: accuracy, weighted F1 (0 where undefined), log-loss, AUC by ranks and squared error of a binary task.
 
-    Ranks come from counts per distinct probability, so the one ordered window runs over those, not over rows.
+    Ranks come from counts per distinct probability, summed up range by range, as there may be as many as rows.
     """
     cells = df.groupBy(truth, predicted).agg(F.count("*").alias("n"))
     t, p, n = F.col(truth), F.col(predicted), F.col("n")
@@ -133,8 +138,8 @@ def classification(df: DataFrame, truth: str, predicted: str, probability: str)
     q = F.least(F.greatest(F.col(probability), F.lit(1e-15)), F.lit(1 - 1e-15))
     loss = df.agg(F.avg(-F.when(t == 1, F.ln(q)).otherwise(F.ln(1 - q))).alias("log_loss"), F.avg((t - p) ** 2).alias("mse"))
     steps = df.groupBy(probability).agg(F.count_if(t == 1).alias("pos"), F.count_if(t == 0).alias("neg"))
-    below = F.sum("neg").over(Window.orderBy(probability).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("neg")
-    wins = steps.select((F.col("pos") * (below + F.col("neg") / 2.0)).alias("u"), "pos", "neg")
+    steps = before(steps, [probability], F.col("neg"), "below")
+    wins = steps.select((F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("u"), "pos", "neg")
     auc = wins.agg(F.when(F.sum("pos") * F.sum("neg") > 0, F.sum("u") / (F.sum("pos") * F.sum("neg"))).alias("auc"))
     return table.crossJoin(loss).crossJoin(auc)
 

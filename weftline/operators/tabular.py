@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.batch import with_position
+
 TARGET_NAMES = ("target", "label", "class", "y")
 
 
@@ -46,10 +48,10 @@ def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def encoded(df: DataFrame, column: str) -> DataFrame:
-    """The column as codes of its distinct strings in order; null is the string 'missing'. The window runs over the
-    distinct strings only."""
+    """The column as codes of its distinct strings in order; null is the string 'missing'. The distinct strings, as
+    many as rows at worst, are numbered range by range."""
     v = F.coalesce(F.col(column).cast("string"), F.lit("missing"))
-    codes = df.select(v.alias("_v")).distinct().withColumn("_c", F.row_number().over(Window.orderBy("_v")) - 1)
+    codes = with_position(df.select(v.alias("_v")).distinct(), ["_v"], "_c").withColumn("_c", F.col("_c").cast("int"))
     return df.withColumn("_v", v).join(codes, "_v").withColumn(column, F.col("_c")).drop("_v", "_c")
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.binding import let
+
 STRATEGIES = ("only_stu", "only_tch", "intersection", "union", "union_intersection")
 
 
@@ -52,19 +54,24 @@ def weighted_reward(s: Column, t: Column, strategy: str, weight: str = "student_
 
 def probabilities(logs: Column, keys: Column) -> Column:
     """The softmax over ``keys`` of a map of log-probabilities; keys that it lacks get its least value less 20."""
-    floor = F.array_min(F.map_values(logs)) - 20.0
-    e = F.transform(keys, lambda k: F.exp(F.coalesce(F.try_element_at(logs, k), floor)))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
+    raised = lambda floor: F.transform(keys, lambda k: F.exp(F.coalesce(F.try_element_at(logs, k), floor)))
+    shares = lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t))
+    return let(F.array_min(F.map_values(logs)) - 20.0, lambda floor: let(raised(floor), shares))
+
+
+def kl_tv(student: Column, teacher: Column) -> Column:
+    """(kl, tv): divergence of the teacher from the student (at least 0) and total variation, of two maps over all their
+    keys. Each softmax is computed once."""
 
+    def compare(b: Column) -> Column:
+        kl = F.aggregate(F.zip_with(b["p"], b["q"], lambda x, y: y * F.ln(y / F.greatest(x, F.lit(1e-12)))), F.lit(0.0), lambda a, x: a + x)
+        tv = F.aggregate(F.zip_with(b["p"], b["q"], lambda x, y: F.abs(x - y)), F.lit(0.0), lambda a, x: a + x) * 0.5
+        return F.struct(F.greatest(kl, F.lit(0.0)).alias("kl"), F.least(F.greatest(tv, F.lit(0.0)), F.lit(1.0)).alias("tv"))
 
-def kl_tv(student: Column, teacher: Column) -> tuple[Column, Column]:
-    """Divergence of the teacher from the student (at least 0) and total variation, of two maps over all their keys."""
     keys = F.array_sort(F.array_union(F.map_keys(student), F.map_keys(teacher)))
-    p, q = probabilities(student, keys), probabilities(teacher, keys)
-    kl = F.aggregate(F.zip_with(p, q, lambda a, b: b * F.ln(b / F.greatest(a, F.lit(1e-12)))), F.lit(0.0), lambda a, x: a + x)
-    tv = F.aggregate(F.zip_with(p, q, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x) * 0.5
-    return F.greatest(kl, F.lit(0.0)), F.least(F.greatest(tv, F.lit(0.0)), F.lit(1.0))
+    both = lambda k: F.struct(probabilities(student, k).alias("p"), probabilities(teacher, k).alias("q"))
+    return let(let(keys, both), compare)
 
 
 def by_aspect(df: DataFrame, key: str, weights: str, metrics: list[str]) -> DataFrame:

@@ -91,19 +91,24 @@ def vector_top1_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_TOP1}, f AS (SELECT query_id, query_id % 50 = 0 AS e, cosine >= 0.35 AS s FROM top)
+    f"""WITH {_TOP1}, x AS (SELECT vec_id, trim(text) AS k FROM embeddings JOIN documents ON doc_id = vec_id),
+f AS (SELECT query_id, EXISTS (SELECT 1 FROM x q JOIN x c ON q.k = c.k WHERE q.vec_id = query_id AND c.vec_id % 10 <> 0) AS e, cosine >= 0.35 AS s FROM top)
 SELECT count(*) AS n_rows, count(*) FILTER (e) AS n_exact, count(*) FILTER (s) AS n_near, count(*) FILTER (e AND s) AS n_both, count(*) FILTER (e OR s) AS n_removed, count(*) FILTER (NOT (e OR s)) AS n_kept FROM f"""
 )
 def combined_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose id is divisible by 50 stand for the exact hits, as vectors have no text here."""
+    """A row's text is that of the document of its id: exact hits share it with a row of the corpus."""
     q, c = _sides(spark, sf_dir)
-    return dedup.decontaminated(q, q.where("id % 50 = 0"), dedup.nearest_vectors(q, c), threshold=0.35)
+    keys = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), dedup.question_key(F.col("text")).alias("key"))
+    of = lambda side: side.select("id").join(keys, "id")
+    exact = of(q).join(of(c).select("key").distinct(), "key", "left_semi")
+    return dedup.decontaminated(q, exact, dedup.nearest_vectors(q, c), threshold=0.35)
 
 
 @query("SELECT d.doc_id, count(*) AS n_items, min(b.item_id) AS first_item FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY d.doc_id")
 def decontaminate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage. A passage's first words are the join key, found at every word start,
-    so that only rows that share them are compared."""
+    so that only rows that share them are compared; a shorter passage's key is of the words between its first and its
+    last. Only passages of one or two words have none, and are looked for in every text."""
     words = 5
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.split("text", r"[ \n]").alias("w"))
     # the first word of a passage may be the end of a longer word in a document, so the key begins after it
@@ -111,9 +116,18 @@ def decontaminate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = b.where(F.size("w") <= words + 1)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     w = docs.select("doc_id", F.split("text", r"[ \n]").alias("w"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1)))
-    grams = w.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(words)), " ")))).alias("k"))
-    hits = grams.join(inner, "k").select("doc_id", "item_id", "passage")
-    near = hits.distinct().join(docs, "doc_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
-    near = near.unionByName(docs.join(short, F.contains("text", "passage")).select("doc_id", "item_id"))
+
+    def hits(n: int, keyed: DataFrame) -> DataFrame:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
+        grams = w.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")))).alias("k"))
+        return grams.join(keyed, "k").select("doc_id", "item_id", "passage")
+
+    found = hits(words, inner)
+    sizes = sorted(r[0] for r in short.select(F.size("w")).distinct().collect())  # words + 1 numbers at most
+    for n in sizes:
+        if n > 2:
+            found = found.unionByName(hits(n - 2, short.where(F.size("w") == n).select("item_id", "passage", F.array_join(F.slice("w", F.lit(2), F.lit(n - 2)), " ").alias("k"))))
+    near = found.distinct().join(docs, "doc_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
+    if sizes and sizes[0] <= 2:
+        near = near.unionByName(docs.join(short.where(F.size("w") <= 2), F.contains("text", "passage")).select("doc_id", "item_id"))
     return near.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"))

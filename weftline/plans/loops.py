@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from weftline.functions import codemetrics, steps
 from weftline.operators import expansion
 from weftline.plans.base import query, table
 from weftline.plans.measures import rounded
+from weftline.sources.shared import shared_folder
 from weftline.streaming import streams
 
 
@@ -109,10 +110,7 @@ def fresh_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_append_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of the table's file, appended as JSON lines and read again."""
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    import uuid
-
-    out = f"{home.rstrip('/')}/trace-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/trace-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events")
     stream = streams.file_stream(spark, f"{sf_dir}/events.parquet*", events.schema).select("event_id", "user_id", "event_type")
     streams.append_trace(stream, f"{out}/data", f"{out}/state").awaitTermination()

@@ -31,12 +31,12 @@ def prep_preference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT string_agg('Q: ' || left(text, 20) || chr(10) || 'A: ' || item_id, chr(10) || chr(10) ORDER BY item_id) AS shots FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 3))
-SELECT item_id, shots || chr(10) || chr(10) || 'Q: ' || left(text, 20) || chr(10) || 'A:' AS prompt FROM benchmark, s WHERE item_id > (SELECT max(item_id) FROM (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 3))"""
+    """WITH s AS (SELECT string_agg('Q: ' || text || chr(10) || 'A: ' || item_id, chr(10) || chr(10) ORDER BY item_id) AS shots FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 3))
+SELECT item_id, shots || chr(10) || chr(10) || 'Q: ' || text || chr(10) || 'A:' AS prompt FROM benchmark, s WHERE item_id > (SELECT max(item_id) FROM (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 3))"""
 )
 def fewshot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
-    q = F.concat(F.lit("Q: "), F.substring("text", 1, 20), F.lit("\nA:"))
+    q = F.concat(F.lit("Q: "), F.col("text"), F.lit("\nA:"))
     first = b.orderBy("item_id").limit(3)
     shots = first.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_id", F.concat(q, F.lit(" "), F.col("item_id").cast("string")).alias("x")))), lambda s: s["x"]), "\n\n").alias("shots"), F.max("item_id").alias("last"))
     return b.crossJoin(F.broadcast(shots)).where("item_id > last").select("item_id", F.concat("shots", F.lit("\n\n"), q).alias("prompt"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.operators import groupstats, policy
+from weftline.operators import batch, groupstats, policy
 from weftline.plans.base import query, table
 
 KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -220,13 +220,11 @@ k AS (SELECT *, row_number() OVER (ORDER BY cov DESC, event_id) AS n FROM c)
 SELECT event_id, round(-adv * exp(new - old) + CASE WHEN n <= greatest(1, (SELECT floor(count(*) * 0.02) FROM c)) THEN abs(new - old) ELSE 0 END, 6) AS loss FROM k"""
 )
 def kl_cov_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tokens of the largest covariances pay a penalty. Their threshold comes from a distributed sort by rank:
-    the k-th largest covariance is found by a limit over (cov, event_id), not by one global window."""
+    """The tokens of the largest covariances pay a penalty. Ranks are counted range by range, in no single task."""
     c = policy.covariance(tokens(spark, sf_dir).where("mask"), "new", "adv", "mask").withColumn("cov", F.round("cov", 9))
     k = max(1, int(c.count() * 0.02))
-    top = c.select("event_id", "cov").orderBy(F.desc("cov"), "event_id").limit(k).select("event_id", F.lit(1).alias("top"))
-    out = c.join(top, "event_id", "left")
-    return out.select("event_id", F.round(-F.col("adv") * F.exp(F.col("new") - F.col("old")) + F.when(F.col("top") == 1, F.abs(F.col("new") - F.col("old"))).otherwise(0.0), 6).alias("loss"))
+    out = batch.with_position(c.withColumn("low", -F.col("cov")), ["low", "event_id"])
+    return out.select("event_id", F.round(-F.col("adv") * F.exp(F.col("new") - F.col("old")) + F.when(F.col("row_id") < k, F.abs(F.col("new") - F.col("old"))).otherwise(0.0), 6).alias("loss"))
 
 
 @query(f"WITH {TOKENS} SELECT event_id, round(0.5 * greatest((new - r) * (new - r), (greatest(least(new, old + 0.05), old - 0.05) - r) * (greatest(least(new, old + 0.05), old - 0.05) - r)), 10) AS loss FROM tok")

@@ -34,9 +34,11 @@ def trimmed_header(df: DataFrame) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines without a byte order mark and blank ones, with the file and offset order that Spark reads them in."""
-    df = spark.read.text(path).withColumn("value", F.regexp_replace("value", "^﻿", ""))
-    return df.where(F.trim("value") != "").withColumn("line_order", F.monotonically_increasing_id())
+    """Lines without a byte order mark and blank ones, in the order of the files' names and of the lines in them, however
+    Spark lists and splits the files."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line"))
+    df = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value"), place.alias("line_order"))
+    return df.where(F.trim("value") != "")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True, limit: int = 0) -> DataFrame:
@@ -47,7 +49,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True,
     parsed = _lines(spark, path).select("line_order", "value", F.from_json("value", probe, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("r"))
     bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
     if strict:
-        check = F.when(bad, F.raise_error(F.concat(F.lit("malformed line: "), F.substring("value", 1, 200))).cast("boolean")).otherwise(True)
+        check = F.when(bad, F.raise_error(F.concat(F.lit("malformed line in "), F.col("line_order.file_path"), F.lit(": "), F.substring("value", 1, 200))).cast("boolean")).otherwise(True)
         parsed = parsed.where(check)
     else:
         parsed = parsed.where(~bad)
