@@ -80,3 +80,12 @@ def test_fallback_scores(spark):
     got = values(spark, ["we find that x = 3 here", "short", ""], replies.fallback_scores)
     assert [round(v.aggregate_score, 6) for v in got] == [pytest.approx(0.18 * 0.82 + 0.24 * 0.78 + 0.24 * 0.85 + 0.17 * 0.8 + 0.17 * 0.68), pytest.approx(0.18 * 0.82 + 0.24 * 0.78 + 0.24 * 0.65 + 0.17 * 0.55 + 0.17 * 0.45), pytest.approx(0.18 * 0.82 + 0.24 * 0.65 + 0.17 * 0.55 + 0.17 * 0.45)]
     assert [v.accepted for v in got] == [True, True, False]
+
+
+def test_agreement(spark):
+    cases = [
+        ("\\frac12", "0.5", True), ("50\\%", "0.5", True), ("3 feet", "3", True), ("1,000", "1000", True), ("-\\frac{3}{4}", "-0.75", True), ("2 1/2", "2.5", True), ("\\frac{1}{3}", "0.3333", False),
+        ("(1, \\frac12)", "(1,0.5)", True), ("(1,2]", "(1,2)", False), ("(1,2)", "(1,3)", False), ("x+1", "1+x", False), ("x+1", "x + 1", True), (None, "1", False), ("1/0", "1", False),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a string, b string, want boolean").withColumn("got", latex.agrees(F.col("a"), F.col("b"))).collect()
+    assert [(r.a, r.b) for r in rows if r.got != r.want] == []

@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions import execution, textscores
+from weftline.functions import answers, execution, textscores
 from weftline.operators import mixing, samples
+from weftline.sources import files, reports
 
 
 def test_common_subsequence_against_a_table():
@@ -65,3 +66,43 @@ def test_kinds_shares_and_ids(spark):
     clash = spark.createDataFrame([(0, "m", 1, "v1"), (1, "m", 2, "v2")], "w int, name string, value int, version string")
     with pytest.raises(Exception, match="workers differ"):
         mixing.merged_metrics(clash, "w", "name", "value", ["version"]).collect()
+
+
+def test_batches_folders_and_names(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, t string")
+    files.save_batch(df, str(tmp_path / "b"), {"step": 3, "keys": ["k"]})
+    rows, meta = files.load_batch(spark, str(tmp_path / "b"))
+    assert sorted(map(tuple, rows.collect())) == [(1, "a"), (2, "b")] and meta == {"step": 3, "keys": ["k"]}
+    files.append_rows(spark, str(tmp_path / "t"), df)
+    assert files.append_rows(spark, str(tmp_path / "t"), df.where("k = 1")).count() == 3
+    (tmp_path / "f").mkdir()
+    for name, line in (("x.json", '{"k": 1}'), ("y.jsonl", '{"k": 2}\n{"k": 3}'), ("z.txt", '{"k": 4}')):
+        (tmp_path / "f" / name).write_text(line)
+    assert sorted(r.k for r in files.read_folder(spark, str(tmp_path / "f"), "k int").collect()) == [1, 2, 3]
+    paths = spark.createDataFrame([("run/t0.7_n16/a.parquet",), ("other",)], "p string").select(files.hyper_parameters(F.col("p"), r"t(?<temperature>[0-9.]+)_n(?<samples>[0-9]+)").alias("h"))
+    assert [r.h for r in paths.collect()] == [{"temperature": "0.7", "samples": "16"}, None]
+
+
+def test_reports(spark, monkeypatch):
+    df = spark.createDataFrame([("a|b", 2.0), ("<c>", None), ("d", 1.0)], "name string, v double")
+    assert reports.markdown(df, "T") == "## T\n\n| name | v |\n| --- | --- |\n| a\\|b | 2.0000 |\n| <c> |  |\n| d | 1.0000 |\n"
+    svg = reports.bars(df, "name", "v", "x & y")
+    assert svg.count("<rect") == 3 and "&lt;c&gt;" in svg and "x &amp; y" in svg and 'width="340.0"' in svg and 'width="170.0"' in svg
+    monkeypatch.setattr(reports, "MOST_ROWS", 2)
+    with pytest.raises(ValueError):
+        reports.markdown(df)
+
+
+def test_scorers_from_files(spark, tmp_path):
+    (tmp_path / "own.py").write_text("def rule(text, truth, bonus):\n    return (text == truth).cast('double') + bonus\n")
+    rule = answers.load_scorer(str(tmp_path / "own.py"), "rule", bonus=0.5)
+    answers.register_scorer("own", rule)
+    try:
+        df = spark.createDataFrame([("own", "a", "a"), ("own", "a", "b")], "s string, x string, y string").select(answers.dispatch(F.col("s"), F.col("x"), F.col("y")).alias("v"))
+        assert sorted(r.v for r in df.collect()) == [0.5, 1.5]
+        with pytest.raises(ValueError):
+            answers.register_scorer("own", rule)
+    finally:
+        del answers.SCORERS["own"]
+    with pytest.raises(AttributeError):
+        answers.load_scorer(str(tmp_path / "own.py"), "missing")

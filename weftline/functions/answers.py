@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import importlib.util
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ REMOVED = [
 ]
 #: ASCII punctuation, as a class for both regex dialects.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
+# How a number in an answer is written.
 NUMBER = r"(\-?[0-9\.\,]+)"
 
 
@@ -141,6 +146,25 @@ SCORERS = {
 }
 
 
+def register_scorer(name: str, rule: Callable[[Column, Column], Column]) -> None:
+    """Adds a source's rule (text, truth) -> Column; names are taken once."""
+    if name in SCORERS:
+        raise ValueError(f"{name} has a scorer")
+    SCORERS[name] = rule
+
+
+def load_scorer(path: str, function: str, **options) -> Callable[[Column, Column], Column]:
+    """A rule from a Python file, with its options bound: ``function(text, truth, **options)`` has to give a Column."""
+    spec = importlib.util.spec_from_file_location("custom_scorer", path)
+    if spec is None or spec.loader is None:
+        raise FileNotFoundError(path)
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    if not hasattr(module, function):
+        raise AttributeError(f"{path} has no {function}")
+    return partial(getattr(module, function), **options)
+
+
 def dispatch(source: Column, text: Column, truth: Column) -> Column:
     """The score of each row by its source's rule; an unknown source fails the job."""
     out = None

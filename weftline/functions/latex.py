@@ -115,6 +115,40 @@ def short_form(answer: Column) -> Column:
     return let(F.replace(t, F.lit(","), F.lit("")), lambda plain: F.when(plain.rlike("^-?[0-9]+(\\.0*)?$"), F.regexp_replace(plain, "\\.0*$", "")).otherwise(t))
 
 
+def number_of(answer: Column) -> Column:
+    """The value of a short form that is a number, a fraction of two, or a mixed number; null otherwise."""
+
+    def value(t: Column) -> Column:
+        of = lambda i: F.regexp_extract(t, r"^(-?[0-9.]+)(?:/([0-9.]+))?$", i).try_cast("double")
+        latex_fraction = lambda i: F.regexp_extract(t, r"^(-?)\\frac([0-9]+)/([0-9]+)$", i)
+        mixed = lambda i: F.regexp_extract(t, r"^([0-9]+)\+([0-9]+)/([0-9]+)$", i).try_cast("double")
+        plain = F.when(of(2).isNull(), of(1)).when(of(2) != 0, of(1) / of(2))
+        whole = F.when(mixed(3) != 0, mixed(1) + mixed(2) / mixed(3))
+        signed = F.when(latex_fraction(3).try_cast("double") != 0, F.when(latex_fraction(1) == "-", -1.0).otherwise(1.0) * latex_fraction(2).try_cast("double") / latex_fraction(3).try_cast("double"))
+        return F.coalesce(plain, whole, signed)
+
+    # a fraction keeps a mark between its parts when its braces go
+    return let(short_form(F.regexp_replace(answer, r"\\[dt]?frac\{([0-9]+)\}\{([0-9]+)\}", r"\\frac$1/$2")), value)
+
+
+def agrees(answer: Column, truth: Column, tolerance: float = 1e-9) -> Column:
+    """Whether an answer agrees with the truth by one of several ways, the strictest first: as normal forms, as short
+    forms, as numbers (a percentage may stand for its hundredth or the other way round), element by element as tuples
+    with the same brackets. Expressions with unknowns are compared as text only."""
+
+    def same(a: Column, b: Column) -> Column:
+        near = lambda x, y: F.abs(x - y) <= tolerance * F.greatest(F.abs(y), F.lit(1.0))
+        numbers = let(F.struct(number_of(a).alias("x"), number_of(b).alias("y")), lambda s: F.coalesce(near(s["x"], s["y"]) | near(s["x"], s["y"] * 100) | near(s["x"] * 100, s["y"]), F.lit(False)))
+        return equivalent(a, b) | F.coalesce(short_form(a) == short_form(b), F.lit(False)) | numbers
+
+    def tuples(s: Column) -> Column:
+        alike = (F.size(s["x"]) == F.size(s["y"])) & (F.size(s["x"]) > 1) & (_first(answer) == _first(truth)) & (F.substr(answer, F.length(answer)) == F.substr(truth, F.length(truth)))
+        return alike & F.forall(F.arrays_zip(s["x"], s["y"]), lambda p: same(p["x"], p["y"]))
+
+    elements = F.struct(tuple_elements(answer).alias("x"), tuple_elements(truth).alias("y"))
+    return F.when(answer.isNull() | truth.isNull(), False).otherwise(same(answer, truth) | F.coalesce(let(elements, tuples), F.lit(False)))
+
+
 def without_thousands(text: Column) -> Column:
     """Numbers without the commas that part well-formed groups of three digits."""
     comma = r"([0-9]),([0-9]{3})(?=$|[^0-9])"

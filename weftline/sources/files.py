@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,34 @@ def read(spark: SparkSession, paths: str | list[str], schema: T.StructType | str
     return reader.format(kind).load(paths)
 
 
+def read_folder(spark: SparkSession, folder: str, schema: T.StructType | str, pattern: str = "*.json*") -> DataFrame:
+    """JSON and JSON-lines files of a folder in any store that Spark reads (s3a://, gs://, hdfs://, file)."""
+    return spark.read.schema(schema).option("pathGlobFilter", pattern).json(folder)
+
+
+def hyper_parameters(path: Column, pattern: str) -> Column:
+    """The named groups of a pattern in a file's path, by name; a path without a match has none."""
+    names = re.findall(r"\(\?<([A-Za-z][A-Za-z0-9]*)>", pattern)
+    entries = [F.struct(F.lit(n).alias("key"), F.regexp_extract(path, pattern, i + 1).alias("value")) for i, n in enumerate(names)]
+    return F.when(path.rlike(pattern), F.map_from_entries(F.array(*entries)))
+
+
+def append_rows(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """The Parquet table at ``path`` with new rows, for the next epoch: written beside the old ones, and read again."""
+    rows.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def save_batch(df: DataFrame, path: str, meta: dict) -> None:
+    """A batch with what describes it: rows as Parquet, the description as one line of JSON beside them."""
+    df.write.mode("overwrite").parquet(f"{path}/rows")
+    df.sparkSession.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def load_batch(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    return spark.read.parquet(f"{path}/rows"), json.loads(spark.read.text(f"{path}/meta").first()[0])
+
+
 def trimmed_header(df: DataFrame) -> DataFrame:
     return df.toDF(*(c.strip() for c in df.columns))
 
