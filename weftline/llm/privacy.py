@@ -20,6 +20,8 @@ MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 PRIOR_TEXTS = 5.0
 #: A term reveals an entity if, given the term, at most so many bits of it remain unknown, and so many at least were told.
 RESIDUAL_BITS, TOLD_BITS = 0.6, 2.0
+#: One in so many texts is counted first, to find terms that are too common to reveal anything.
+PART = 16
 #: Terms that are sent to all executors at most; beyond, they are joined.
 BROADCAST_TERMS = 500_000
 #: Ids of further copies that are sent to all executors at most; beyond, they are joined.
@@ -197,8 +199,11 @@ def revealing(docs: DataFrame) -> DataFrame:
         of_text = private.select("digest", F.explode("entities").alias("entity")).join(value, "entity")
         pairs = pairs.unionByName(of_text.join(private.select("digest", "terms"), "digest").select("entity", "n_entity", F.explode("terms").alias("term")).groupBy("term", "entity").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")))
     share = F.col("n_entity") / total
-    pairs = checkpointed(pairs.where((F.col("n_both") > 0) & reveals(F.col("n_both"), F.col("n_both"), share)))
-    wanted = checkpointed(pairs.select("term").distinct())
+    pairs = pairs.where((F.col("n_both") > 0) & reveals(F.col("n_both"), F.col("n_both"), share)).join(held.select("term", "n_any"), "term")
+    # the most texts without spans that may hold a term which reveals the entity
+    room = (F.col("n_both") + PRIOR_TEXTS * share) * 2**RESIDUAL_BITS - PRIOR_TEXTS - F.col("n_any")
+    pairs = checkpointed(pairs.withColumn("room", room + 1e-6).where(F.col("room") >= 0))
+    wanted = checkpointed(pairs.groupBy("term").agg(F.max("room").alias("room")))
     if not wanted.count():
         return pairs.select("term", "entity")
     # the texts without spans that hold the terms; of copies one counts
@@ -206,9 +211,13 @@ def revealing(docs: DataFrame) -> DataFrame:
     again = scanned.join(again, "digest").where(F.struct("doc_id", "mark") != F.col("first")).select("doc_id", "mark").distinct()
     again = checkpointed(again)
     once = keyed(docs).join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, ["doc_id", "mark"], "left_anti")
+    # what a part of the texts holds is a lower bound for all: terms that are too many there already reveal nothing,
+    # which spares counting common words everywhere
+    early = texts_with_terms(once.where(F.pmod("mark", F.lit(PART)) == 0), wanted.select("term"))
+    wanted = checkpointed(wanted.join(early, "term", "left").where(F.coalesce("n", F.lit(0)) <= F.col("room")).select("term"))
     clean = texts_with_terms(once, wanted)
-    n_term = held.select("term", "n_any").join(wanted, "term", "left_semi").join(clean, "term", "left").select("term", (F.col("n_any") + F.coalesce("n", F.lit(0))).alias("n_term"))
-    return pairs.join(n_term, "term").where(reveals(F.col("n_both"), F.col("n_term"), share)).select("term", "entity")
+    n_term = wanted.join(clean, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n_clean"))
+    return pairs.join(n_term, "term").withColumn("n_term", F.col("n_any") + F.col("n_clean")).where(reveals(F.col("n_both"), F.col("n_term"), share)).select("term", "entity")
 
 
 SPAN = "array<struct<kind:string,start:int,stop:int>>"
