@@ -18,8 +18,10 @@ FEEDBACK = ["preserve", "fix", "avoid", "evidence"]
 # The weights of a step's scores.
 WEIGHTS = {"similarity": 0.18, "logic_consistency": 0.24, "formula_correctness": 0.24, "completeness": 0.17, "reasoning_gain": 0.17}
 
+# How formulas and fenced blocks are found, and what a reply without JSON gets as its rationale.
 FORMULA = r"[A-Za-z0-9().\s+\-*/^=<>]{3,}"
 FENCE = r"(?s)```(?:json)?\s*(.*?)```"
+NO_JSON = "Parsed from non-JSON model response."
 
 
 def _trimmed(t: Column) -> Column:
@@ -89,13 +91,12 @@ def reply_rewrite(reply: Column) -> Column:
     """code, reasoning and rationale of a rewrite: from a JSON object, or from one between fences, else the code is what
     stands between the fences, or the whole reply."""
     empty = F.array().cast("array<string>")
-    note = "Parsed from non-JSON model response."
 
     def of(t: Column) -> Column:
         o = F.from_json(t, "code string, reasoning array<string>, rationale string")
         is_object = _is_json(t) & t.rlike(r"^\s*\{")
         got = F.struct(_trimmed(F.coalesce(o["code"], F.lit(""))).alias("code"), F.coalesce(o["reasoning"], empty).alias("reasoning"), _trimmed(F.coalesce(o["rationale"], F.lit(""))).alias("rationale"))
-        plain = F.struct(t.alias("code"), empty.alias("reasoning"), F.lit(note).alias("rationale"))
+        plain = F.struct(t.alias("code"), empty.alias("reasoning"), F.lit(NO_JSON).alias("rationale"))
         return F.when(is_object, got).otherwise(plain)
 
     return let(_trimmed(reply), lambda t: F.when(~_is_json(t) & _fenced(t).isNotNull(), let(_trimmed(F.coalesce(_fenced(t), F.lit(""))), of)).otherwise(of(t)))

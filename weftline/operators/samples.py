@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The tag of searched sources, and the task that rows without one have.
+SEARCH_TAG = "searchR1_"
+TASK = "general ask-for-assistance task"
+
 
 def first_filled(df: DataFrame, *names: str) -> Column:
     """The first of the columns that is there and neither null nor empty, else an empty text."""
@@ -20,7 +24,7 @@ def collapsed(df: DataFrame, system: str, source: str, agent: str, index: Column
             raise ValueError(f"missing column {c}")
     truth = first_filled(df, "ground_truth", "single_turn_completion", "completion")
     prompt = F.concat(F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"))), F.transform("prompt", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))))
-    task = F.coalesce(F.col("task_desc"), F.lit("general ask-for-assistance task")) if "task_desc" in df.columns else F.lit("general ask-for-assistance task")
+    task = F.coalesce(F.col("task_desc"), F.lit(TASK)) if "task_desc" in df.columns else F.lit(TASK)
     rest = [c for c in df.columns if c not in ("prompt", "ground_truth", "extra_info", "single_turn_prompt", "task_desc")]
     kwargs = F.struct(F.lit(source).alias("name"), F.col("single_turn_prompt"), task.alias("task_desc"))
     return df.select(
@@ -41,7 +45,7 @@ def evaluation_samples(df: DataFrame, index: Column) -> DataFrame:
 
 def search_sample(question: Column, truth: Column, source: Column, split: str, index: Column, system: str, prefix: str) -> list[Column]:
     """The columns of a question that is answered by searching: tagged source, prompt, and what the search tool gets."""
-    tagged = F.concat(F.lit("searchR1_"), F.coalesce(source, F.lit("")))
+    tagged = F.concat(F.lit(SEARCH_TAG), F.coalesce(source, F.lit("")))
     q = F.coalesce(question, F.lit(""))
     prompt = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), F.concat(F.lit(prefix.rstrip("\n")), q).alias("content")))
     tools = F.struct(F.struct(F.struct(truth.alias("ground_truth"), q.alias("question"), tagged.alias("data_source")).alias("create_kwargs")).alias("search"))
