@@ -135,10 +135,10 @@ def test_whitening_against_numpy(spark):
     check_whitening(rows, whitening.whitened(others, "vec_id", "embedding").collect())
 
 
-def test_sums_in_parts_give_the_same(spark, monkeypatch):
+def test_triangle_in_parts_gives_the_same(spark, monkeypatch):
     rows = [(i, np.random.default_rng(i).standard_normal(5).tolist()) for i in range(30)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    monkeypatch.setattr(whitening, "SUMS", 4)
+    monkeypatch.setattr(whitening, "WIDTH", 2)
     check_whitening(rows, whitening.whitened(df, "vec_id", "embedding").collect())
 
 

@@ -13,27 +13,29 @@ from pyspark.sql import functions as F
 from weftline.llm.common import checkpointed, table
 
 COMPONENTS, SCALE, SHIFT = 32, 64, 1_000_000
-#: Sums of one aggregation: the upper triangle of 90 dimensions; more dimensions take several.
-SUMS = 4096
-#: Groups in which the tasks' sums meet before they meet in one row.
-MEETING = 32
+#: Columns of the triangle in a group; Spark compiles aggregations of up to 100 columns as one stage.
+WIDTH = 64
 #: The largest entry that stands for itself; farther ones count as it.
 FAR = 1 << 62
 
 
-def upper_triangle(centred: DataFrame, names: list[str], n: int) -> np.ndarray:
-    """The covariance (divisor ``n``) of centred columns: an expression sums the products of each pair of columns, all
-    in one aggregation (of SUMS at most). Tasks' sums meet in MEETING groups first, so that the last task adds so many rows."""
-    d = len(names)
+def upper_triangle(centred: DataFrame, d: int, n: int) -> np.ndarray:
+    """The covariance (divisor ``n``) of the ``d`` entries of the centred array column ``y``, by one aggregation.
+
+    A group is a row of the triangle (WIDTH columns of it, if it is longer), and an expression for each column sums the
+    products of the row's entry with that column's; entries left of the diagonal are not summed. So many expressions
+    stay within one compiled stage, which a column for each pair of dimensions would not, and tasks send their sums.
+    """
+    last = (d - 1) // WIDTH
+    rows = centred.select("y", F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("i"))
+    rows = rows.select("y", "i", F.get("y", F.col("i")).alias("a"), F.explode(F.expr(f"sequence(int(i div {WIDTH}), {last})")).alias("b"))
+    sums = rows.groupBy("i", "b").agg(*(F.expr(f"sum(if(i <= {WIDTH} * b + {k}, a * get(y, {WIDTH} * b + {k}), null)) as s{k}") for k in range(min(d, WIDTH))))
     out = np.zeros((d, d))
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    some = centred.withColumn("meeting", F.pmod(F.spark_partition_id(), F.lit(MEETING)))
-    for at in range(0, len(pairs), SUMS):
-        part = pairs[at : at + SUMS]
-        sums = some.groupBy("meeting").agg(*(F.expr(f"sum({names[i]} * {names[j]}) as s{i}_{j}") for i, j in part))
-        row = sums.agg(*(F.expr(f"sum(s{i}_{j}) as s{i}_{j}") for i, j in part)).first()
-        for (i, j), v in zip(part, row, strict=True):
-            out[i, j] = out[j, i] = (v or 0.0) / n
+    for r in sums.collect():  # a row of the triangle each
+        for k in range(min(d, WIDTH)):
+            j = WIDTH * r.b + k
+            if r.i <= j < d:
+                out[r.i, j] = out[j, r.i] = (r[f"s{k}"] or 0.0) / n
     return out
 
 
@@ -69,8 +71,9 @@ def whitened(df: DataFrame, id_column: str, vector: str, components: int = COMPO
     sums = [int(s) for s in sums]
     near = [round(Fraction(s, n)) for s in sums]  # integers next to the means, and what remains of the means
     rest = [float(Fraction(s, n) - c) for s, c in zip(sums, near, strict=True)]
-    centred = x.select(*((F.col("x")[i] - F.lit(near[i])).cast("double").alias(f"w{i}") for i in range(d))).select(*((F.col(f"w{i}") - F.lit(rest[i])).alias(f"y{i}") for i in range(d)))
-    cov = upper_triangle(centred, [f"y{i}" for i in range(d)], n)
+    fixed = [F.array(*map(F.lit, c)) for c in (near, rest)]
+    centred = x.select(F.transform("x", lambda c, i: (c - F.get(fixed[0], i)).cast("double") - F.get(fixed[1], i)).alias("y"))
+    cov = upper_triangle(centred, d, n)
     top = float(np.abs(cov).max())
     if top == 0:
         return nothing
@@ -95,9 +98,9 @@ def whitened(df: DataFrame, id_column: str, vector: str, components: int = COMPO
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(deviation, pa.int64()), lists], ["id", "deviation", "on"])
 
     done = checkpointed(x.mapInArrow(run, f"id {kind}, deviation long, on array<double>"))
-    names = [f"w{i}" for i in range(k)]
-    means = done.agg(*(F.avg(F.col("on")[i]).alias(w) for i, w in enumerate(names))).first()
-    again = upper_triangle(done.select(*((F.col("on")[i] - F.lit(means[i])).alias(w) for i, w in enumerate(names))), names, n)
+    means = done.agg(*(F.avg(F.col("on")[i]).alias(f"m{i}") for i in range(k))).first()
+    middle = F.array(*map(F.lit, means))
+    again = upper_triangle(done.select(F.transform("on", lambda c, i: c - F.get(middle, i)).alias("y")), k, n)
     error = float(np.abs(again - np.eye(k)).max())
     rows = done.select("id", "deviation", F.posexplode("on").alias("at", "whitened"))
     share = F.array(*map(F.lit, explained))
