@@ -20,6 +20,8 @@ DOWN = 2
 TOGETHER = 1 << 17
 #: Pairs of subtrees of a task.
 PAIRS_PER_TASK = 200
+#: Nodes that are sent to all executors at most; beyond, both sides are shuffled, and large partitions split by Spark's skew join.
+BROADCAST_NODES = 1_000_000
 #: Hashes whose bits are counted together.
 COUNTED = 1 << 16
 
@@ -150,8 +152,10 @@ def links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
         pairs = part if pairs is None else pairs.unionByName(part)
     pairs = checkpointed(pairs.where((F.col("a") != F.col("b")) | (F.col("n_a") > 1)))
     tasks = max(1, -(-pairs.count() // PAIRS_PER_TASK))
-    used = pairs.select("depth", F.explode(F.array("a", "b")).alias("node")).distinct()
-    depths = [at for at, _ in ready]
+    used = checkpointed(pairs.select("depth", F.explode(F.array("a", "b")).alias("node")).distinct())
+    depths = [r.depth for r in used.select("depth").distinct().collect()]  # of 64 at most
+    # a print of a node that was split at this depth is not sent, where the nodes in use fit into a broadcast
+    used = F.broadcast(used) if used.count() <= BROADCAST_NODES else used
     placed = prints.select("print", F.explode(F.array(*(F.struct(F.lit(at).alias("depth"), _bits("print", at).alias("node")) for at in depths))).alias("p")).select("print", "p.depth", "p.node")
     held = checkpointed(placed.join(used, ["depth", "node"]).groupBy("depth", "node").agg(F.collect_list("print").alias("prints")))
     rows = pairs.select("depth", "a", "b").join(held.withColumnsRenamed({"node": "a", "prints": "prints_a"}), ["depth", "a"])
