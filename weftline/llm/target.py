@@ -20,7 +20,7 @@ LEAST_WORDS, PERCENT = 20, 10
 #: Bytes by which all starts advance together; what is left of longer words goes on word by word.
 TOGETHER = 128
 #: Rows of one range of the order by score.
-RANGE_ROWS = 200_000
+RANGE_ROWS = 50_000
 
 #: Digits, small letters, and all bytes of characters beyond ASCII; capitals once they are lower-cased.
 _WORD = np.array([chr(b).isascii() and chr(b).isalnum() or b >= 128 for b in range(256)])
@@ -115,10 +115,10 @@ def gains(docs: DataFrame, target: DataFrame, words: int = WORDS, buckets: int =
     return np.array([math.floor(1000 * math.log((t + 1.0) * (s_all + buckets) / ((s + 1.0) * (t_all + buckets)))) for s, t in zip(*counts, strict=True)], dtype=np.int64)
 
 
-def _sampled(docs: DataFrame, target: DataFrame, percent: int, least_words: int, words: int, buckets: int, seed: int, name: str) -> DataFrame:
-    """``docs`` with a struct ``name``: n_features, weight, score, rank."""
+def _sampled(docs: DataFrame, target: DataFrame, percent: int, least_words: int, words: int, buckets: int, seed: int, name: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (its id among them) with a struct ``name``: n_features, weight, score, rank. They are all that is written and ordered."""
     gain = gains(docs, target, words, buckets)
-    text = docs.columns.index("text")
+    text, kept = docs.columns.index("text"), [docs.columns.index(c) for c in keep]
 
     def run(batches):
         for b in steps(batches, "text"):
@@ -126,15 +126,16 @@ def _sampled(docs: DataFrame, target: DataFrame, percent: int, least_words: int,
             weight = np.zeros(b.num_rows, dtype=np.int64)
             np.add.at(weight, row, gain[bucket])
             more = [pa.array(n_words, pa.int64()), pa.array(np.bincount(row, minlength=b.num_rows), pa.int64()), pa.array(weight, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *own])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *more], [*keep, *own])
 
     own = [unused(x, docs.columns) for x in ("n_words", "n_features", "weight")]
-    fields = [*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in own)]
+    fields = [*(docs.schema.fields[i] for i in kept), *(T.StructField(x, T.LongType()) for x in own)]
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("long")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / F.lit(4294967296.0))))
     scored = docs.mapInArrow(run, T.StructType(fields)).withColumn(name, F.struct((F.col(own[0]) >= least_words).alias("enough"), F.col(own[1]).alias("n_features"), F.col(own[2]).alias("weight"), (F.col(own[2]) + noise).alias("score"))).drop(*own)
+    scored = checkpointed(scored)  # else the order's sample would read all texts once more
     order = [F.desc(f"{name}.enough"), F.desc(f"{name}.score"), F.asc_nulls_last("doc_id")]
-    ranges = max(1, -(-docs.count() // RANGE_ROWS))
+    ranges = max(1, -(-scored.count() // RANGE_ROWS))
     # the written order: a row's place in its range is part of the id that Spark gives it
     ranged = checkpointed(scored.repartitionByRange(ranges, *order).sortWithinPartitions(*order))
     place, part = unused("place", ranged.columns), unused("part", ranged.columns)
@@ -143,7 +144,7 @@ def _sampled(docs: DataFrame, target: DataFrame, percent: int, least_words: int,
     before = sizes.select(part, (F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias(f"{place}_before"), F.sum("enough").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(f"{place}_enough"))  # a row a range
     rank = F.col(f"{place}_before") + F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) + 1
     drawn = F.when(F.col(f"{name}.enough") & (rank <= F.floor(F.col(f"{place}_enough") * percent / 100)), rank)
-    return placed.join(F.broadcast(before), part).withColumn(name, F.struct(f"{name}.n_features", f"{name}.weight", f"{name}.score", drawn.cast("long").alias("rank"))).select(*docs.columns, name)
+    return placed.join(F.broadcast(before), part).withColumn(name, F.struct(f"{name}.n_features", f"{name}.weight", f"{name}.score", drawn.cast("long").alias("rank"))).select(*keep, name)
 
 
 def importance(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, words: int = WORDS, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
@@ -162,14 +163,14 @@ def importance(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least
     each, in any order among equal ones. A very long text is a step of its own, a very long word is read on by itself
     after TOGETHER bytes. Other columns, whatever their names, are ignored; no rows give no rows.
     """
-    return _sampled(docs.select("doc_id", "text"), target, percent, least_words, words, buckets, seed, "sampling").select("doc_id", "sampling.*")
+    return _sampled(docs.select("doc_id", "text"), target, percent, least_words, words, buckets, seed, "sampling", ["doc_id"]).select("doc_id", "sampling.*")
 
 
 def resample(docs: DataFrame, target: DataFrame, **options) -> DataFrame:
     """The drawn rows of ``docs`` with all their columns, as ``importance`` draws them."""
     options = {"percent": PERCENT, "least_words": LEAST_WORDS, "words": WORDS, "buckets": BUCKETS, "seed": SEED} | options
     name = unused("sampling", docs.columns)
-    return _sampled(docs, target, name=name, **options).where(F.col(f"{name}.rank").isNotNull()).select(*docs.columns)
+    return _sampled(docs, target, name=name, keep=docs.columns, **options).where(F.col(f"{name}.rank").isNotNull()).select(*docs.columns)
 
 
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
