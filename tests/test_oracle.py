@@ -22,7 +22,7 @@ def con():
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    cell = lambda v: None if v is None or v != v or v is pd.NA else (float(v) + 0.0 if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v))
+    cell = lambda v: None if v is None or v is pd.NA or v != v else (float(v) + 0.0 if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v))
     return sorted((tuple(map(cell, row)) for row in df.itertuples(index=False)), key=repr)
 
 

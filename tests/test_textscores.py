@@ -83,6 +83,14 @@ def test_batches_folders_and_names(spark, tmp_path):
     assert [r.h for r in paths.collect()] == [{"temperature": "0.7", "samples": "16"}, None]
 
 
+def test_likeness_of_texts_of_no_one_and_two_words(spark):
+    cases = [("", "a b", 0.0, 0.0), ("a", "a", 100.0, 0.0), ("a", "b", 0.0, 0.0), ("a b", "a", 66.6667, 0.0), ("a b", "a b", 100.0, 100.0), ("a b", "b a", 100.0, 0.0), (None, "a", 0.0, 0.0)]
+    df = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "i int, a string, b string")
+    got = {r.i: (r.s.rouge_1, r.s.rouge_2) for r in df.select("i", textscores.overlap_scores(F.col("a"), F.col("b")).alias("s")).collect()}
+    for i, (_, _, one, two) in enumerate(cases):
+        assert got[i] == pytest.approx((one, two), abs=1e-3)
+
+
 def test_reports(spark, monkeypatch):
     df = spark.createDataFrame([("a|b", 2.0), ("<c>", None), ("d", 1.0)], "name string, v double")
     assert reports.markdown(df, "T") == "## T\n\n| name | v |\n| --- | --- |\n| a\\|b | 2.0000 |\n| <c> |  |\n| d | 1.0000 |\n"

@@ -210,7 +210,7 @@ def tuple_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ROUGE = """p AS (SELECT a.doc_id, list_filter(regexp_split_to_array(coalesce(a.text, ''), '\\s+'), lambda w: w <> '') AS x, list_filter(regexp_split_to_array(coalesce(b.text, ''), '\\s+'), lambda w: w <> '') AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
 g AS (SELECT doc_id, len(x) > 0 AND len(y) > 0 AS ok, list_distinct(x) AS x1, list_distinct(y) AS y1, list_distinct(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])) AS x2, list_distinct(list_transform(range(1, len(y)), lambda i: y[i] || ' ' || y[i + 1])) AS y2 FROM p)"""
-_F = "CASE WHEN ok THEN round(100 * coalesce(2 * (h / len({0})) * (h / len({1})) / (h / len({0}) + h / len({1}) + 1e-8), 0), 4) ELSE 0.0 END"
+_F = "CASE WHEN ok AND h > 0 THEN round(100 * (2 * (h / len({0})) * (h / len({1})) / (h / len({0}) + h / len({1}) + 1e-8)), 4) ELSE 0.0 END"
 
 
 def _successive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,11 +220,11 @@ def _successive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_ROUGE}, a AS (SELECT doc_id, {_F.format("x1", "y1")} AS rouge_1 FROM (SELECT *, len(list_intersect(x1, y1))::DOUBLE AS h FROM g)), b AS (SELECT doc_id, {_F.format("x2", "y2")} AS rouge_2 FROM (SELECT *, len(list_intersect(x2, y2))::DOUBLE AS h FROM g))
-SELECT doc_id, round(rouge_1, 3) AS rouge_1, round(rouge_2, 3) AS rouge_2 FROM a JOIN b USING (doc_id)"""
+SELECT doc_id, rouge_1, rouge_2 FROM a JOIN b USING (doc_id)"""
 )
 def rouge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _successive(spark, sf_dir).select("doc_id", textscores.overlap_scores(F.col("text"), F.col("truth")).alias("s"))
-    return s.select("doc_id", F.round("s.rouge_1", 3).alias("rouge_1"), F.round("s.rouge_2", 3).alias("rouge_2"))
+    return s.select("doc_id", "s.rouge_1", "s.rouge_2")
 
 
 @query()
