@@ -98,9 +98,8 @@ def boxed_score(text: Column, truth: Column) -> Column:
     return F.when(answer.isNotNull() & equivalent(answer, truth), 1.0).otherwise(0.0)
 
 
-def short_form(answer: Column) -> Column:
-    """A short answer without units, signs of money and percentage, braces and spaces, in lower case; whole numbers
-    without a fraction of zero and without thousands commas, mixed numbers as sums. Commands stay as they stand."""
+def plain(answer: Column) -> Column:
+    """An answer without units, signs of money and percentage and outer braces; whole numbers without a fraction of zero, mixed numbers as sums."""
     t = F.regexp_replace(answer, r"^\\text\{(.+?)\}$", "$1")
     t = _replaced(t, SHORT_FORMS)
     for unit in UNITS:
@@ -110,8 +109,13 @@ def short_form(answer: Column) -> Column:
     t = F.regexp_replace(t, r",\\! *", "")
     t = F.regexp_replace(t, r"^\s*(-?[0-9]+)\.0*\s*$", "$1")
     t = F.regexp_replace(t, "- *", "-")
-    t = F.regexp_replace(t, r"([0-9]) +([0-9])", "$1+$2")
-    t = F.lower(F.regexp_replace(t, "[ {}]", ""))
+    return F.regexp_replace(t, r"([0-9]) +([0-9])", "$1+$2")
+
+
+def short_form(answer: Column) -> Column:
+    """A short answer without units, signs of money and percentage, braces and spaces, in lower case; whole numbers
+    without a fraction of zero and without thousands commas, mixed numbers as sums. Commands stay as they stand."""
+    t = F.lower(F.regexp_replace(plain(answer), "[ {}]", ""))
     return let(F.replace(t, F.lit(","), F.lit("")), lambda plain: F.when(plain.rlike("^-?[0-9]+(\\.0*)?$"), F.regexp_replace(plain, "\\.0*$", "")).otherwise(t))
 
 
