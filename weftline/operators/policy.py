@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.batch import before, with_position
 from weftline.operators.groupstats import scalars
 
 
@@ -67,6 +68,28 @@ def covariance(df: DataFrame, log_prob: str, advantage: str, mask: str) -> DataF
     return out.withColumn("cov", F.when(F.col(mask), (F.col(advantage) - F.col("_a")) * (F.col(log_prob) - F.col("_l")))).drop("_a", "_l")
 
 
+def clip_cov(df: DataFrame, key: tuple[str, ...], new: str, old: str, advantage: str, mask: str, ratio: float = 0.0002, lower: float = 1.0, upper: float = 5.0, low: float = 0.2, high: float = 0.2, seed: int = 0) -> DataFrame:
+    """Adds ``dropped`` and ``loss``: the clipped ratio loss of each token, 0 for those that are dropped.
+
+    Dropped is a random subset, of ``ratio`` of the valid tokens (one at least), of the valid tokens that the ratio's
+    clip leaves and whose covariance of advantage and log-probability lies between the bounds (neither included). The
+    subset is those of the smallest MD5 of seed and key, so it is the same in every run; the ranks of the hashes are
+    counted range by range, and only keys travel. Of a repeated key all rows are dropped, or none. Without valid tokens
+    nothing is dropped; losses of tokens outside the mask are null.
+    """
+    valid = F.col(mask)
+    c = covariance(df, new, advantage, mask).withColumn("cov", F.round("cov", 9))
+    ratio_ = F.exp(F.col(new) - F.col(old))
+    clipped, plain = -F.col(advantage) * clamp(ratio_, 1 - low, 1 + high), -F.col(advantage) * ratio_
+    tokens = df.agg(F.count_if(valid)).first()[0]
+    count = max(int(ratio * tokens), 1)
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in key))
+    band = c.where(valid & (clipped <= plain) & (F.col("cov") > lower) & (F.col("cov") < upper)).select(*key, F.md5(text).alias("_hash")).distinct()
+    chosen = with_position(band, ["_hash", *key], "_rank").where(F.col("_rank") < count).select(*key, F.lit(True).alias("dropped"))
+    out = df.join(chosen, list(key), "left").withColumn("dropped", F.coalesce("dropped", F.lit(False)))
+    return out.withColumn("loss", F.when(valid, F.when(F.col("dropped"), 0.0).otherwise(F.greatest(plain, clipped))))
+
+
 def value_loss(value: Column, old: Column, returns: Column, clip: float = 0.5) -> Column:
     near = F.greatest(F.least(value, old + clip), old - clip)
     return 0.5 * F.greatest((value - returns) ** 2, (near - returns) ** 2)
@@ -166,6 +189,17 @@ def simpo_loss(chosen: Column, rejected: Column, beta: float, margin: float) ->
     return -log_sigmoid(beta * (chosen - rejected - margin / beta))
 
 
+def bco_loss(df: DataFrame, batch: str, chosen: str, rejected: str, reference_chosen: str, reference_rejected: str, beta: float = 0.1) -> DataFrame:
+    """Adds ``baseline`` and ``loss``: each pair's rewards against the running mean of its batch's and all earlier
+    batches' mean rewards. Batches are ordered by ``batch``; their running sums and numbers are counted range by range
+    over one row a batch. Pairs with a null count for no mean and have no loss; a null batch is no batch."""
+    good, bad = (beta * (F.col(a) - F.col(b)) for a, b in ((chosen, reference_chosen), (rejected, reference_rejected)))
+    means = df.where(F.col(batch).isNotNull()).groupBy(batch).agg(F.avg((good + bad) / 2).alias("_mean")).where("_mean is not null")
+    placed = with_position(before(means, [batch], F.col("_mean"), "_sum"), [batch], "_n")
+    running = placed.select(batch, ((F.col("_sum") + F.col("_mean")) / (F.col("_n") + 1)).alias("baseline"))
+    return df.join(running, batch, "left").withColumn("loss", -log_sigmoid(good - F.col("baseline")) - log_sigmoid(-(bad - F.col("baseline"))))
+
+
 def squared_ratio_loss(df: DataFrame, row: tuple[str, ...], new: str, old: str, mask: str, reward: str, eta: float) -> DataFrame:
     """One row: mean over rows with tokens of (summed log-ratio - eta * reward) squared."""
     m = F.col(mask).cast("double")

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.batch import with_position
+from weftline.operators.batch import before, with_position
+from weftline.sources.shared import checkpointed
 
 TARGET_NAMES = ("target", "label", "class", "y")
 
@@ -33,12 +34,34 @@ def task_type(df: DataFrame, target: str) -> str:
     return "regression" if distinct > max(20, math.isqrt(n)) else "classification"
 
 
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """(name, n, q): for each column its number of values and its quantiles at ``shares``, between neighbours by linear
+    interpolation, exact, of any number of rows.
+
+    No task holds a column: different values are counted first, so that a value of many rows is one, and the counts
+    before each are summed range by range; the values at the places asked for are then picked. Nulls don't count, NaN is
+    larger than all; a column without values has none.
+    """
+    long_ = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*")
+    counts = checkpointed(long_.where("v is not null").groupBy("name", "v").agg(F.count("*").alias("c")))
+    placed = before(counts, ["name", "v"], F.col("c"), "b")
+    sizes = counts.groupBy("name").agg(F.sum("c").alias("n"))  # a row a column
+    starts = sizes.withColumn("start", F.sum("n").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
+    own = F.col("b") - F.col("start")
+    at = lambda place: F.max(F.when((own <= place) & (place < own + F.col("c")), F.col("v")))
+    places = [(F.col("n") - 1) * F.lit(float(s)) for s in shares]
+    picked = placed.join(F.broadcast(starts), "name").groupBy("name", "n").agg(*(at(f(p)).alias(f"{k}{i}") for i, p in enumerate(places) for k, f in (("l", F.floor), ("h", F.ceil))))
+    between = [F.when(F.col(f"l{i}") == F.col(f"h{i}"), F.col(f"l{i}")).otherwise(F.col(f"l{i}") + (F.col(f"h{i}") - F.col(f"l{i}")) * (p - F.floor(p))) for i, p in enumerate(places)]
+    return picked.select("name", "n", F.array(*between).alias("q"))
+
+
 def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns with nulls as the median (0 if all are null), then in [0, 1]; constant ones are 0.
 
-    One aggregate finds all medians and extremes; the single row of them is joined to every row.
+    One aggregate finds all extremes; its row is joined to every row. Medians are found as in ``quantiles``.
     """
-    stats = df.agg(*(F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias(f"_m{i}") for i, c in enumerate(columns)), *(F.min(c).alias(f"_l{i}") for i, c in enumerate(columns)), *(F.max(c).alias(f"_h{i}") for i, c in enumerate(columns)))
+    middle = {r.name: r.q[0] for r in quantiles(df, columns, [0.5]).collect()}  # a row a column
+    stats = df.agg(*(F.lit(middle.get(c, 0.0)).alias(f"_m{i}") for i, c in enumerate(columns)), *(F.min(c).alias(f"_l{i}") for i, c in enumerate(columns)), *(F.max(c).alias(f"_h{i}") for i, c in enumerate(columns)))
     out = df.crossJoin(F.broadcast(stats))
     for i, c in enumerate(columns):
         low, high = F.coalesce(f"_l{i}", F.lit(0.0)), F.coalesce(f"_h{i}", F.lit(0.0))
@@ -75,8 +98,9 @@ def proposal(round_: int, a: str, b: str) -> Column:
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column count, mean, sample deviation, extremes and quartiles (linear)."""
     long_ = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*")
-    q = F.percentile("v", [0.25, 0.5, 0.75])
-    return long_.groupBy("name").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max("v").alias("max"))
+    plain = long_.groupBy("name").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    q = F.broadcast(quantiles(df, columns, [0.25, 0.5, 0.75]).select("name", "q"))  # a row a column
+    return plain.join(q, "name", "left").select("name", "n", "mean", "std", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
 
 
 def improved(before: dict[str, float], after: dict[str, float], task: str, least: float = 1e-4) -> bool:
@@ -105,9 +129,22 @@ def cross_validated(df: DataFrame, features: list[str], target: str, key: str, f
     return {"accuracy": hits / max(1, rows)}
 
 
-def search(df: DataFrame, features: list[str], target: str, key: str, rounds: int = 4) -> list[dict]:
-    """The rounds of the feature loop: each proposes a column, checks the gates, and keeps it if trees get better."""
+def search(df: DataFrame, features: list[str], target: str, key: str, rounds: int = 4, texts: list[str] | None = None) -> list[dict]:
+    """The rounds of the feature loop: each proposes a column, checks the gates, and keeps it if trees get better. With
+    ``texts`` each round proposes the columns of a feature text (see ``expressions``) and keeps all or none of them."""
     best, trace = cross_validated(df, features, target, key), []
+    if texts is not None:
+        from weftline.operators.expressions import robust
+
+        for r, text in enumerate(texts):
+            more, reason = robust(df, text, features)
+            new = [c for c in more.columns if c not in df.columns]
+            after = cross_validated(more, features + new, target, key) if reason is None else None
+            kept = bool(after and improved(best, after, "classification"))
+            trace.append({"round": r, "feature": ", ".join(new) or text, "passes": reason is None, "accuracy": after["accuracy"] if after else None, "accepted": kept})
+            if kept:
+                df, features, best = more, features + new, after
+        return trace
     for r in range(rounds):
         a, b = features[r % len(features)], features[(r + 1) % len(features)]
         name, column = f"f{r}", proposal(r, a, b)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.operators import batch, evaluation, topk
+from weftline.operators import batch, evaluation, tabular, topk
 from weftline.plans.base import query, table
 from weftline.plans.rollouts import _KEY, KEY, TOKENS, tokens
 
@@ -155,9 +155,10 @@ def best_of_n_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 4) AS mean, max(value) AS max, min(value) AS min FROM events")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.percentile("value", [0.5, 0.95, 0.99])
-    out = table(spark, sf_dir, "events").agg(p.alias("p"), F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"))
-    return out.select(*(F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))), "mean", "max", "min")
+    e = table(spark, sf_dir, "events")
+    out = e.agg(F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"))
+    q = tabular.quantiles(e, ["value"], [0.5, 0.95, 0.99])
+    return q.crossJoin(out).select(*(F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))), "mean", "max", "min")
 
 
 @query("SELECT count(*) FILTER (v <> 0) AS n_partial, round(avg((v <> 0)::INT), 6) AS ratio, max(v) AS longest FROM (SELECT event_id % 4 AS v FROM events)")
