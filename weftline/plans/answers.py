@@ -1,11 +1,11 @@
-"""Queries of answers with unknowns, and the SQL that decides them by arithmetic."""
+"""Queries of answers with unknowns and of trees, and the SQL that states the same by arithmetic."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions import symbolic
+from weftline.functions import symbolic, trees
 from weftline.plans.base import query, table
 
 _A, _B, _C = "l_linenumber", "(l_partkey % 9 + 1)", "CAST(l_quantity AS INT)"
@@ -45,3 +45,15 @@ def graded_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark_sql = lambda s: F.expr(s.replace("\\", "\\\\").replace("VARCHAR", "STRING"))
     lines = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 6).alias("family"), spark_sql(_TRUTH).alias("truth"), spark_sql(_GIVEN).alias("answer"))
     return lines.withColumn("ok", symbolic.grade(F.col("answer"), F.col("truth"))).groupBy("family").agg(F.count("*").alias("answers"), F.count_if("ok").alias("correct"))
+
+
+@query("SELECT p_partkey, levenshtein(p_name, p_type)::BIGINT AS distance, abs(length(p_name) - length(p_type))::BIGINT AS to_chain FROM part")
+def tree_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees whose distance SQL can state: letters below one root differ as strings do, and chains of one label by their lengths."""
+    letters = lambda c: F.split(c, "")
+    below = lambda n: F.concat(F.array(F.lit(-1)), F.array_repeat(F.lit(0), n))
+    star = lambda c: F.struct(F.concat(F.array(F.lit("")), letters(c)).alias("labels"), below(F.length(c)).alias("parents"))
+    chain = lambda c: F.struct(F.array_repeat(F.lit("n"), F.length(c)).alias("labels"), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: i - 2).alias("parents"))
+    p = table(spark, sf_dir, "part").select("p_partkey", star(F.col("p_name")).alias("a"), star(F.col("p_type")).alias("b"), chain(F.col("p_name")).alias("x"), chain(F.col("p_type")).alias("y"))
+    d = p.withColumn("distance", trees.tree_distance(F.col("a"), F.col("b"))).withColumn("to_chain", trees.tree_distance(F.col("x"), F.col("y")))
+    return d.select("p_partkey", "distance", "to_chain")
