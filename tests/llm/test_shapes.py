@@ -12,7 +12,9 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from weftline.llm import simhash, target, whitening
+from pyspark.sql import functions as F
+
+from weftline.llm import hilbert, simhash, target, whitening
 from weftline.llm.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
@@ -234,3 +236,43 @@ def test_simhash_of_the_table(spark):
     label = brute_labels(prints)
     want = [(r.doc_id, f"{p:016x}", docs[c].doc_id) for r, p, c in zip(docs, prints, label, strict=True)]
     assert sorted(tuple(r) for r in QUERIES["op13_simhash_near_dedup"](spark, DATA).collect()) == want
+
+
+# ---- neighbours of vectors of very different lengths
+
+
+def neighbours_recall(spark, rows):
+    keep = {i: np.array(v) for i, v in rows}
+    got = {}
+    for r in hilbert.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits, least = [], 20
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q in (i for i in keep if i % 20 == 0):
+            scores = sorted((-(keep[q] * keep[j]).sum(), j) for j in keep if j != q)[:20]
+            hits.append(len(got[q] & {j for _, j in scores}) / len(scores))
+            least = min(least, len(got[q]))
+    return np.mean(hits), least
+
+
+@pytest.mark.parametrize("case", ["one long", "log-normal", "tiny and huge"])
+def test_recall_where_lengths_differ(spark, case):
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((3000 if case != "tiny and huge" else 800, 64))
+    if case == "one long":
+        x[7] *= 100
+    elif case == "log-normal":
+        x *= np.exp(rng.standard_normal(len(x)))[:, None]
+    else:
+        x[3] *= 1e160
+        x[5] *= 1e-170
+        x[40] *= 1e160
+        x[60] *= 1e-170
+    recall, least = neighbours_recall(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    assert recall >= 0.9 and least == 20, (case, recall)
+
+
+def test_vectors_of_other_dimensions_take_no_part(spark):
+    rows = [(i, [float(i + 1), 1.0]) for i in range(10)] + [(40, [1.0, 2.0, 3.0]), (60, [1.0])]
+    got = hilbert.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("id") % 20 == 0).collect()
+    assert {r.query_id for r in got} == {0} and len(got) == 9

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import groupby, product
 
 import numpy as np
 import pyarrow as pa
@@ -24,40 +24,58 @@ SHIFT = 0.125
 #: (at 10,000 vectors 65, at 50,000 240, at 1,000,000,000 some 815,000).
 WINDOW, WINDOW_SHARE, WINDOW_POWER = 64, 0.034, 0.82
 QUERIES_AT_ONCE = 256
+#: Bins of a doubling of length, and bins of a band. Vectors of one band differ in length by a factor of 4 at most, and
+#: each band is ordered by itself, so that a long vector spoils no other's order.
+BINS, BAND = 8, 16
 
 
 def window_of(n: int) -> int:
     return max(WINDOW, int(WINDOW_SHARE * n**WINDOW_POWER))
 
 
+def log_norms(x: np.ndarray) -> np.ndarray:
+    """The binary logarithms of the vectors' lengths, which neither overflow nor vanish: each is scaled by its largest entry first."""
+    e = np.frexp(np.abs(x).max(axis=1))[1]
+    return e + np.log2(np.linalg.norm(np.ldexp(x, -e[:, None]), axis=1))
+
+
 @dataclass(frozen=True)
 class Curves:
-    """Projections and shifts of all curves, and the scale that makes projected coordinates about uniform."""
+    """Projections and shifts of all curves; of each band of lengths its largest (a logarithm), its number of points, and
+    the scale that makes its projected coordinates about uniform."""
 
     planes: np.ndarray  # dimensions + 1, curves * planes of each
     shifts: np.ndarray  # curves, planes of each
-    mean: np.ndarray
+    starts: np.ndarray  # of bands: the first bin of each, descending
+    tops: np.ndarray
+    counts: np.ndarray
+    mean: np.ndarray  # bands, curves * planes of each
     deviation: np.ndarray
-    norm: float
 
-    def lift(self, x: np.ndarray, query: bool) -> np.ndarray:
-        """Vectors of one length, so that the largest inner product is the nearest: candidates get the coordinate that
-        fills them up to the largest norm, queries are scaled to it."""
-        n = np.linalg.norm(x, axis=1)
+    def bands(self, x: np.ndarray) -> np.ndarray:
+        return np.searchsorted(-self.starts, -np.floor(log_norms(x) * BINS).astype(np.int64), side="right") - 1
+
+    def lift(self, x: np.ndarray, query: bool, band: int) -> np.ndarray:
+        """Vectors of one length, so that the largest inner product is the nearest: candidates of a band get the
+        coordinate that fills them up to the band's largest length, queries are scaled to it. Both are scaled by a power of two."""
+        whole = int(np.floor(self.tops[band]))
+        top = 2.0 ** (self.tops[band] - whole)
         if query:
-            return np.c_[x * (self.norm / n)[:, None], np.zeros(len(x))]
-        return np.c_[x, np.sqrt(np.maximum(self.norm**2 - n**2, 0.0))]
+            y = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+            return np.c_[y * (top / np.linalg.norm(y, axis=1))[:, None], np.zeros(len(x))]
+        y = np.ldexp(x, -whole)
+        return np.c_[y, np.sqrt(np.maximum(top**2 - (y * y).sum(axis=1), 0.0))]
 
-    def places(self, x: np.ndarray, query: bool) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, x: np.ndarray, query: bool, band: int) -> tuple[np.ndarray, np.ndarray]:
         """Per vector the curves on which it lies farthest from the middle, the farthest first, and its keys there.
 
         What lies near a vector lies about as far out, and there few others do, so such curves tell most.
         """
-        z = ((self.lift(x, query) @ self.planes - self.mean) / self.deviation).reshape(len(x), *self.shifts.shape)
+        z = ((self.lift(x, query, band) @ self.planes - self.mean[band]) / self.deviation[band]).reshape(len(x), *self.shifts.shape)
         count = min(OWN, len(self.shifts))
         curve = np.argsort(-(z * z).sum(axis=2), axis=1, kind="stable")[:, :count]
         own = np.take_along_axis(z, curve[:, :, None], axis=1)
-        u = 1.0 / (1.0 + np.exp(-1.702 * own))  # close to the normal distribution function
+        u = 1.0 / (1.0 + np.exp(-1.702 * own.clip(-300, 300)))  # close to the normal distribution function
         cells = ((u + self.shifts[curve]) / (1 + SHIFT) * (1 << BITS)).astype(np.int64).clip(0, (1 << BITS) - 1)
         return curve, hilbert(cells.reshape(-1, cells.shape[2]), BITS).reshape(curve.shape)
 
@@ -111,13 +129,12 @@ def unpack(column: pa.Array, kind: str) -> np.ndarray:
 
 
 def fit(points: DataFrame, kind: str, seed: int = 5) -> Curves | None:
-    """Random projections; their means and deviations, and the largest norm, over all points. None without points."""
+    """Random projections; bands of lengths, and the projections' means and deviations in each, over all points. None
+    without points. All points have one length of ``vec``. Bins of lengths are as many as there are exponents at most."""
     first = points.select("vec").first()
     if first is None:
         return None
     dims = len(first.vec) // np.dtype(kind).itemsize
-    if points.select(F.length("vec")).distinct().limit(2).count() > 1:
-        raise ValueError("vectors of different lengths")
     rng, curves = np.random.default_rng(seed), CURVES
     each = min(PLANES, dims + 1)
     per = (dims + 1) // each  # curves that one rotation serves
@@ -125,25 +142,36 @@ def fit(points: DataFrame, kind: str, seed: int = 5) -> Curves | None:
     planes = np.concatenate(rotations, axis=1)[:, : curves * each]
     shifts = SHIFT * rng.random((curves, each))
 
-    def norms(batches):
+    def lengths(batches):
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([float(np.linalg.norm(unpack(b.column("vec"), kind), axis=1).max())])], ["n"])
-
-    top = points.mapInArrow(norms, "n double").agg(F.max("n")).first()[0]
-    draft = Curves(planes, shifts, np.zeros(0), np.ones(0), top)
+                n = log_norms(unpack(b.column("vec"), kind))
+                yield pa.RecordBatch.from_arrays([pa.array(np.floor(n * BINS).astype(np.int64)), pa.array(n)], ["bin", "n"])
+
+    bins = sorted(points.mapInArrow(lengths, "bin long, n double").groupBy("bin").agg(F.max("n"), F.count("*")).collect(), reverse=True)
+    starts: list[int] = []
+    tops: list[float] = []
+    counts: list[int] = []
+    for at, top, count in bins:
+        if not starts or at <= starts[-1] - BAND:
+            starts.append(at)
+            tops.append(top)
+            counts.append(0)
+        counts[-1] += count
+    draft = Curves(planes, shifts, np.array(starts), np.array(tops), np.array(counts), np.zeros((0, 0)), np.zeros((0, 0)))
 
     def sums(batches):
         for b in batches:
             if b.num_rows:
-                y = draft.lift(unpack(b.column("vec"), kind), False) @ planes
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(y.shape[1])), pa.array(y.sum(axis=0)), pa.array((y * y).sum(axis=0)), pa.array(np.full(y.shape[1], b.num_rows))], ["k", "s", "s2", "n"])
+                x = unpack(b.column("vec"), kind)
+                band = draft.bands(x)
+                for k in np.unique(band).tolist():
+                    y = draft.lift(x[band == k], False, k) @ planes
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(y.shape[1], k)), pa.array(np.arange(y.shape[1])), pa.array(y.sum(axis=0)), pa.array((y * y).sum(axis=0))], ["band", "k", "s", "s2"])
 
-    rows = sorted(points.mapInArrow(sums, "k long, s double, s2 double, n long").groupBy("k").agg(F.sum("s"), F.sum("s2"), F.sum("n")).collect())
-    s, s2, n = (np.array([float(r[i]) for r in rows]) for i in (1, 2, 3))
-    mean = s / n
-    deviation = np.sqrt(np.maximum(s2 / n - mean**2, 1e-18))
-    return Curves(planes, shifts, mean, deviation, top)
+    rows = sorted(points.mapInArrow(sums, "band long, k long, s double, s2 double").groupBy("band", "k").agg(F.sum("s"), F.sum("s2")).collect())
+    s, s2 = (np.array([float(r[i]) for r in rows]).reshape(len(starts), -1) / draft.counts[:, None] for i in (2, 3))
+    return Curves(planes, shifts, draft.starts, draft.tops, draft.counts, s, np.sqrt(np.maximum(s2 - s**2, 1e-18)))
 
 
 def best_of_block(query: dict, other: dict, window: int, k: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,13 +184,15 @@ def best_of_block(query: dict, other: dict, window: int, k: int, kind: str) -> t
     out = []
     for a in range(0, len(y), QUERIES_AT_ONCE):
         part = slice(a, a + QUERIES_AT_ONCE)
-        s = y[part] @ x.T
-        s[np.abs(query["rank"][part][:, None] - other["rank"][None, :]) > window] = -np.inf
+        inside = np.abs(query["rank"][part][:, None] - other["rank"][None, :]) <= window
         m = min(k + 1, len(x))
-        least = np.partition(s, len(x) - m, axis=1)[:, len(x) - m]
-        slack = 1e-9 * np.abs(least) + 1e-12 * np.linalg.norm(y[part], axis=1) * np.linalg.norm(x, axis=1).max()
-        q, c = np.nonzero((s >= np.where(np.isfinite(least), least - slack, -np.inf)[:, None]) & np.isfinite(s))
-        score = (y[part][q] * x[c]).sum(axis=1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            s = np.where(inside, y[part] @ x.T, -np.inf)
+            least = np.partition(s, len(x) - m, axis=1)[:, len(x) - m]
+            slack = 1e-9 * np.abs(least) + 1e-12 * np.linalg.norm(y[part], axis=1) * np.linalg.norm(x, axis=1).max()
+            # products or slack that overflow leave all of the window to be computed again
+            q, c = np.nonzero(inside & (~np.isfinite(least - slack)[:, None] | (s >= (least - slack)[:, None])))
+            score = (y[part][q] * x[c]).sum(axis=1)
         gid = other["gid"][c]
         order = np.lexsort((gid, -score, q))
         q, gid, score = q[order], gid[order], score[order]
@@ -181,12 +211,17 @@ def nearest(vectors: DataFrame, id_column: str, column: str, is_query: F.Column,
     that many ranks; the curves' best are merged and ranked again by exact products.
 
     Ties go to the smaller id, also at the edge of what a block returns. Unusable vectors (null, zero, empty, with
-    null or non-finite components) and null ids take no part; an id with several vectors has the smallest of them;
+    null or non-finite components) and null ids take no part, nor do vectors of another dimension than most (of equally
+    many the larger one); an id with several vectors has the smallest of them. Very long and very short vectors are scaled
+    before they are measured, and products that overflow are infinite;
     other columns, whatever their names, are ignored. No usable rows give no rows; fewer than k others give them all.
     """
     spark = vectors.sparkSession
     kind = "<f4" if "float" in vectors.schema[column].dataType.simpleString() else "<f8"
     points = checkpointed(usable(vectors, id_column, column))
+    sizes = points.groupBy(F.length("vec").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size")).limit(2).collect()
+    if len(sizes) > 1:
+        points = points.where(F.length("vec") == sizes[0].size)
     top_ids = Window.partitionBy("vec").orderBy("id")
     ids = points.withColumn("n", F.row_number().over(top_ids)).where(F.col("n") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     asks = points.groupBy("vec").agg(F.min("id").alias("gid"), F.max(is_query).alias("asks"))
@@ -195,7 +230,7 @@ def nearest(vectors: DataFrame, id_column: str, column: str, is_query: F.Column,
     result = "query_id long, rank int, vec_id long, score double"
     if curves is None:
         return spark.createDataFrame([], result)
-    window = window_of(groups.count())
+    windows, of_band = np.array([window_of(n) for n in curves.counts.tolist()]), len(curves.shifts)
     sent = spark.sparkContext.broadcast(curves)  # of fixed size
 
     def place(batches):
@@ -203,11 +238,13 @@ def nearest(vectors: DataFrame, id_column: str, column: str, is_query: F.Column,
             for start in range(0, whole.num_rows, 1024):
                 b = whole.slice(start, 1024)
                 x, asking = unpack(b.column("vec"), kind), b.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-                for query in (False, True):
-                    rows = np.flatnonzero(asking) if query else np.arange(len(x))
+                own = sent.value.bands(x)
+                for query, band in product((False, True), range(len(windows))):
+                    rows = np.flatnonzero(asking if query else own == band)  # queries ask every band
                     if not len(rows):
                         continue
-                    curve, key = sent.value.places(x[rows], query)
+                    curve, key = sent.value.places(x[rows], query, band)
+                    curve = curve + band * of_band
                     take = pa.array(np.repeat(rows, curve.shape[1]))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(curve.reshape(-1).astype(np.int32)), pa.array(key.reshape(-1)), b.column("gid").take(take), pa.array(np.full(len(take), query)), b.column("vec").take(take)],
@@ -235,11 +272,12 @@ def nearest(vectors: DataFrame, id_column: str, column: str, is_query: F.Column,
                 own = np.cumsum(~query[here])
                 rank[here] = at[c] + own - 1
                 at[c] += int(own[-1])
-            rows, blocks = [np.flatnonzero(~query)], [rank[~query] // window]
+            window = windows[curve // of_band]
+            rows, blocks = [np.flatnonzero(~query)], [rank[~query] // window[~query]]
             q = np.flatnonzero(query)
             for step in (-1, 0, 1):
-                near = rank[q] // window + step
-                inside = (near >= 0) & (near * window < np.array([total[c] for c in curve[q].tolist()], dtype=np.int64))
+                near = rank[q] // window[q] + step
+                inside = (near >= 0) & (near * window[q] < np.array([total.get(c, 0) for c in curve[q].tolist()], dtype=np.int64))
                 rows.append(q[inside])
                 blocks.append(near[inside])
             take = np.concatenate(rows)
@@ -247,7 +285,7 @@ def nearest(vectors: DataFrame, id_column: str, column: str, is_query: F.Column,
             yield pa.RecordBatch.from_arrays([b.column("curve").take(idx), pa.array(np.concatenate(blocks)), pa.array(rank[take]), *(b.column(x).take(idx) for x in ("gid", "query", "vec"))], ["curve", "block", "rank", "gid", "query", "vec"])
 
     def compare(batches):
-        for _, rows in groupby(runs(batches), key=lambda r: r[0]):
+        for (curve, _), rows in groupby(runs(batches), key=lambda r: r[0]):
             t = pa.Table.from_batches([r for _, r in rows])
             query = t.column("query").to_numpy()
             sides = []
@@ -255,7 +293,7 @@ def nearest(vectors: DataFrame, id_column: str, column: str, is_query: F.Column,
                 own = t.filter(pa.array(side))
                 sides.append({"gid": own.column("gid").to_numpy(), "rank": own.column("rank").to_numpy(), "vec": own.column("vec").combine_chunks()})
             if len(sides[0]["gid"]) and len(sides[1]["gid"]):
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in best_of_block(*sides, window, k, kind)], ["query", "gid", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in best_of_block(*sides, int(windows[curve // of_band]), k, kind)], ["query", "gid", "score"])
 
     dealt = ordered.mapInArrow(deal, "curve int, block long, rank long, gid long, query boolean, vec binary")
     dealt = dealt.repartition(parts, "curve", "block").sortWithinPartitions("curve", "block")
