@@ -7,7 +7,9 @@ import random
 import numpy as np
 import pytest
 
-from weftline.operators import batch, policy, tabular
+from pyspark.sql import functions as F
+
+from weftline.operators import batch, groupstats, policy, tabular
 
 
 def test_quantiles_against_numpy(spark, monkeypatch):
@@ -69,3 +71,17 @@ def test_bco_runs_over_batches(spark):
             want = math.log1p(math.exp(-(0.3 * (r[1] - r[3]) - mean))) + math.log1p(math.exp(0.3 * (r[2] - r[4]) - mean))
             assert got[b, r[1]].loss == pytest.approx(want) and got[b, r[1]].baseline == pytest.approx(mean)
     assert got[None, 1.0].loss is None and got[11, None].loss is None and got[3, None].loss is None
+
+
+def test_entropy_and_direct_rewards(spark):
+    rows = [([0.0, 0.0, 0.0],), ([1000.0, 0.0],), ([1.0],), ([],), (None,), ([1.0, None],), ([-2.0, 3.0, 0.5],)]
+    got = [r.e for r in spark.createDataFrame(rows, "x array<double>").select(policy.entropy(F.col("x")).alias("e")).collect()]
+    p = np.exp([-2.0, 3.0, 0.5]) / np.exp([-2.0, 3.0, 0.5]).sum()
+    assert got[:3] == pytest.approx([math.log(3), 0.0, 0.0], abs=1e-12) and got[3:6] == [None] * 3 and got[6] == pytest.approx(-(p * np.log(p)).sum())
+    df = spark.createDataFrame([(1, [1.0, 2.0], True), (2, [3.0, 4.0], False)], "i int, r array<double>, m boolean")
+    assert [r.direct for r in groupstats.token_direct(df, "r", "m").orderBy("i").collect()] == [[1.0, 2.0], [0.0, 0.0]]
+    one = spark.createDataFrame([(7, 1, 2.0, 5.0, True), (7, 1, 1.0, 0.0, False)], "u int, s int, r double, o double, m boolean")
+    out = groupstats.token_direct_plus_group(one, "u", ("s",), "r", "m", "o", 2.0).orderBy("r").collect()
+    assert [r.advantage for r in out] == pytest.approx([0.0, 2.0 + 2.0 * 5.0], rel=1e-5)
+    plain = policy.corrected_loss(one, ("s",), "r", "o", "r", "m").orderBy("r").collect()
+    assert [r.loss for r in plain] == [None, -4.0]

@@ -193,6 +193,27 @@ def gae(rewards: Column, values: Column, masks: Column, gamma: float, lam: float
     return F.reverse(F.aggregate(tokens, start, step, lambda acc: acc["out"]))
 
 
+def token_direct(df: DataFrame, reward: str, mask: str) -> DataFrame:
+    """Adds ``direct``: a token's own reward as its advantage, 0 outside the mask. A reward may be an array, one for each
+    of a token's candidates; the mask then holds for all of them."""
+    zero = lambda x: F.when(F.col(mask), x).otherwise(0.0)
+    is_array = dict(df.dtypes)[reward].startswith("array")
+    return df.withColumn("direct", F.transform(reward, zero) if is_array else zero(F.col(reward)))
+
+
+def token_direct_plus_group(df: DataFrame, uid: str, row: tuple[str, ...], reward: str, mask: str, outcome: str | None = None, weight: float = 1.0, scale: bool = True) -> DataFrame:
+    """Adds ``direct`` and ``advantage``: the direct advantage and ``weight`` times the group's, which is the sum of a
+    row's outcomes (``outcome``, else the rewards) against those of the rows of its ``uid``; 0 outside the mask. Groups
+    are counted over one line a row, so a long row or a large group is not one window of tokens."""
+    rows = df.groupBy(uid, *(c for c in row if c != uid)).agg(F.sum(outcome or reward).alias("_score"))
+    groups = rows.groupBy(uid).agg(F.count("_score").alias("_n"), F.avg("_score").alias("_mean"), F.stddev_samp("_score").alias("_std"))
+    z = F.when(F.col("_n") == 1, F.col("_score")).otherwise(F.col("_score") - F.col("_mean"))
+    z = z / (F.when(F.col("_n") == 1, 1.0).otherwise(F.col("_std")) + EPS) if scale else z
+    scored = rows.join(groups, uid).select(uid, *(c for c in row if c != uid), z.alias("_z"))
+    out = token_direct(df, reward, mask).join(scored, list(dict.fromkeys([uid, *row])))
+    return out.withColumn("advantage", F.when(F.col(mask), F.col("direct") + weight * F.col("_z")).otherwise(0.0)).drop("_z")
+
+
 def loss_modes(df: DataFrame, row: tuple[str, ...], loss: str, mask: str, norm: float) -> DataFrame:
     """One row: the four ways to bring token losses to one number."""
     m = F.col(mask).cast("double")

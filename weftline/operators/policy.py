@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.binding import let
 from weftline.operators.batch import before, with_position
 from weftline.operators.groupstats import scalars
 
@@ -129,6 +130,28 @@ def rejection(df: DataFrame, row: tuple[str, ...], old: str, rollout: str, mask:
     return df.withColumn("kept", keep)
 
 
+def corrected_loss(df: DataFrame, row: tuple[str, ...], new: str, rollout: str, advantage: str, mask: str, threshold: float | None = None, level: str = "token", upper: float | None = None, lower: float | None = None, rejected_by: str = "token", veto: float | None = None) -> DataFrame:
+    """Adds ``weight``, ``kept`` and ``loss`` of the pure policy gradient on another policy's tokens: minus advantage
+    times log-probability times the importance weight of the current policy over the rollout's (1 without a
+    ``threshold``), of the tokens that the rejection keeps (all of the mask without ``upper``); null for others."""
+    out = df.withColumn("weight", F.col(mask).cast("double")) if threshold is None else rollout_weights(df, row, new, rollout, mask, threshold, level)
+    out = out.withColumn("kept", F.col(mask)) if upper is None else rejection(out, row, new, rollout, mask, upper, lower, rejected_by, veto)
+    return out.withColumn("loss", F.when(F.col("kept"), -F.col(advantage) * F.col(new) * F.col("weight")))
+
+
+def entropy(logits: Column) -> Column:
+    """The entropy of the distribution that an array of logits gives: their log-sum-exp less their mean under it. The
+    largest is taken off first. Null for a null or empty array, or one with nulls."""
+
+    def of(c: Column) -> Column:
+        total = F.aggregate(c, F.lit(0.0), lambda s, x: s + F.exp(x))
+        mean = F.aggregate(c, F.lit(0.0), lambda s, x: s + F.exp(x) * x)
+        return let(total, lambda t: F.log(t) - mean / t)
+
+    known = F.when((F.size(logits) > 0) & F.forall(logits, lambda x: x.isNotNull()), logits)
+    return let(known, lambda v: let(F.transform(v, lambda x: x.cast("double") - F.array_max(v)), of))
+
+
 def off_policy_report(df: DataFrame, row: tuple[str, ...], old: str, rollout: str, mask: str) -> DataFrame:
     """One row of divergences between the training policy (``old``) and the policy that produced the tokens."""
     m = F.col(mask).cast("double")

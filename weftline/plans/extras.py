@@ -47,7 +47,7 @@ def shuffle_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shuffle_buffer(placed, "row_id", 256, "buf").select("doc_id", "new_place")
 
 
-STRATEGIES = ["click", "error", "purchase", "view"]
+STRATEGIES = ["click", "error", "purchase", "signup", "view"]
 
 
 def _experiment_sql(name: str, policy: str, kept: list[str]) -> str:

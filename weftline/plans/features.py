@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import expressions, policy, tabular
+from weftline.operators import expressions, groupstats, policy, tabular
 from weftline.plans.base import query, table
 from weftline.plans.rollouts import TOKENS, tokens
 
@@ -82,3 +82,37 @@ def bco_running_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "lineitem").select(*_KEY.split(", "), F.expr("l_orderkey div 50").alias("batch"), "l_tax", "l_discount", (F.col("l_quantity") / 50).alias("bad"), F.lit(1.0).alias("one"))
     out = policy.bco_loss(pairs, "batch", "l_tax", "bad", "l_discount", "one", 0.5)
     return out.select(*_KEY.split(", "), F.round("baseline", 6).alias("baseline"), F.round("loss", 6).alias("loss"))
+
+
+@query(f"WITH {TOKENS} SELECT event_id, round(CASE WHEN mask THEN adv ELSE 0 END, 6) AS direct FROM tok")
+def token_reward_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groupstats.token_direct(tokens(spark, sf_dir), "adv", "mask").select("event_id", F.round("direct", 6).alias("direct"))
+
+
+@query(
+    f"""WITH {TOKENS}, q AS (SELECT user_id, user_id % 50 AS uid, sum(r) AS s FROM tok GROUP BY 1, 2), g AS (SELECT user_id, CASE WHEN count(*) OVER w = 1 THEN s / (1 + 1e-6) ELSE (s - avg(s) OVER w) / (stddev_samp(s) OVER w + 1e-6) END AS z FROM q WINDOW w AS (PARTITION BY uid))
+SELECT event_id, round(CASE WHEN mask THEN adv ELSE 0 END, 6) AS direct, round(CASE WHEN mask THEN adv + 0.5 * z ELSE 0 END, 5) AS advantage FROM tok JOIN g USING (user_id)"""
+)
+def token_reward_direct_plus_grpo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = tokens(spark, sf_dir).withColumn("uid", F.col("user_id") % 50)
+    out = groupstats.token_direct_plus_group(df, "uid", ("user_id",), "adv", "mask", "r", 0.5)
+    return out.select("event_id", F.round("direct", 6).alias("direct"), F.round("advantage", 5).alias("advantage"))
+
+
+@query(
+    f"""WITH {TOKENS}, w AS (SELECT *, sum(CASE WHEN mask THEN new - rollout ELSE 0 END) OVER (PARTITION BY user_id) / greatest(count(*) FILTER (mask) OVER (PARTITION BY user_id), 1) AS g FROM tok)
+SELECT event_id, kept, CASE WHEN kept THEN round(-adv * new * least(exp(new - rollout), 1.1), 6) END AS loss FROM (SELECT *, mask AND exp(g) BETWEEN 0.98 AND 1.02 AS kept FROM w)"""
+)
+def rollout_corrected_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policy gradient with token weights, of the rows whose geometric ratio stays near one."""
+    out = policy.corrected_loss(tokens(spark, sf_dir), ("user_id",), "new", "rollout", "adv", "mask", 1.1, "token", 1.02, 0.98, "geometric")
+    return out.select("event_id", "kept", F.round("loss", 6).alias("loss"))
+
+
+@query(
+    """WITH l AS (SELECT event_id, unnest(range(6)) AS i, value, user_id FROM events), x AS (SELECT event_id, value / 50 * ((i * 7 + user_id) % 5) / 5 AS z FROM l), e AS (SELECT event_id, sum(exp(z)) AS t, sum(exp(z) * z) AS m FROM x GROUP BY 1)
+SELECT event_id, round(ln(t) - m / t, 6) AS entropy FROM e"""
+)
+def entropy_from_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logits = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.col("value") / 50 * ((i * 7 + F.col("user_id")) % 5) / 5)
+    return table(spark, sf_dir, "events").select("event_id", F.round(policy.entropy(logits), 6).alias("entropy"))

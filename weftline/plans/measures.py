@@ -252,13 +252,14 @@ def fold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.fold(_rows(spark, sf_dir), "row_id", 4, ["o_orderkey"]).select("row_id", F.array_join(F.col("o_orderkey").cast("array<string>"), ",").alias("keys"))
 
 
-_SRC = "s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS turn, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IN ('en', 'de', 'fr')), m AS (SELECT min(n) AS lo, max(n) AS hi FROM s)"
-_IDX = "CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END AS source"
+_SRC = "s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS turn, count(*) OVER (PARTITION BY lang) AS n FROM documents), m AS (SELECT min(n) AS lo, max(n) AS hi FROM s)"
+_LANGUAGES = ["en", "de", "fr", "es"]
+_IDX = "CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END AS source"
 
 
 def _mixed(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return batch.interleave([docs.where(F.col("lang") == x) for x in ("en", "de", "fr")], ["doc_id"], strategy).select("doc_id", "turn", "source")
+    return batch.interleave([docs.where(F.col("lang") == x) for x in _LANGUAGES], ["doc_id"], strategy).select("doc_id", "turn", "source")
 
 
 @query(f"WITH {_SRC} SELECT doc_id, turn, {_IDX} FROM s, m WHERE turn < lo")
@@ -312,10 +313,10 @@ def round_robin_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.with_position(table(spark, sf_dir, "events").select("event_id"), ["event_id"]).select("event_id", (F.col("row_id") % 8).alias("worker"))
 
 
-@query("SELECT s.event_id, a.attempt::INT AS attempt FROM events s, range(1, 4) a(attempt) WHERE s.event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events c WHERE c.event_id = s.event_id AND c.event_id % 3 + 1 = a.attempt)")
+@query("SELECT s.event_id, a.attempt::INT AS attempt FROM events s, range(1, 4) a(attempt) WHERE NOT EXISTS (SELECT 1 FROM events c WHERE c.event_id = s.event_id AND c.event_id % 3 + 1 = a.attempt)")
 def resume_missing_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots (row, attempt) that are asked for but not done."""
-    e = table(spark, sf_dir, "events").where("event_type = 'click'").select("event_id")
+    e = table(spark, sf_dir, "events").select("event_id")
     wanted = e.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(3))))
     done = e.withColumn("attempt", (F.col("event_id") % 3 + 1).cast("int"))
     return wanted.join(done, ["event_id", "attempt"], "left_anti")
