@@ -29,6 +29,27 @@ def before(df: DataFrame, order: list[str], value: Column, name: str, rows_per_r
     return ranged.withColumn("_i", own).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_before") + F.col("_i")).drop("_p", "_i", "_before", "__value")
 
 
+def before_within(df: DataFrame, group: str, order: list[str], value: Column, name: str, total: str | None = None, rows_per_range: int = 50_000) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of the same ``group`` that stand before each in an order of its
+    columns; ``total`` names a further column for the group's whole sum. Null is a group of its own.
+
+    A group of any size is spread over ranges of rows: each range counts its part of a group, and what is ordered in one
+    task is a range's rows or a group's ranges, never a group's rows. The order must tell all rows of a group apart.
+    """
+    n = max(1, -(-df.count() // rows_per_range))
+    keyed = df.withColumn("__g", F.struct(group)).withColumn("__value", value)
+    ranged = checkpointed(keyed.repartitionByRange(n, "__g", *order).withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p", "__g").agg(F.sum("__value").alias("_n"))
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = Window.partitionBy("__g").orderBy("_p")  # a row a range in which the group lies
+    offsets = sizes.select("_p", "__g", (F.sum("_n").over(until(parts)) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("__g")).alias("_total"))
+    own = F.sum("__value").over(until(Window.partitionBy("_p", "__g").orderBy(*order))) - F.col("__value")
+    out = ranged.withColumn("_i", own).join(offsets, ["_p", "__g"]).withColumn(name, F.col("_before") + F.col("_i"))
+    if total is not None:
+        out = out.withColumn(total, F.col("_total"))
+    return out.drop("_p", "__g", "_i", "_before", "_total", "__value")
+
+
 def take(df: DataFrame, position: str, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
     p = F.col(position)
     out = df.where((p >= start) & ((p - start) % step == 0))
@@ -115,10 +136,12 @@ def split(df: DataFrame, key: Column, share: float, seed: str = "") -> tuple[Dat
     return df.where(h >= share), df.where(h < share)
 
 
-def stratified_fold(label: str, key: Column, folds: int) -> Column:
-    """The fold of each row: rows of a label, in the order of their hash, go round the folds."""
-    h = F.md5(key.cast("string"))
-    return (F.row_number().over(Window.partitionBy(label).orderBy(h, key)) - 1) % folds
+def stratified_fold(df: DataFrame, label: str, key: str, folds: int, name: str = "fold") -> DataFrame:
+    """``df`` with the fold of each row: rows of a label, in the order of their key's hash, go round the folds. A label
+    may hold most of the rows: its places are counted range by range."""
+    hashed = df.withColumn("__h", F.md5(F.col(key).cast("string")))
+    placed = before_within(hashed, label, ["__h", key], F.lit(1), "__n")
+    return placed.withColumn(name, (F.col("__n") % folds).cast("int")).drop("__h", "__n")
 
 
 def replicate(sources: list[tuple[DataFrame, int]]) -> DataFrame:

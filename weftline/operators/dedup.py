@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.binding import let
+
 
 def question_key(text: Column, suffix: str = "") -> Column:
     """The text without a fixed instruction at its end, trimmed: the key on which corpora are compared."""
@@ -61,3 +63,57 @@ def decontaminated(queries: DataFrame, exact: DataFrame, matches: DataFrame, thr
     )
     e, s = F.col("e"), F.col("s")
     return flagged.agg(F.count("*").alias("n_rows"), F.count_if(e).alias("n_exact"), F.count_if(s).alias("n_near"), F.count_if(e & s).alias("n_both"), F.count_if(e | s).alias("n_removed"), F.count_if(~(e | s)).alias("n_kept"))
+
+
+#: Words of a passage's key, and characters of the key of a passage of one or two words.
+KEY_WORDS, KEY_CHARS = 5, 8
+
+
+def _words(text: Column) -> Column:
+    return F.split(text, r"[ \n]", -1)
+
+
+def _whole_word_keys(words: Column, n: int) -> Column:
+    """The hash of every run of ``n`` words, each once."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(n)), " "))))
+
+
+def _inside_keys(words: Column, n: int) -> Column:
+    """The hash of every run of ``n`` characters inside a word, each once."""
+    long_ = F.array_distinct(F.filter(words, lambda w: F.length(w) >= n))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.xxhash64(F.substr(w, i, F.lit(n))))
+    return F.array_distinct(F.flatten(F.transform(long_, runs)))
+
+
+def containing(docs: DataFrame, doc_id: str, text: str, passages: DataFrame, item_id: str, passage: str) -> DataFrame:
+    """(doc_id, item_id) of every document that holds a passage as a part of its text, wherever it begins. Ids are those
+    of one row each.
+
+    A passage is looked for where its key is found. The key of three words or more are the words between the first and
+    the last, five at most, since those two may be parts of longer words in a document. A passage of one or two words
+    has eight characters of its longer word, or all of them, as its key, which documents that ask for such a length
+    hold inside a word. Only hashes of keys and ids travel; the texts are compared at the end, and decide. The passage
+    of nothing is in every text; one of a single blank is asked of every text. Nulls are in none and hold none.
+    """
+    w = F.col("_w")
+    b = passages.select(F.col(item_id).alias("_item"), F.col(passage).alias("_passage")).where(F.col("_passage").isNotNull()).withColumn("_w", _words(F.col("_passage")))
+    inner = F.least(F.size(w) - 2, F.lit(KEY_WORDS))
+    longest = F.when(F.length(w[0]) >= F.length(F.element_at(w, -1)), w[0]).otherwise(F.element_at(w, -1))
+    short = let(longest, lambda x: F.struct(F.least(F.length(x), F.lit(KEY_CHARS)).alias("n"), F.xxhash64(F.substr(x, F.lit(1), F.lit(KEY_CHARS))).alias("k")))
+    long_ = F.struct(inner.alias("n"), F.xxhash64(F.array_join(F.slice(w, F.lit(2), inner), " ")).alias("k"))
+    keyed = b.select("_item", (F.size(w) > 2).alias("_long"), F.when(F.size(w) > 2, long_).otherwise(short).alias("_key")).select("_item", "_long", "_key.n", "_key.k")
+    kinds = sorted((r[0], r[1]) for r in keyed.select("_long", "n").distinct().collect())  # KEY_WORDS + KEY_CHARS + 1 at most
+    d = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+
+    def keys(is_long: bool, n: int) -> Column:
+        own = let(_words(F.col("_text")), lambda x: _whole_word_keys(x, n) if is_long else _inside_keys(x, n)) if n else F.array(F.xxhash64(F.lit("")))
+        return F.struct(F.lit(is_long).alias("_long"), F.lit(n).alias("n"), own.alias("ks"))
+
+    held = [keys(*kind) for kind in kinds]
+    if not held:
+        return d.join(b, F.lit(False)).select(F.col("_doc").alias(doc_id), F.col("_item").alias(item_id))
+    grams = d.select("_doc", F.explode(F.array(*held)).alias("h")).select("_doc", "h._long", "h.n", F.explode("h.ks").alias("k"))
+    pairs = grams.join(keyed, ["_long", "n", "k"]).select("_doc", "_item").distinct()
+    near = pairs.join(b.select("_item", "_passage"), "_item").join(d, "_doc").where(F.contains("_text", "_passage"))
+    return near.select(F.col("_doc").alias(doc_id), F.col("_item").alias(item_id))

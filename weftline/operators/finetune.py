@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.batch import before_within
+
 IGNORE = -100
 
 
@@ -86,13 +88,14 @@ def shifted_pairs(df: DataFrame, batch: str, order: str, response: str) -> DataF
 
 def blocks(df: DataFrame, group: str, order: str, length: str, block: int) -> DataFrame:
     """Where each row's tokens lie once a group's rows are joined and cut into blocks: first and last block and the
-    offset in the first; blocks beyond the last full one are dropped, so their rows may lose tokens."""
-    w = Window.partitionBy(group).orderBy(order)
-    end = F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.floor(F.sum(length).over(Window.partitionBy(group)) / block) * block
-    begin = end - F.col(length)
-    kept = F.greatest(F.least(end, total) - begin, F.lit(0))
-    return df.withColumn("first_block", F.floor(begin / block)).withColumn("offset", begin % block).withColumn("kept", kept).withColumn("last_block", F.when(kept > 0, F.floor((begin + kept - 1) / block)))
+    offset in the first; blocks beyond the last full one are dropped, so their rows may lose tokens. A row without a
+    length has no tokens. A group may hold most of the rows: lengths are summed range by range."""
+    own = F.coalesce(F.col(length), F.lit(0)).cast("long")
+    placed = before_within(df, group, [order], own, "__begin", total="__total")
+    begin, total = F.col("__begin"), F.floor(F.col("__total") / block) * block
+    kept = F.greatest(F.least(begin + own, total) - begin, F.lit(0))
+    out = placed.withColumn("first_block", F.floor(begin / block)).withColumn("offset", begin % block).withColumn("kept", kept)
+    return out.withColumn("last_block", F.when(F.col("kept") > 0, F.floor((begin + F.col("kept") - 1) / block))).drop("__begin", "__total")
 
 
 def knapsacks(lengths: list[int], capacity: int) -> list[list[int]]:

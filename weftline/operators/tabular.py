@@ -118,7 +118,7 @@ def cross_validated(df: DataFrame, features: list[str], target: str, key: str, f
 
     from weftline.operators.batch import stratified_fold
 
-    data = VectorAssembler(inputCols=features, outputCol="_x").transform(df.withColumn("_fold", stratified_fold(target, F.col(key), folds)))
+    data = VectorAssembler(inputCols=features, outputCol="_x").transform(stratified_fold(df, target, key, folds, "_fold"))
     data = data.select("_fold", "_x", F.col(target).cast("double").alias("_y")).cache()
     hits = rows = 0
     for k in range(folds):

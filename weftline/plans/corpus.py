@@ -106,28 +106,6 @@ def combined_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT d.doc_id, count(*) AS n_items, min(b.item_id) AS first_item FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY d.doc_id")
 def decontaminate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage. A passage's first words are the join key, found at every word start,
-    so that only rows that share them are compared; a shorter passage's key is of the words between its first and its
-    last. Only passages of one or two words have none, and are looked for in every text."""
-    words = 5
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.split("text", r"[ \n]").alias("w"))
-    # the first word of a passage may be the end of a longer word in a document, so the key begins after it
-    inner = b.select("item_id", "passage", F.array_join(F.slice("w", F.lit(2), F.lit(words)), " ").alias("k")).where(F.size("w") > words + 1)
-    short = b.where(F.size("w") <= words + 1)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    w = docs.select("doc_id", F.split("text", r"[ \n]").alias("w"))
-
-    def hits(n: int, keyed: DataFrame) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
-        grams = w.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")))).alias("k"))
-        return grams.join(keyed, "k").select("doc_id", "item_id", "passage")
-
-    found = hits(words, inner)
-    sizes = sorted(r[0] for r in short.select(F.size("w")).distinct().collect())  # words + 1 numbers at most
-    for n in sizes:
-        if n > 2:
-            found = found.unionByName(hits(n - 2, short.where(F.size("w") == n).select("item_id", "passage", F.array_join(F.slice("w", F.lit(2), F.lit(n - 2)), " ").alias("k"))))
-    near = found.distinct().join(docs, "doc_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
-    if sizes and sizes[0] <= 2:
-        near = near.unionByName(docs.join(short.where(F.size("w") <= 2), F.contains("text", "passage")).select("doc_id", "item_id"))
-    return near.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"))
+    """Documents that hold a benchmark passage, wherever it begins."""
+    held = dedup.containing(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return held.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"))

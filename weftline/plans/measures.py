@@ -288,7 +288,7 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, (row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR), doc_id) - 1) % 5 AS fold FROM labels")
 def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").select("doc_id", batch.stratified_fold("quality", F.col("doc_id"), 5).cast("long").alias("fold"))
+    return batch.stratified_fold(table(spark, sf_dir, "labels"), "quality", "doc_id", 5).select("doc_id", F.col("fold").cast("long").alias("fold"))
 
 
 @query("SELECT item_id, c::INT AS copy FROM benchmark, range(1, 5) t(c) WHERE item_id % 2 = 0 UNION ALL SELECT item_id, 1 FROM benchmark WHERE item_id % 2 = 1")
