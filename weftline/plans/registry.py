@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import answers, corpus, dialects, extras, features, feeds, loops, measures, preparation, prepared, rollouts  # noqa: F401  they register their queries
+from weftline.plans import answers, builders, corpus, dialects, extras, features, feeds, loops, measures, preparation, prepared, rollouts  # noqa: F401  they register their queries
 from weftline.plans.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
