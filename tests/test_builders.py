@@ -87,3 +87,94 @@ def test_lessons(spark):
     rows = spark.createDataFrame([(i, "x") for i in range(5)], "k int, t string")
     assert [r.k for r in evalsets.lessons(rows, new, "k").orderBy("place").collect()] == [0, 4, 1, 2, 3]
     assert evalsets.lessons(rows.where("false"), new, "k").count() == 0
+
+
+def test_converters(spark):
+    from weftline.operators import converters
+
+    chat = spark.createDataFrame([(1, [("system", "s"), ("human", "a"), ("gpt", "b")]), (2, [("human", "a"), ("other", None)]), (3, []), (4, None)], "id int, m array<struct<from:string,value:string>>")
+    got = {r.id: (r["_system"], r["_prompt"], r["_response"]) for r in converters.converted(chat, "sharegpt", {"messages": "m"}).collect()}
+    assert got[1][0] == "s"
+    assert [tuple(m) for m in got[1][1]] == [("user", "a")]
+    assert [tuple(m) for m in got[1][2]] == [("assistant", "b")]
+    assert [tuple(m) for m in got[2][2]] == [("other", None)]
+    assert got[3][1] == got[3][2] == []
+    pairs = spark.createDataFrame([("p", "good", "bad", True)], "p string, c string, r string, t boolean")
+    two = converters.converted(pairs, "alpaca", {"prompt": "p", "chosen": "c", "rejected": "r"}).first()
+    assert [m.content for m in two["_response"]] == ["good", "bad"]
+    tagged = converters.converted(pairs, "alpaca", {"prompt": "p", "response": "c", "tag": "t"}).first()
+    assert [m.content for m in tagged["_response"]] == ["good", ""]
+    with pytest.raises(ValueError, match="no converter"):
+        converters.converted(pairs, "unknown", {})
+    with pytest.raises(ValueError, match="no column"):
+        converters.converted(pairs, "alpaca", {"prompt": "missing"})
+    with pytest.raises(ValueError, match="registered already"):
+        converters.converter("alpaca")(lambda of: None)
+
+
+def test_losses_by_name():
+    from weftline.operators import policy
+
+    assert policy.get_loss("vanilla") is policy.dual_clip_loss
+    with pytest.raises(ValueError, match="unknown loss"):
+        policy.get_loss("none")
+    with pytest.raises(ValueError, match="registered already"):
+        policy.loss("gpg")(policy.gradient_loss)
+
+
+def test_malformed_lines(spark, tmp_path):
+    from weftline.sources import files
+
+    for name, lines in {"a": ['﻿{"id": 1}', "", "not json", '{"id": 2}', '{"id": "x"', ""], "b": ["[", '{"id": 3}'], "c": ['{"id": 4}'] * 500 + ["{"] + ['{"id": 5}'] * 500}.items():
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        bad = files.malformed_lines(spark, str(tmp_path), "id long").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {(r.file[-7:], r.line_number, r.value) for r in bad} == {("a.jsonl", 3, "not json"), ("a.jsonl", 5, '{"id": "x"'), ("b.jsonl", 1, "["), ("c.jsonl", 501, "{")}
+
+
+def test_runs_leave_no_children(tmp_path):
+    import time
+
+    from weftline.functions.execution import run_python
+
+    mark = tmp_path / "late"
+    late = f"import time; time.sleep(2); open({str(mark)!r}, 'w')"
+    child = f"import subprocess, sys\nsubprocess.Popen([sys.executable, '-c', {late!r}])\n"
+    assert run_python(child + "print('done')")[:2] == (True, "done\n")
+    assert run_python(child + "import time\ntime.sleep(9)", seconds=0.5)[3]
+    time.sleep(2.5)
+    assert not mark.exists()
+    assert run_python("print(input()[::-1])", "äb")[:2] == (True, "bä\n")
+    ok, out, _, _ = run_python("while True: print('x' * 1000)")
+    assert not ok
+    assert len(out) <= 1 << 20
+
+
+def test_knapsacks_keep_every_row(spark):
+    from weftline.operators import finetune
+
+    df = spark.createDataFrame([(0, i, n) for i, n in enumerate([5, 8, 3, 11, None, 10])], "b int, k int, n int")
+    got = {r.k: r.knapsack for r in finetune.pack_greedily(df, "b", "k", "n", 10).collect()}
+    assert len(got) == 6
+    assert {k for k, s in got.items() if s is None} == {3, 4}
+    assert got[0] is not None
+
+
+def test_repetition_of_random_texts():
+    import random
+
+    from weftline.functions.textscores import repetition
+
+    def plain(t):
+        order = sorted(range(len(t)), key=lambda i: t[i:])
+        common = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        return 2 * sum(common(t[x:], t[y:]) for x, y in zip(order, order[1:], strict=False)) / (len(t) * (len(t) + 1))
+
+    r = random.Random(3)
+    for n in range(2, 60):
+        t = "".join(r.choice("ab" if n % 2 else "aé𝄞") for _ in range(n))
+        assert repetition(t) == pytest.approx(plain(t))
+    assert repetition("ab" * 200_000) > 0.9

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import os
+import signal
 import subprocess
 import sys
 import tempfile
@@ -27,15 +28,36 @@ def _limits() -> None:
     resource.setrlimit(resource.RLIMIT_FSIZE, (1 << 20, 1 << 20))
 
 
+def _ended(p: subprocess.Popen) -> None:
+    """Ends a process and all that it began and left in its session."""
+    try:
+        os.killpg(p.pid, signal.SIGKILL)
+    except ProcessLookupError:
+        pass
+    p.wait()
+
+
 def run_python(script: str, given: str = "", seconds: float = SECONDS) -> tuple[bool, str, str, bool]:
     """(ended well, stdout, stderr, timed out) of a script: isolated from the site and the environment, in an empty folder
-    that goes with it, under limits of time, memory and file size."""
-    with tempfile.TemporaryDirectory() as home:
+    and a session that go with it, under limits of time, memory and file size (1 MB, output as well).
+
+    This is no sandbox: the script runs as the worker's user, may read that user's files and use the network. Run code
+    that nobody vouches for in workers without either. Children of the script are ended with it unless they begin a
+    session of their own; each has the limits, their number has none.
+    """
+    with tempfile.TemporaryDirectory() as home, tempfile.TemporaryFile() as asked, tempfile.TemporaryFile() as out, tempfile.TemporaryFile() as err:
+        asked.write(given.encode("utf-8", "surrogatepass"))
+        asked.seek(0)
+        p = subprocess.Popen([sys.executable, "-I", "-c", script], stdin=asked, stdout=out, stderr=err, cwd=home, env={"PATH": os.defpath, "PYTHONIOENCODING": "utf-8"}, start_new_session=True, preexec_fn=_limits)
         try:
-            p = subprocess.run([sys.executable, "-I", "-c", script], input=given, cwd=home, env={"PATH": os.defpath}, text=True, capture_output=True, timeout=seconds, preexec_fn=_limits, check=False)
+            p.wait(seconds)
         except subprocess.TimeoutExpired:
             return False, "", "", True
-    return p.returncode == 0, p.stdout, p.stderr, False
+        finally:
+            _ended(p)
+        out.seek(0)
+        err.seek(0)
+        return p.returncode == 0, out.read().decode("utf-8", "replace"), err.read().decode("utf-8", "replace"), False
 
 
 def with_tests(code: str, tests: list[str]) -> str:

@@ -72,30 +72,33 @@ def overlap_scores(predicted: Column, truth: Column) -> Column:
 def repetition(text: str) -> float:
     """The sum of common prefixes of neighbours in the order of suffixes, over half the square of the length.
 
-    Ranks of suffixes double the number of characters that they compare; the common prefix of neighbours is found from
-    the ranks on the way back, from the longest power of two down.
+    Ranks of suffixes double the number of characters that they compare. Common prefixes follow the text: the one of the
+    next suffix is at most one shorter, so all are found in one walk with three arrays of the text's length.
     """
     n = len(text)
     if n <= 1:
         return 0.0
-    rank = np.unique(np.frombuffer(text.encode("utf-32-le"), dtype="<u4"), return_inverse=True)[1].astype(np.int64)
-    levels, step = [rank], 1
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    rank, step = np.unique(points, return_inverse=True)[1].astype(np.int64), 1
     while step < n and rank.max() < n - 1:
-        later = np.r_[rank[step:], np.full(min(step, n), -1)][:n]
-        rank = np.unique(rank * (n + 1) + later + 1, return_inverse=True)[1].astype(np.int64)
-        levels.append(rank)
+        key = rank * (n + 1)
+        key[: n - step] += rank[step:] + 1
+        rank = np.unique(key, return_inverse=True)[1]
         step *= 2
     order = np.argsort(rank, kind="stable")
-    x, y = order[:-1].copy(), order[1:].copy()
-    common = np.zeros(n - 1, dtype=np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        width = 1 << k
-        # equal ranks of a level agree in its width of characters, if both have so many
-        inside = (x + width <= n) & (y + width <= n)
-        same = inside & (levels[k][np.minimum(x, n - 1)] == levels[k][np.minimum(y, n - 1)])
-        common += same * width
-        x, y = x + same * width, y + same * width
-    return 2 * float(common.sum()) / (n * (n + 1))
+    before = np.empty(n, dtype=np.int64)  # the suffix before each in the order; the first has none
+    before[order[1:]], before[order[0]] = order[:-1], -1
+    total = h = 0
+    for i, j in enumerate(memoryview(before)):
+        if j < 0:
+            h = 0
+            continue
+        top = n - max(i, j)
+        while h < top and text[i + h] == text[j + h]:
+            h += 1
+        total += h
+        h = max(0, h - 1)
+    return 2 * total / (n * (n + 1))
 
 
 def repeats_itself(text: Column, limit: float = 0.2) -> Column:

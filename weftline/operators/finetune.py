@@ -118,15 +118,16 @@ def knapsacks(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def pack_greedily(df: DataFrame, batch: str, key: str, length: str, capacity: int) -> DataFrame:
     """key, knapsack and segment (from 1) of the rows of each batch. A batch is packed on its own, so its size is the
-    bound on what a task holds."""
+    bound on what a task holds. Rows that fit no knapsack (longer than one, or without a length) have nulls there."""
     kinds = dict(df.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, ignore_index=True)
-        rows = [(pdf[batch].iloc[0], pdf[key].iloc[i], s, k) for s, sack in enumerate(knapsacks(pdf[length].tolist(), capacity)) for k, i in enumerate(sack, 1)]
-        return pd.DataFrame(rows, columns=[batch, key, "knapsack", "segment"])
+        at = {i: (s, k) for s, sack in enumerate(knapsacks(pdf["_n"].tolist(), capacity)) for k, i in enumerate(sack, 1)}
+        places = pd.DataFrame([at.get(i, (None, None)) for i in range(len(pdf))], columns=["knapsack", "segment"], dtype="Int64")
+        return pd.concat([pdf[[batch, key]], places], axis=1)
 
-    return df.select(batch, key, length).groupBy(batch).applyInPandas(run, f"{batch} {kinds[batch]}, {key} {kinds[key]}, knapsack long, segment long")
+    return df.select(batch, key, F.coalesce(F.col(length), F.lit(capacity + 1)).alias("_n")).groupBy(batch).applyInPandas(run, f"{batch} {kinds[batch]}, {key} {kinds[key]}, knapsack long, segment long")
 
 
 def workload(length: Column) -> Column:

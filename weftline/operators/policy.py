@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +93,43 @@ def clip_cov(df: DataFrame, key: tuple[str, ...], new: str, old: str, advantage:
     return out.withColumn("loss", F.when(valid, F.when(F.col("dropped"), 0.0).otherwise(F.greatest(plain, clipped))))
 
 
+#: Token losses by name: (new, old, advantage) log-probabilities and advantage -> Column. Further arguments have defaults.
+LOSSES: dict[str, Callable[..., Column]] = {}
+
+
+def loss(name: str):
+    """Registers a token loss; a name is given once."""
+
+    def register(f: Callable[..., Column]):
+        if name in LOSSES:
+            raise ValueError(f"loss {name} is registered already")
+        LOSSES[name] = f
+        return f
+
+    return register
+
+
+def get_loss(name: str) -> Callable[..., Column]:
+    if name not in LOSSES:
+        raise ValueError(f"unknown loss {name}; known: {', '.join(sorted(LOSSES))}")
+    return LOSSES[name]
+
+
+loss("vanilla")(dual_clip_loss)
+
+
+@loss("gpg")
+def gradient_loss(new: Column, old: Column, advantage: Column) -> Column:
+    """The plain policy gradient; the old policy has no part in it."""
+    return -advantage * new
+
+
+@loss("direct")
+def direct_ratio_loss(new: Column, old: Column, advantage: Column) -> Column:
+    """The unclipped ratio; the log-ratio lies within 20 on both sides."""
+    return -advantage * F.exp(clamp(new - old, -20.0, 20.0))
+
+
 def value_loss(value: Column, old: Column, returns: Column, clip: float = 0.5) -> Column:
     near = F.greatest(F.least(value, old + clip), old - clip)
     return 0.5 * F.greatest((value - returns) ** 2, (near - returns) ** 2)

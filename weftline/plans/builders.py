@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import evalsets, reporting
+from weftline.operators import converters, evalsets, policy, reporting
 from weftline.plans.base import query, table
 from weftline.plans.measures import rounded
 
@@ -119,3 +119,39 @@ def curriculum_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = state.withColumn("score", F.round("score", 6))
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
     return evalsets.lessons(c, state, "user_id", 25.0).join(state.select("user_id", "seen"), "user_id", "left").select("user_id", F.coalesce("seen", F.lit(0)).alias("seen"), "place")
+
+
+@query(
+    """WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS r, list(text ORDER BY turn) AS x FROM conversations GROUP BY 1), o AS (SELECT conv_id, r[1] = 'system' AS led, len(r) AS n, r, x FROM c),
+f AS (SELECT unnest(['openai', 'sharegpt']) AS format)
+SELECT format, conv_id AS id, CASE WHEN led AND coalesce(x[1], '') <> '' THEN x[1] ELSE 'be brief' END AS system, greatest(n - CASE WHEN led THEN 1 ELSE 0 END - 1, 0)::INT AS n_prompt, CASE WHEN n > CASE WHEN led THEN 1 ELSE 0 END THEN r[-1] || ':' || coalesce(x[-1], '') END AS answer FROM o, f
+UNION ALL SELECT 'alpaca', item_id, '', 1, 'assistant:' || text FROM benchmark"""
+)
+def converted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in two forms and passages in a third, each converted by its format's name."""
+    turn = F.struct("turn", F.col("role").alias("role"), F.col("text").alias("content"))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("x")).withColumn("sys", F.lit("be brief"))
+    tags = F.create_map(*(F.lit(t) for t in ("user", "human", "assistant", "gpt", "system", "system")))
+    tagged = F.transform("x", lambda m: F.struct(F.coalesce(F.element_at(tags, m["role"]), m["role"]).alias("from"), m["content"].alias("value")))
+    plain = F.transform("x", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("conv_id"), F.lit("Repeat.").alias("p"), "text")
+    parts = {"openai": (c.withColumn("m", plain), {"messages": "m", "system": "sys"}), "sharegpt": (c.withColumn("m", tagged), {"messages": "m", "system": "sys"}), "alpaca": (b, {"prompt": "p", "query": "text", "response": "text"})}
+    out = None
+    for name, (df, columns) in parts.items():
+        last = F.get("_response", F.lit(0))
+        part = converters.converted(df, name, columns).select(F.lit(name).alias("format"), F.col("conv_id").alias("id"), F.col("_system").alias("system"), F.size("_prompt").alias("n_prompt"), F.concat(last["role"], F.lit(":"), F.coalesce(last["content"], F.lit(""))).alias("answer"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    """WITH t AS (SELECT ln(l_quantity / 60.0::DOUBLE) AS n, ln((l_linenumber + 50) / 60.0::DOUBLE) AS o, l_discount::DOUBLE * 10 - 0.5 AS a FROM lineitem),
+l AS (SELECT -a * exp(least(greatest(n - o, -20), 20)) AS direct, -a * n AS gpg, greatest(-a * exp(least(greatest(n - o, -20), 20)), -a * least(greatest(exp(least(greatest(n - o, -20), 20)), 0.8), 1.2)) AS c, a FROM t)
+SELECT 'direct' AS loss, round(avg(direct), 6) AS mean FROM l UNION ALL SELECT 'gpg', round(avg(gpg), 6) FROM l UNION ALL SELECT 'vanilla', round(avg(CASE WHEN a < 0 THEN least(-a * 3, c) ELSE c END), 6) FROM l"""
+)
+def losses_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of every registered token loss; quantities and line numbers stand for probabilities."""
+    new, old, a = F.log(F.col("l_quantity") / 60.0), F.log((F.col("l_linenumber") + 50) / 60.0), F.col("l_discount").cast("double") * 10 - 0.5
+    names = sorted(policy.LOSSES)
+    row = table(spark, sf_dir, "lineitem").agg(*(F.avg(policy.get_loss(n)(new, old, a)).alias(n) for n in names))
+    return rounded(row.select(F.explode(F.array(*(F.struct(F.lit(n).alias("loss"), F.col(n).alias("mean")) for n in names))).alias("x")).select("x.*"))

@@ -29,7 +29,15 @@ def ngram_window_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", textquality.repeated_windows(F.col("text")).alias("repeated_windows"))
 
 
-@query()
+#: A block of 50 characters stands three times in a row where 100 characters in a row equal those 50 places on.
+_BLOCKS = """
+chars AS (SELECT doc_id, unnest(x) AS ch, unnest(range(len(x))) AS i FROM (SELECT doc_id, string_split(text, '') AS x FROM documents)),
+hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, ch = lead(ch, 50) OVER (PARTITION BY doc_id ORDER BY i) AS same FROM chars) WHERE same),
+runs AS (SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hits),
+blocks AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, r FROM runs GROUP BY ALL HAVING count(*) >= 100))"""
+
+
+@query(f"WITH {_BLOCKS} SELECT doc_id, CASE WHEN text IS NOT NULL THEN doc_id IN (SELECT doc_id FROM blocks) END AS consecutive_blocks FROM documents")
 def consecutive_block_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", textquality.consecutive_blocks(F.col("text")).alias("consecutive_blocks"))
 
@@ -47,7 +55,10 @@ def reject_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(_reason(F.col("text")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query()
+_CASCADE = "WHEN repeated_lines THEN 'repeated_lines' WHEN repeated_windows THEN 'ngram_repetition' WHEN length(text) > 5000 AND doc_id IN (SELECT doc_id FROM blocks) THEN 'consecutive_repeat' ELSE 'ok' END"
+
+
+@query(rf"WITH {_FLAGS}, {_BLOCKS} SELECT doc_id, CASE WHEN text IS NULL THEN 'empty' {_CASCADE} AS reason, CASE WHEN text IS NULL THEN 'empty' WHEN NOT contains(text, 'oxed') THEN 'no_marker' {_CASCADE} AS reason_with_marker FROM flags")
 def reject_reason_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", textquality.reject_reason(F.col("text")).alias("reason"), textquality.reject_reason(F.col("text"), marker="\\boxed").alias("reason_with_marker"))

@@ -87,6 +87,23 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True,
     return parsed.select(*(F.col(f"r.{f.name}").alias(f.name) for f in kind.fields))
 
 
+def malformed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line_number from 1, value) of the lines that are no record; blank lines are counted and are no error.
+
+    Lines of a file are numbered range by range, so a file of any size is split. A strict read that fails says which
+    file to ask for.
+    """
+    from weftline.operators.batch import before_within
+
+    kind = T._parse_datatype_string(schema)
+    probe = T.StructType([*kind.fields, T.StructField("_bad", T.StringType())])
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_line"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    placed = before_within(lines, "file", ["_at", "_line"], F.lit(1), "_n")
+    record = F.from_json("value", probe, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    bad = placed.where(F.trim("value") != "").withColumn("_r", record).where(F.col("_r").isNull() | F.col("_r._bad").isNotNull())
+    return bad.select("file", (F.col("_n") + 1).alias("line_number"), "value")
+
+
 def tail_jsonl(spark: SparkSession, path: str, schema: str, limit: int) -> DataFrame:
     """The last ``limit`` records that parse, in their order."""
     kind = T._parse_datatype_string(schema)
