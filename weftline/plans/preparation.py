@@ -48,11 +48,18 @@ def fill_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", t.alias("text"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN '<image>|see ' || event_type WHEN 1 THEN 'a|<video>|<image>' ELSE event_type END AS segments FROM events")
+_MEDIA = "replace(replace(coalesce(text, ''), ', ', '<image>'), '. ', '<video>')"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, list_filter(string_split(replace(replace({_MEDIA}, '<image>', chr(1) || '<image>' || chr(1)), '<video>', chr(1) || '<video>' || chr(1)), chr(1)), lambda x: x <> '') AS s FROM documents)
+SELECT doc_id, len(s)::INT AS n, len(list_filter(s, lambda x: x = '<image>'))::INT AS images, md5(array_to_string(s, '|')) AS segments FROM s"""
+)
 def media_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, k = F.col("event_id") % 3, F.col("event_type")
-    text = F.when(e == 0, F.concat(F.lit("<image>see "), k)).when(e == 1, "a<video><image>").otherwise(k)
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(formats.media_segments(text), "|").alias("segments"))
+    """Texts whose commas stand for images and whose stops stand for videos."""
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(", "), F.lit("<image>")), F.lit(". "), F.lit("<video>"))
+    s = table(spark, sf_dir, "documents").select("doc_id", formats.media_segments(text).alias("s"))
+    return s.select("doc_id", F.size("s").alias("n"), F.size(F.filter("s", lambda x: x == "<image>")).alias("images"), F.md5(F.array_join("s", "|")).alias("segments"))
 
 
 @query("SELECT event_id, array_to_string(list_transform(string_split(event_type, ''), lambda c: c || CASE WHEN c = 'r' THEN ' = ' ELSE ' != ' END || 'r'), chr(10)) || chr(10) || 'So \\boxed{' || (length(event_type) - length(replace(event_type, 'r', ''))) || '}' AS answer FROM events")
@@ -75,12 +82,17 @@ def message_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats(spark, sf_dir).select("conv_id", formats.well_formed(F.col("turns")).alias("ok"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN -1.0::DOUBLE WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0.0 END AS reward FROM events")
+@query(
+    """WITH p AS (SELECT user_id, event_id % 50 AS y, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+SELECT user_id, round(CASE WHEN user_id % 9 = 0 THEN -1 ELSE coalesce(1.0::DOUBLE / min(n) FILTER (value BETWEEN 5 AND 30 AND y BETWEEN 10 AND 40), 0) END, 6) AS reward FROM p GROUP BY 1"""
+)
 def point_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id") % 4
-    a = F.when(e == 0, "none").when(e == 1, "[[1, 2], [9, 9]]").when(e == 2, "[[9, 9], [1, 2]]").otherwise("[[9, 9]]")
+    """A user's events as the points of an answer, in their order; every ninth answer is no list."""
+    point = F.struct("event_id", F.array(F.col("value").cast("double"), (F.col("event_id") % 50).cast("double")).alias("p"))
+    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(point)).alias("x"))
+    answer = F.when(F.col("user_id") % 9 == 0, "none").otherwise(F.to_json(F.transform("x", lambda r: r["p"])))
     box = lambda x, y: F.array(F.lit(float(x)), F.lit(float(y)))
-    return table(spark, sf_dir, "events").select("event_id", formats.point_reward(a, box(0, 0), box(5, 5)).alias("reward"))
+    return g.select("user_id", F.round(formats.point_reward(answer, box(5, 10), box(30, 40)), 6).alias("reward"))
 
 
 @query(
@@ -93,12 +105,18 @@ def multiple_choice_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.array_join(options, ",").alias("options"), answer.alias("answer"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN 0.5::DOUBLE ELSE 1.0 END AS accuracy FROM events")
+@query(
+    r"""WITH w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \n]'), lambda x: x <> ''), lambda x: length(x)) AS n FROM documents),
+t AS (SELECT doc_id, unnest(n) AS n, unnest(range(len(n))) AS i FROM w), l AS (SELECT doc_id, n AS p, lead(n) OVER (PARTITION BY doc_id ORDER BY i) AS x FROM t)
+SELECT doc_id, round(avg((p = x)::INT) FILTER (x >= 3), 6) AS accuracy FROM documents LEFT JOIN l USING (doc_id) GROUP BY 1"""
+)
 def token_label_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id") % 3
-    arr = lambda *x: F.array(*map(F.lit, x))
-    labels = F.when(e == 0, arr(-100, -100, -100)).when(e == 1, arr(-100, 2, 4)).otherwise(arr(-100, 2, 3))
-    return table(spark, sf_dir, "events").select("event_id", formats.token_accuracy(arr(1, 2, 3), labels).alias("accuracy"))
+    """A word's length is the guess of the next word's; words of fewer than three characters are no labels."""
+    n = F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \n]", -1), lambda x: x != ""), F.length)
+    d = table(spark, sf_dir, "documents").select("doc_id", n.alias("n"))
+    short = F.greatest(F.size("n") - 1, F.lit(0))
+    labels = F.transform(F.slice("n", F.lit(2), short), lambda x: F.when(x < 3, -100).otherwise(x))
+    return d.select("doc_id", F.round(formats.token_accuracy(F.slice("n", F.lit(1), short), labels), 6).alias("accuracy"))
 
 
 @query("SELECT event_type IN ('click', 'view') AS wanted, round(sum(value) FILTER (event_id % 7 <> 0), 4) AS total, count(*) FILTER (event_id % 7 <> 0) AS n FROM events GROUP BY 1")
@@ -163,12 +181,20 @@ def error_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", formats.feedback(F.when(k == "error", "AssertionError").when(k == "click", "SyntaxError").otherwise("None")).alias("advice"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'prompt,chosen' WHEN event_id % 3 = 1 THEN 'prompt' ELSE 'prompt,rejected' END AS parts, (event_id % 3 <> 1) AS wanted FROM events")
+@query(
+    r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \n]'), lambda x: x <> '') AS w FROM documents), h AS (SELECT doc_id, w[1:len(w) // 2] AS p, w[len(w) // 2 + 1:] AS c FROM w),
+s AS (SELECT doc_id, side, list_concat(p, CASE side WHEN 'chosen' THEN c ELSE list_reverse(c) END) AS x, len(p) AS np, len(c) AS n FROM h, (SELECT unnest(['chosen', 'rejected']) AS side))
+SELECT doc_id, side, md5(array_to_string(x, ' ')) AS parts, np::INT AS prompt_length, n > 0 AS wanted FROM s"""
+)
 def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompt's part and one side's, as one array."""
-    e = F.col("event_id") % 3
-    side = F.when(e == 0, F.array(F.lit("chosen"))).when(e == 2, F.array(F.lit("rejected"))).otherwise(F.array().cast("array<string>"))
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.concat(F.array(F.lit("prompt")), side), ",").alias("parts"), (F.size(side) > 0).alias("wanted"))
+    """The prompt (the first half of a text's words) and one side's part, as one array each: the other half for the
+    chosen side, the same in reverse for the rejected one."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \n]", -1), lambda x: x != "").alias("w"))
+    half = F.floor(F.size("w") / 2).cast("int")
+    p, c = F.slice("w", F.lit(1), half), F.slice("w", half + 1, F.size("w") - half)
+    sides = F.explode(F.array(F.struct(F.lit("chosen").alias("side"), c.alias("c")), F.struct(F.lit("rejected").alias("side"), F.reverse(c).alias("c"))))
+    rows = d.select("doc_id", p.alias("p"), sides.alias("s"))
+    return rows.select("doc_id", "s.side", F.md5(F.array_join(F.concat("p", "s.c"), " ")).alias("parts"), F.size("p").alias("prompt_length"), (F.size("s.c") > 0).alias("wanted"))
 
 
 @query("SELECT event_id FROM events ORDER BY md5(event_id || 'shuffle') LIMIT 200")

@@ -107,11 +107,20 @@ def score_dispatch_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg(answers.dispatch(F.col("source"), F.col("text"), F.col("truth"))), 6).alias("mean_score"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'Timeout' WHEN event_type = 'error' THEN 'AssertionError' WHEN event_type = 'click' THEN 'SyntaxError' WHEN event_type = 'view' THEN 'ImportError' WHEN event_type = 'signup' THEN 'RuntimeError' ELSE 'None' END AS error FROM events")
+_ERROR = "replace(replace(replace(replace(coalesce(text, ''), 'sch', 'SyntaxError'), 'que', 'AssertionError'), 'ent', 'ModuleNotFoundError'), 'ti', 'Traceback')"
+
+
+@query(
+    f"""WITH e AS (SELECT doc_id, n_chars % 5 = 0 AS late, {_ERROR} AS e FROM documents)
+SELECT doc_id, CASE WHEN late THEN 'Timeout' WHEN contains(e, 'SyntaxError') THEN 'SyntaxError' WHEN contains(e, 'AssertionError') THEN 'AssertionError' WHEN contains(e, 'ImportError') OR contains(e, 'ModuleNotFoundError') THEN 'ImportError'
+ WHEN contains(e, 'Traceback') THEN 'RuntimeError' WHEN regexp_matches(e, '[^ \n\t\r]') THEN 'UnknownError' ELSE 'None' END AS error FROM e"""
+)
 def error_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("event_type")
-    err = F.when(k == "error", "Traceback\nAssertionError: x").when(k == "click", "SyntaxError").when(k == "view", "Traceback ModuleNotFoundError").when(k == "signup", "Traceback").otherwise(" \n")
-    return table(spark, sf_dir, "events").select("event_id", answers.error_class(err, F.lit(None), F.col("event_id") % 5 == 0).alias("error"))
+    """Texts as logs: some syllables stand for the names of errors."""
+    err = F.coalesce("text", F.lit(""))
+    for part, kind in {"sch": "SyntaxError", "que": "AssertionError", "ent": "ModuleNotFoundError", "ti": "Traceback"}.items():
+        err = F.replace(err, F.lit(part), F.lit(kind))
+    return table(spark, sf_dir, "documents").select("doc_id", answers.error_class(err, F.lit(None), F.col("n_chars") % 5 == 0).alias("error"))
 
 
 # ---- reasoning steps
@@ -216,10 +225,11 @@ def alpaca_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", p["role"].alias("role"), p["content"].alias("asked"), F.element_at(response, 1)["content"].alias("response"), system.alias("system"))
 
 
-@query("SELECT doc_id, (CASE WHEN quality = 1 THEN 'text' ELSE '' END) AS first, (CASE WHEN quality = 1 THEN '' ELSE 'text' END) AS second FROM labels")
+@query("SELECT doc_id, md5(CASE WHEN quality = 1 THEN coalesce(text, '') ELSE '' END) AS first, md5(CASE WHEN quality = 1 THEN '' ELSE coalesce(text, '') END) AS second FROM labels JOIN documents USING (doc_id)")
 def kto_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = finetune.align_tagged(F.lit("text"), F.col("quality") == 1)
-    return table(spark, sf_dir, "labels").select("doc_id", r[0]["content"].alias("first"), r[1]["content"].alias("second"))
+    rated = table(spark, sf_dir, "labels").select("doc_id", "quality").join(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    r = finetune.align_tagged(F.col("text"), F.col("quality") == 1)
+    return rated.select("doc_id", F.md5(r[0]["content"]).alias("first"), F.md5(r[1]["content"]).alias("second"))
 
 
 @query("SELECT conv_id, turn, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), last_value(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS other FROM conversations")
@@ -288,9 +298,12 @@ def tool_call_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.when(calls.isNotNull(), F.array_join(calls, ";")).alias("calls"))
 
 
-@query("SELECT conv_id, turn, 'x ' || text AS text FROM conversations")
+@query(r"SELECT doc_id, length(t)::BIGINT AS n_before, md5(regexp_replace(t, '(?s)<think>.*?</think>[ \n]*', '', 'g')) AS text FROM (SELECT doc_id, replace(replace(coalesce(text, ''), ', ', ' <think>'), '. ', '</think>' || chr(10) || ' ') AS t FROM documents)")
 def remove_thoughts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", finetune.without_thoughts(F.concat(F.lit("x <think>plan\nmore</think> "), F.col("text"))).alias("text"))
+    """Texts whose commas open a thought and whose stops close one, so that some are opened twice or never closed."""
+    t = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(", "), F.lit(" <think>")), F.lit(". "), F.lit("</think>\n "))
+    d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
+    return d.select("doc_id", F.length("t").cast("long").alias("n_before"), F.md5(finetune.without_thoughts(F.col("t"))).alias("text"))
 
 
 @query("SELECT conv_id, turn, role, text AS completion FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, length(text) DESC) AS n FROM conversations) WHERE n = 1")
