@@ -36,7 +36,7 @@ def nearest_vectors(queries: DataFrame, corpus: DataFrame, block: int = 1024) ->
     n_q = max(1, -(-queries.count() // block))
     n_c = max(1, -(-corpus.count() // block))
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    side = lambda df: df.select("id", F.col("vec").cast("array<double>").alias("vec")).withColumn("vec", F.transform("vec", lambda x: x / norm(F.col("vec"))))
+    side = lambda df: df.select("id", F.col("vec").cast("array<double>").alias("vec")).withColumn("vec", let(norm(F.col("vec")), lambda n: F.transform("vec", lambda x: x / n)))
     q = side(queries).select(F.pmod(F.xxhash64("id"), F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"), F.lit(True).alias("asks"), "id", "vec")
     c = side(corpus).select(F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(n_c)).alias("cb"), F.lit(False).alias("asks"), "id", "vec")
 

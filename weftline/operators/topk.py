@@ -25,13 +25,13 @@ def overlap(s: Column, t: Column) -> Column:
 
 def chosen(s: Column, t: Column, strategy: str) -> Column:
     """The entries that a strategy compares."""
-    outside = lambda x, y: F.filter(x, lambda e: ~F.array_contains(_ids(y), e["id"]))
+    outside = lambda x, y: let(_ids(y), lambda ids: F.filter(x, lambda e: ~F.array_contains(ids, e["id"])))
     if strategy == "only_stu":
         return s
     if strategy == "only_tch":
         return t
     if strategy == "intersection":
-        return F.filter(s, lambda e: F.array_contains(_ids(t), e["id"]))
+        return let(_ids(t), lambda ids: F.filter(s, lambda e: F.array_contains(ids, e["id"])))
     if strategy == "union":
         return F.concat(s, outside(t, s))
     if strategy == "union_intersection":
@@ -43,13 +43,16 @@ def weighted_reward(s: Column, t: Column, strategy: str, weight: str = "student_
     """Sum over the chosen entries of -(student - teacher) times a weight.
 
     Weights are a softmax of the student's or the teacher's log-probabilities (or equal) over the entries, but plain
-    probabilities for ``union_intersection``. No entries give 0.
+    probabilities for ``union_intersection``. No entries give 0. The entries are found once.
     """
-    x = chosen(s, t, strategy)
     score = {"student_p": lambda e: e["student"], "teacher_p": lambda e: e["teacher"], "none": lambda e: F.lit(0.0)}[weight]
-    total = F.lit(1.0) if strategy == "union_intersection" else F.aggregate(x, F.lit(0.0), lambda a, e: a + F.exp(score(e)))
-    gain = F.aggregate(x, F.lit(0.0), lambda a, e: a - (e["student"] - e["teacher"]) * F.exp(score(e)))
-    return F.when(F.size(x) > 0, gain / total).otherwise(0.0)
+
+    def reward(x: Column) -> Column:
+        total = F.lit(1.0) if strategy == "union_intersection" else F.aggregate(x, F.lit(0.0), lambda a, e: a + F.exp(score(e)))
+        gain = F.aggregate(x, F.lit(0.0), lambda a, e: a - (e["student"] - e["teacher"]) * F.exp(score(e)))
+        return F.when(F.size(x) > 0, gain / total).otherwise(0.0)
+
+    return let(chosen(s, t, strategy), reward)
 
 
 def probabilities(logs: Column, keys: Column) -> Column:

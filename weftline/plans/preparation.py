@@ -144,11 +144,17 @@ def best_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(spark, sf_dir).select("event_id", F.max("r").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("best"), F.coalesce(F.col("r") > before + 1e-6, F.lit(True)).alias("improved"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 3 THEN event_type = 'click' ELSE event_id % 4 < 2 END AS equal FROM events")
+@query(
+    f"""WITH x AS (SELECT {_KEY}, CASE l_linenumber % 4 WHEN 0 THEN l_quantity::VARCHAR WHEN 1 THEN (l_quantity / 100)::VARCHAR WHEN 2 THEN l_returnflag ELSE (l_partkey % 60)::VARCHAR END AS p, CASE WHEN l_linestatus = 'O' THEN l_quantity::VARCHAR ELSE 'R' END AS r FROM lineitem),
+n AS (SELECT *, try_cast(p AS DOUBLE) AS a, try_cast(r AS DOUBLE) AS b FROM x)
+SELECT {_KEY}, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN abs(a - b) <= 1e-4 * abs(b) OR abs(a - b / 100) <= 1e-4 * abs(b / 100) OR abs(a - b * 100) <= 1e-4 * abs(b * 100) ELSE p = r END AS equal FROM n"""
+)
 def numeric_answer_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id") % 4
-    p = F.when(e == 0, "50.0").when(e == 1, "0.5").when(e == 2, "51").otherwise(F.col("event_type"))
-    return table(spark, sf_dir, "events").select("event_id", formats.numerically_equal(p, F.when(e == 3, "click").otherwise("50")).alias("equal"))
+    """Quantities, their hundredths, flags and remainders against quantities or a flag."""
+    q, k = F.col("l_quantity"), F.col("l_linenumber") % 4
+    p = F.when(k == 0, q.cast("string")).when(k == 1, (q / 100).cast("string")).when(k == 2, F.col("l_returnflag")).otherwise((F.col("l_partkey") % 60).cast("string"))
+    r = F.when(F.col("l_linestatus") == "O", q.cast("string")).otherwise("R")
+    return table(spark, sf_dir, "lineitem").select(*KEY, formats.numerically_equal(p, r).alias("equal"))
 
 
 @query(f"WITH {TOKENS} SELECT event_id, CASE WHEN t = count(*) OVER (PARTITION BY user_id) - 1 THEN (user_id % 3)::DOUBLE ELSE 0 END AS reward FROM tok")

@@ -75,21 +75,24 @@ def dapo_answer_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses(spark, sf_dir).select("event_id", pred.alias("pred"), "truth").select("event_id", "pred", F.when(F.col("pred") == F.col("truth"), 1.0).otherwise(-1.0).alias("score"))
 
 
-_BOX = "bx AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'so \\boxed{' || (event_id % 7) || '}.' WHEN 1 THEN '<think>a</think> \\boxed{1} then \\boxed{\\frac{' || (event_id % 7) || '}{2}} end' ELSE 'none \\boxed{open' END AS text, (event_id % 7)::VARCHAR AS truth FROM events)"
+_BOXED = r"""WITH p AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), q AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '<think>' || replace(t, chr(10), '</think>') ELSE t END AS t, string_split(string_split(t, ', ')[-1], '. ')[1] AS truth FROM p),
+x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN truth ELSE 'other' END AS truth, replace(replace(t, ', ', ' \boxed{'), '. ', '} ') AS t FROM q),
+a AS (SELECT *, CASE WHEN contains(t, '\boxed{') THEN string_split(t, '\boxed{')[-1] END AS tail FROM x),
+b AS (SELECT *, CASE WHEN regexp_matches(tail, '^(?:[^{}]|\{[^{}]*\})*\}') THEN regexp_extract(tail, '^((?:[^{}]|\{[^{}]*\})*)\}', 1) END AS answer FROM a)"""
 
 
-def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
-    k = (e % 7).cast("string")
-    text = F.when(e % 3 == 0, F.concat(F.lit("so \\boxed{"), k, F.lit("}."))).when(e % 3 == 1, F.concat(F.lit("<think>a</think> \\boxed{1} then \\boxed{\\frac{"), k, F.lit("}{2}} end"))).otherwise("none \\boxed{open")
-    return table(spark, sf_dir, "events").select("event_id", text.alias("text"), k.alias("truth"))
-
-
-@query(f"WITH {_BOX} SELECT event_id, CASE event_id % 3 WHEN 0 THEN truth WHEN 1 THEN '\\frac{{' || truth || '}}{{2}}' END AS answer, contains(text, '\\boxed') AS in_format, CASE WHEN event_id % 3 = 1 THEN 0.1::DOUBLE WHEN event_id % 3 = 0 THEN 0.9 ELSE 0.0 END AS geometry_score FROM bx")
+@query(rf"{_BOXED} SELECT doc_id, md5(answer) AS answer, contains(t, '\boxed') AS in_format, round(0.9::DOUBLE * coalesce((answer = truth)::INT, 0) + 0.1::DOUBLE * regexp_matches(t, '(?s)^<think>.*</think>.*\\boxed\{{.*\}}')::INT, 6) AS geometry_score FROM b")
 def format_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    score = 0.9 * answers.unboxed(answers.last_boxed(t)).eqNullSafe(F.col("truth")).cast("double") + 0.1 * answers.thinks_and_boxes(t).cast("double")
-    return _boxes(spark, sf_dir).select("event_id", answers.unboxed(answers.last_boxed(t)).alias("answer"), F.contains(t, F.lit("\\boxed")).alias("in_format"), score.alias("geometry_score"))
+    """Texts whose commas open a box and whose stops close one; a third begin with a thought. Half of them have what
+    stands after the last comma as the truth."""
+    t = F.coalesce("text", F.lit(""))
+    truth = F.when(F.col("doc_id") % 2 == 0, F.substring_index(F.substring_index(t, ", ", -1), ". ", 1)).otherwise("other")
+    thought = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<think>"), F.replace(t, F.lit("\n"), F.lit("</think>")))).otherwise(t)
+    boxed = F.replace(F.replace(thought, F.lit(", "), F.lit(" \\boxed{")), F.lit(". "), F.lit("} "))
+    d = table(spark, sf_dir, "documents").select("doc_id", boxed.alias("t"), truth.alias("truth"))
+    x = d.select("*", answers.unboxed(answers.last_boxed(F.col("t"))).alias("a"))
+    score = 0.9 * F.col("a").eqNullSafe(F.col("truth")).cast("double") + 0.1 * answers.thinks_and_boxes(F.col("t")).cast("double")
+    return x.select("doc_id", F.md5("a").alias("answer"), F.contains("t", F.lit("\\boxed")).alias("in_format"), F.round(score, 6).alias("geometry_score"))
 
 
 _SOURCE = "CASE event_id % 4 WHEN 0 THEN 'grade_school' WHEN 1 THEN 'multiple_choice' WHEN 2 THEN 'competition' ELSE 'search_qa' END"
