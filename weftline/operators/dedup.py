@@ -73,10 +73,13 @@ def _words(text: Column) -> Column:
     return F.split(text, r"[ \n]", -1)
 
 
-def _whole_word_keys(words: Column, n: int) -> Column:
-    """The hash of every run of ``n`` words, each once."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(n)), " "))))
+def _runs(words: Column, n: int) -> Column:
+    """The hash of every run of ``n`` words, made of the hashes of its two runs of half as many, which may overlap."""
+    if n == 1:
+        return F.transform(words, lambda w: F.xxhash64(w))
+    step = n // 2
+    joined = lambda a, m: F.zip_with(F.slice(a, F.lit(1), m), F.slice(a, F.lit(step + 1), m), lambda x, y: F.xxhash64(x, y))
+    return let(_runs(words, n - step), lambda a: joined(a, F.greatest(F.size(a) - step, F.lit(0))))
 
 
 def _inside_keys(words: Column, n: int) -> Column:
@@ -101,13 +104,16 @@ def containing(docs: DataFrame, doc_id: str, text: str, passages: DataFrame, ite
     inner = F.least(F.size(w) - 2, F.lit(KEY_WORDS))
     longest = F.when(F.length(w[0]) >= F.length(F.element_at(w, -1)), w[0]).otherwise(F.element_at(w, -1))
     short = let(longest, lambda x: F.struct(F.least(F.length(x), F.lit(KEY_CHARS)).alias("n"), F.xxhash64(F.substr(x, F.lit(1), F.lit(KEY_CHARS))).alias("k")))
-    long_ = F.struct(inner.alias("n"), F.xxhash64(F.array_join(F.slice(w, F.lit(2), inner), " ")).alias("k"))
+    run = F.lit(None).cast("long")
+    for n in range(1, KEY_WORDS + 1):
+        run = F.when(inner == n, _runs(F.slice(w, F.lit(2), F.lit(n)), n)[0]).otherwise(run)
+    long_ = F.struct(inner.alias("n"), run.alias("k"))
     keyed = b.select("_item", (F.size(w) > 2).alias("_long"), F.when(F.size(w) > 2, long_).otherwise(short).alias("_key")).select("_item", "_long", "_key.n", "_key.k")
     kinds = sorted((r[0], r[1]) for r in keyed.select("_long", "n").distinct().collect())  # KEY_WORDS + KEY_CHARS + 1 at most
     d = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
 
     def keys(is_long: bool, n: int) -> Column:
-        own = let(_words(F.col("_text")), lambda x: _whole_word_keys(x, n) if is_long else _inside_keys(x, n)) if n else F.array(F.xxhash64(F.lit("")))
+        own = let(_words(F.col("_text")), lambda x: F.array_distinct(_runs(x, n)) if is_long else _inside_keys(x, n)) if n else F.array(F.xxhash64(F.lit("")))
         return F.struct(F.lit(is_long).alias("_long"), F.lit(n).alias("n"), own.alias("ks"))
 
     held = [keys(*kind) for kind in kinds]
