@@ -50,6 +50,12 @@ def before_within(df: DataFrame, group: str, order: list[str], value: Column, na
     return out.drop("_p", "__g", "_i", "_before", "_total", "__value")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over as many tasks as shuffles have, before a step that takes much time for few bytes: a small file
+    is read in few tasks, and adaptive execution joins small partitions by their bytes alone."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def take(df: DataFrame, position: str, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
     p = F.col(position)
     out = df.where((p >= start) & ((p - start) % step == 0))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import symbolic, trees
+from weftline.operators.batch import spread
 from weftline.plans.base import query, table
 
 _A, _B, _C = "l_linenumber", "(l_partkey % 9 + 1)", "CAST(l_quantity AS INT)"
@@ -54,6 +55,6 @@ def tree_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     below = lambda n: F.concat(F.array(F.lit(-1)), F.array_repeat(F.lit(0), n))
     star = lambda c: F.struct(F.concat(F.array(F.lit("")), letters(c)).alias("labels"), below(F.length(c)).alias("parents"))
     chain = lambda c: F.struct(F.array_repeat(F.lit("n"), F.length(c)).alias("labels"), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: i - 2).alias("parents"))
-    p = table(spark, sf_dir, "part").select("p_partkey", star(F.col("p_name")).alias("a"), star(F.col("p_type")).alias("b"), chain(F.col("p_name")).alias("x"), chain(F.col("p_type")).alias("y"))
+    p = spread(table(spark, sf_dir, "part")).select("p_partkey", star(F.col("p_name")).alias("a"), star(F.col("p_type")).alias("b"), chain(F.col("p_name")).alias("x"), chain(F.col("p_type")).alias("y"))
     d = p.withColumn("distance", trees.tree_distance(F.col("a"), F.col("b"))).withColumn("to_chain", trees.tree_distance(F.col("x"), F.col("y")))
     return d.select("p_partkey", "distance", "to_chain")
