@@ -1,5 +1,6 @@
 """Small cases with results worked out by hand or by plain loops."""
 
+import difflib
 import json
 import random
 import statistics
@@ -235,3 +236,23 @@ def test_penalties(spark):
     assert one(policy.overlong_penalty(F.lit(10), 50, 10, 1.0)) == 0.0
     with pytest.raises(ValueError):
         policy.kl_penalty(F.lit(0.0), F.lit(1.0), "k9")
+
+
+def test_scores_of_refills_compare_only_what_may_count(monkeypatch):
+    made = []
+    ratio = difflib.SequenceMatcher.ratio
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda m: made.append(1) or ratio(m))
+    s = expansion.score_fill(["abcdef ghi"], "abcdef", ["1234 5678 90"] * 5, ["qrstuvw"])
+    assert len(made) == 1  # the following step's; seven before
+    assert s["similarity"] == 1.0
+    same = expansion.score_fill(["abc def"], "abcdef", ["abc def"], [])
+    assert same["similarity"] == 0.0
+
+
+def test_scores_of_refills_are_kept_and_records_are_dealt_over_tasks(spark):
+    before = expansion._scored.cache_info().hits
+    assert expansion._scored(("So a",), "a", ("b",), ()) == expansion._scored(("So a",), "a", ("b",), ()) == expansion.score_fill(["So a"], "a", ["b"], [])["aggregate"]
+    assert expansion._scored.cache_info().hits > before
+    one = spark.createDataFrame([(i, ["Let x = 1", "So 2 + 3 = 5"], "x = 1") for i in range(50)], "id int, steps array<string>, code string").coalesce(1)
+    assert expansion.expand_steps(one, "id", "steps").rdd.getNumPartitions() > 1
+    assert expansion.rewrite_code(one, "id", "code").rdd.getNumPartitions() > 1

@@ -10,6 +10,7 @@ import difflib
 import hashlib
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import codemetrics
 from weftline.functions.steps import consistent
+from weftline.operators.batch import spread
 
 UNSURE = ("maybe", "perhaps", "not sure", "probably")
 
@@ -30,8 +32,11 @@ def mock_fill(before: list[str], masked: str, after: list[str], attempt: int) ->
 def score_fill(fill: list[str], masked: str, before: list[str], after: list[str]) -> dict[str, float]:
     """Five scores of a refill and their weighted sum."""
     text = " ".join(fill)
-    ratio = lambda x: difflib.SequenceMatcher(None, text.lower(), x.lower()).ratio()
-    near = max([ratio(x) for x in before + after], default=0.0)
+    matcher = lambda x: difflib.SequenceMatcher(None, text.lower(), x.lower())
+    near = 0.55  # what is less alike doesn't count; the quick ratios are upper bounds of the ratio
+    for m in map(matcher, before + after):
+        if m.real_quick_ratio() > near and m.quick_ratio() > near:
+            near = max(near, m.ratio())
     similarity = 0.0 if not text.strip() else 1.0 - min(1.0, max(0.0, (near - 0.55) / 0.45))
     known = set(re.findall(r"[A-Za-z]\w*", " ".join(before + after + [masked])))
     new = {w for w in re.findall(r"\b[A-Za-z]\b", text)} - known
@@ -41,17 +46,23 @@ def score_fill(fill: list[str], masked: str, before: list[str], after: list[str]
     formula = (0.48 if "=" in masked else 0.75) if not verdicts else 0.68 if not known_verdicts else sum(known_verdicts) / len(known_verdicts)
     connected = bool(re.search(r"\b(so|thus|therefore|because|hence|then)\b", text.lower()))
     completeness = min(1.0, 0.45 + 0.2 * (len(fill) >= 1) + 0.2 * (("=" in masked) <= ("=" in text)) + 0.15 * connected)
-    following = ratio(after[0]) if after else 0.0
+    following = matcher(after[0]).ratio() if after else 0.0
     gain = min(1.0, 0.45 * (1 - following) + (0.2 if 8 <= len(text.split()) <= 80 else 0.05) + 0.15 * ("=" in text) + 0.2)
     parts = {"similarity": similarity, "logic_consistency": logic, "formula_correctness": formula, "completeness": completeness, "reasoning_gain": gain}
     return parts | {"aggregate": 0.18 * similarity + 0.24 * logic + 0.24 * formula + 0.17 * completeness + 0.17 * gain}
 
 
+@lru_cache(maxsize=1 << 14)
+def _scored(fill: tuple[str, ...], masked: str, before: tuple[str, ...], after: tuple[str, ...]) -> float:
+    return score_fill(list(fill), masked, list(before), list(after))["aggregate"]
+
+
 def expand_steps(df: DataFrame, key: str, steps: str, fill: Callable = mock_fill, masks: int = 10, refinements: int = 3, patience: int = 2, threshold: float = 0.8) -> DataFrame:
     """Per record: steps after expansion, attempts, retained refills, whether one was accepted, best score, errors.
 
     Masked steps are drawn by a hash of the record and round, so a record's result does not depend on its neighbours.
-    A record that fails is a row with its error; records without steps have no attempts.
+    A record that fails is a row with its error; records without steps have no attempts. A refill that a task has met
+    among the same steps keeps its score.
     """
 
     def one(record: str, nodes: list[str]) -> tuple:
@@ -66,9 +77,9 @@ def expand_steps(df: DataFrame, key: str, steps: str, fill: Callable = mock_fill
             for a in range(refinements):
                 attempts += 1
                 parts = fill(nodes[:at], masked, nodes[at + 1 :], a)
-                s = score_fill(parts, masked, nodes[:at], nodes[at + 1 :])
-                if top is None or s["aggregate"] > top[0] + 1e-6:
-                    top = (s["aggregate"], parts)
+                s = _scored(tuple(parts), masked, tuple(nodes[:at]), tuple(nodes[at + 1 :]))
+                if top is None or s > top[0] + 1e-6:
+                    top = (s, parts)
             seen.add(masked)
             if top[0] > best + 1e-6:
                 best, stale, kept = top[0], 0, kept + 1
@@ -90,7 +101,7 @@ def expand_steps(df: DataFrame, key: str, steps: str, fill: Callable = mock_fill
             yield pd.DataFrame(rows, columns=[key, "nodes", "attempts", "kept", "accepted", "best", "error"])
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, steps).mapInPandas(run, f"{key} {kind}, nodes array<string>, attempts int, kept int, accepted boolean, best double, error string")
+    return spread(df.select(key, steps)).mapInPandas(run, f"{key} {kind}, nodes array<string>, attempts int, kept int, accepted boolean, best double, error string")
 
 
 def mock_rewrite(code: str, strategy: str) -> str:
@@ -125,7 +136,7 @@ def rewrite_code(df: DataFrame, key: str, code: str, rewrite: Callable = mock_re
             yield pd.DataFrame(rows, columns=[key, "round", "strategy", "before", "after", "passes", "changed", "retained"])
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, code).mapInPandas(run, f"{key} {kind}, round int, strategy string, before double, after double, passes boolean, changed boolean, retained boolean")
+    return spread(df.select(key, code)).mapInPandas(run, f"{key} {kind}, round int, strategy string, before double, after double, passes boolean, changed boolean, retained boolean")
 
 
 def first_valid(attempts: DataFrame, key: list[str], order: str, valid: str) -> DataFrame:
