@@ -90,3 +90,12 @@ def test_token_weights():
     assert got["# c"] == {"cot": 0.55, "style": 0.45} and got["if"] == {"complexity": 1.0} and got["name"] == {"variable": 1.0} and got["="] == {"ast": 1.0}
     assert got["1"] == {"style": 0.35, "ast": 0.65}
     assert m.token_weights("'''") == []
+
+
+def test_sources_are_read_once_for_all_their_rewrites(monkeypatch):
+    read = []
+    parse = m.parse
+    monkeypatch.setattr(m, "parse", lambda s: read.append(s) or parse(s))
+    source = "def only_here(a):\n    return a\n"
+    assert all(m.acceptable(source, source) for _ in range(3)) and len(read) == 1
+    assert not m.acceptable("def (", source) and not m.acceptable(source, "def (") and not m.acceptable(source, "eval('1')")
