@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.batch import before, with_position
-from weftline.sources.shared import checkpointed
+from weftline.sources.shared import checkpointed, shared_folder
 
 TARGET_NAMES = ("target", "label", "class", "y")
 
@@ -111,27 +112,38 @@ def improved(before: dict[str, float], after: dict[str, float], task: str, least
     return any(g > least for g in gains)
 
 
+def folded(df: DataFrame, target: str, key: str, folds: int = 3) -> DataFrame:
+    """``df`` with its stratified fold (``_fold``), by the hash of a key, written once to the shared folder."""
+    from weftline.operators.batch import stratified_fold
+
+    path = f"{shared_folder(df.sparkSession)}/folds-{uuid.uuid4().hex}"
+    stratified_fold(df, target, key, folds, "_fold").write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def cross_validated(df: DataFrame, features: list[str], target: str, key: str, folds: int = 3, depth: int = 4) -> dict[str, float]:
-    """Accuracy of decision trees over stratified folds; folds go by the hash of a key."""
+    """Accuracy of decision trees over stratified folds; folds go by the hash of a key. A table that ``folded`` made
+    keeps its folds."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    from weftline.operators.batch import stratified_fold
-
-    data = VectorAssembler(inputCols=features, outputCol="_x").transform(stratified_fold(df, target, key, folds, "_fold"))
-    data = data.select("_fold", "_x", F.col(target).cast("double").alias("_y")).cache()
+    if "_fold" not in df.columns:
+        df = folded(df, target, key, folds)
+    data = VectorAssembler(inputCols=features, outputCol="_x").transform(df)
+    data = data.select("_fold", "_x", F.col(target).cast("double").alias("_y"))
     hits = rows = 0
     for k in range(folds):
         model = DecisionTreeClassifier(featuresCol="_x", labelCol="_y", maxDepth=depth, seed=42).fit(data.where(F.col("_fold") != k))
         h, n = model.transform(data.where(F.col("_fold") == k)).agg(F.count_if(F.col("prediction") == F.col("_y")), F.count("*")).first()
         hits, rows = hits + h, rows + n
-    data.unpersist()
     return {"accuracy": hits / max(1, rows)}
 
 
 def search(df: DataFrame, features: list[str], target: str, key: str, rounds: int = 4, texts: list[str] | None = None) -> list[dict]:
     """The rounds of the feature loop: each proposes a column, checks the gates, and keeps it if trees get better. With
-    ``texts`` each round proposes the columns of a feature text (see ``expressions``) and keeps all or none of them."""
+    ``texts`` each round proposes the columns of a feature text (see ``expressions``) and keeps all or none of them. The
+    folds are made once, for all rounds, of the columns that these can use."""
+    df = folded(df if texts is not None else df.select(*dict.fromkeys([*features, target, key])), target, key)
     best, trace = cross_validated(df, features, target, key), []
     if texts is not None:
         from weftline.operators.expressions import robust
