@@ -56,6 +56,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
+#: Rows of different inputs up to which they are sent to all tasks.
+KNOWN_ROWS = 100_000
+
+
+def for_distinct(df: DataFrame, inputs: list[str], **outputs: Column) -> DataFrame:
+    """``df`` with columns that costly expressions make of ``inputs``, computed once for each different row of these.
+    Nulls are values like others. Many different rows are joined, up to KNOWN_ROWS are sent to all tasks."""
+    known = checkpointed(spread(df.select(*inputs).distinct()).select(*(F.col(c).alias(f"__{c}") for c in inputs), *(v.alias(k) for k, v in outputs.items())))
+    if known.count() <= KNOWN_ROWS:
+        known = F.broadcast(known)
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in inputs]
+    return df.join(known, same).drop(*(f"__{c}" for c in inputs))
+
+
 def take(df: DataFrame, position: str, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
     p = F.col(position)
     out = df.where((p >= start) & ((p - start) % step == 0))

@@ -209,10 +209,11 @@ def latex_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(style == 0, F.concat(lit("\\frac"), a, b)).when(style == 1, F.concat(lit("\\dfrac{"), a, lit("}{"), b, lit("}"))).when(style == 2, F.concat(a, lit("/"), b))
         .when(style == 3, F.concat(lit("x = "), a, lit("/"), b)).when(style == 4, F.concat(lit("\\left\\frac{"), a, lit("}"), b, lit("\\text{ km}"))).otherwise(".5")
     )
-    rows = table(spark, sf_dir, "lineitem").select(*_LINE.split(", ")).distinct()
     truth = F.concat(lit("\\frac{"), a, lit("}{"), b, lit("}"))
-    reply = F.concat(lit("We get \\boxed{"), answer, lit("}."))
-    return rows.select(*_LINE.split(", "), latex.normal_form(answer).alias("form"), latex.boxed_score(reply, truth).alias("score"))
+    reply = F.concat(lit("We get \\boxed{"), F.col("answer"), lit("}."))
+    lines = table(spark, sf_dir, "lineitem").select(*_LINE.split(", "), answer.alias("answer"), truth.alias("truth"))
+    graded = batch.for_distinct(lines, ["answer", "truth"], form=latex.normal_form(F.col("answer")), score=latex.boxed_score(reply, F.col("truth")))
+    return graded.select(*_LINE.split(", "), "form", "score").distinct()
 
 
 @query("SELECT event_id, user_id % 50 || ',' || event_id % 1000 + 1000 AS inside, 2::INT AS n FROM events")
@@ -238,7 +239,7 @@ def _successive(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, rouge_1, rouge_2 FROM a JOIN b USING (doc_id)"""
 )
 def rouge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _successive(spark, sf_dir).select("doc_id", textscores.overlap_scores(F.col("text"), F.col("truth")).alias("s"))
+    s = _successive(spark, sf_dir).select("doc_id", textscores.overlap_scores(F.col("text"), F.col("truth"), ("rouge_1", "rouge_2")).alias("s"))
     return s.select("doc_id", "s.rouge_1", "s.rouge_2")
 
 
