@@ -103,3 +103,10 @@ def test_grades(spark):
     more = df.select(symbolic.grade(F.lit("x+y+z"), F.lit("z+y+x"), unknowns=3).alias("g")).first()
     assert more.g
     assert df.where("false").select(symbolic.symbolically_equal(F.col("a"), F.col("b"))).count() == 0
+
+
+def test_equal_answers_are_graded_once(spark):
+    from weftline.plans import answers
+
+    plan = answers.graded_families(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2  # pairs of answer and truth, then families
