@@ -114,3 +114,34 @@ def test_scorers_from_files(spark, tmp_path):
         del answers.SCORERS["own"]
     with pytest.raises(AttributeError):
         answers.load_scorer(str(tmp_path / "own.py"), "missing")
+
+
+def test_shared_runs_of_characters_against_counters():
+    rng = random.Random(5)
+    wide = [chr(c) for c in range(0x4E00, 0x4E00 + 20_000)]
+    cases = [("".join(rng.choice(k) for _ in range(rng.randrange(40))), "".join(rng.choice(k) for _ in range(rng.randrange(40)))) for k in ("ab", "abcdé𝄞", wide) for _ in range(60)]
+    cases.append(("".join(wide) + "".join(wide[::3]), "".join(wide[5:]) * 2))  # 20,000 ^ 4 is no 62-bit number left for five
+    for a, b in cases:
+        assert textscores.shared_grams(a, b, 5) == [(textscores.grams(list(a), n) & textscores.grams(list(b), n)).total() for n in range(1, 6)]
+
+
+def test_only_scores_that_are_asked_for(spark, monkeypatch):
+    df = spark.createDataFrame([("a b", "a c")], "a string, b string")
+    s = df.select(textscores.overlap_scores(F.col("a"), F.col("b"), ("rouge_1",)).alias("s"))
+    assert s.select("s.*").columns == ["rouge_1"] and s.first().s.rouge_1 == 50.0
+    monkeypatch.setattr(textscores, "grams", None)
+    assert textscores.bleu("abcdefg", "abcdefg") == 1.0
+
+
+def test_texts_without_a_long_run_twice_are_not_sorted(spark):
+    rng = random.Random(6)
+    plain = "".join(rng.choice("abcdefgh") for _ in range(3000))
+    assert not textscores.may_repeat(plain, 0.2)
+    seen = set()
+    for _ in range(300):
+        part = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 30)))
+        text = part * rng.randrange(1, 4) + "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(40)))
+        want = textscores.repetition(text) > 0.2
+        seen.add((want, textscores.may_repeat(text, 0.2)))
+        assert textscores.may_repeat(text, 0.2) or not want
+    assert {(True, True), (False, False)} <= seen
