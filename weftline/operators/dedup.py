@@ -27,26 +27,32 @@ def first_seen(df: DataFrame, key: Column, order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def nearest_vectors(queries: DataFrame, corpus: DataFrame, block: int = 1024) -> DataFrame:
+def nearest_vectors(queries: DataFrame, corpus: DataFrame, block: int = 8192, rows: int = 512) -> DataFrame:
     """(query_id, match_id, cosine): for each (id, vec) of ``queries`` the nearest of ``corpus``, smallest id of equals.
 
     Every pair is compared, as the definition asks for, but in blocks: both sides are dealt into blocks of about
-    ``block`` rows by a hash of the id, a pair of blocks is one matrix product, and the best per query are merged.
+    ``block`` rows by a hash of the id, a pair of blocks is a matrix product of ``rows`` queries at a time, and the best
+    per query are merged. Vectors travel once for each block of the other side, as they are, with their length; one of
+    length 0 fails.
     """
     n_q = max(1, -(-queries.count() // block))
     n_c = max(1, -(-corpus.count() // block))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    side = lambda df: df.select("id", F.col("vec").cast("array<double>").alias("vec")).withColumn("vec", let(norm(F.col("vec")), lambda n: F.transform("vec", lambda x: x / n)))
-    q = side(queries).select(F.pmod(F.xxhash64("id"), F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"), F.lit(True).alias("asks"), "id", "vec")
-    c = side(corpus).select(F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(n_c)).alias("cb"), F.lit(False).alias("asks"), "id", "vec")
+    norm = F.sqrt(F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
+    side = lambda df: df.select("id", "vec", let(norm, lambda n: F.when(n == 0, F.raise_error(F.lit("a vector of length 0"))).otherwise(n)).alias("norm"))
+    q = side(queries).select(F.pmod(F.xxhash64("id"), F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"), F.lit(True).alias("asks"), "id", "vec", "norm")
+    c = side(corpus).select(F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(n_c)).alias("cb"), F.lit(False).alias("asks"), "id", "vec", "norm")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["asks"]].sort_values("id"), pdf[~pdf["asks"]].sort_values("id")
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "match_id": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
-        s = np.stack(a["vec"].to_list()) @ np.stack(b["vec"].to_list()).T
-        at = s.argmax(axis=1)
-        return pd.DataFrame({"query_id": a["id"].to_numpy(), "match_id": b["id"].to_numpy()[at], "cosine": s[np.arange(len(a)), at]})
+        x, y = (np.stack(v["vec"].to_list()).astype(np.float64) / v["norm"].to_numpy()[:, None] for v in (a, b))
+        at, best = np.empty(len(x), dtype=np.int64), np.empty(len(x))
+        for i in range(0, len(x), rows):
+            s = x[i : i + rows] @ y.T
+            at[i : i + rows] = s.argmax(axis=1)
+            best[i : i + rows] = s[np.arange(len(s)), at[i : i + rows]]
+        return pd.DataFrame({"query_id": a["id"].to_numpy(), "match_id": b["id"].to_numpy()[at], "cosine": best})
 
     best = q.unionByName(c.withColumn("cb", F.col("cb").cast("long")).withColumn("qb", F.col("qb").cast("long")), allowMissingColumns=True).groupBy("qb", "cb").applyInPandas(compare, "query_id long, match_id long, cosine double")
     top = best.groupBy("query_id").agg(F.max(F.struct("cosine", (-F.col("match_id")).alias("m"))).alias("t"))
