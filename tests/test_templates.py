@@ -118,3 +118,15 @@ def test_templates_are_checked_and_come_from_files(spark, tmp_path):
     talk = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(c).alias("content")) for r, c in (("user", "x"), ("assistant", "y"), ("user", "z"))))
     out = t.select(templates.as_text(templates.elements(talk, F.struct(*t.columns)), "<s>", "</s>").alias("x")).first().x
     assert out == "<s>S:be good;U0:x;A:y;U1:z;"
+
+
+def test_ids_of_texts_are_kept_and_conversations_dealt_over_tasks(spark):
+    import public_tokenizers
+
+    from weftline.plans import dialects
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    hits = templates._short_ids.cache_info().hits
+    assert list(templates._short_ids(path, "some text")) == list(templates._short_ids(path, "some text")) == templates._tokenizer(path).encode("some text", add_special_tokens=False).ids
+    assert templates._short_ids.cache_info().hits > hits
+    assert "RoundRobinPartitioning" in dialects.chat_template_tokens(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

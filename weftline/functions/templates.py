@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import pyarrow as pa
@@ -15,6 +16,8 @@ SLOTS = "array<struct<kind:string,value:string>>"
 PARTS = ("prefix", "user", "assistant", "system", "observation")
 #: A template's row. ``merged``: the system text stands inside the first user turn.
 SCHEMA = f"name string, {', '.join(f'{p} {SLOTS}' for p in PARTS)}, default_system string, merged boolean"
+#: Characters of a text whose ids a task keeps for the rows that follow.
+KEPT = 8192
 KINDS = ("text", "token", "bos", "eos")
 
 BOS, EOS = ("bos", ""), ("eos", "")
@@ -149,6 +152,12 @@ def _tokenizer(path: str):
     return found
 
 
+@lru_cache(maxsize=512)
+def _short_ids(path: str, text: str) -> array:
+    """The ids of a text of KEPT characters at most: templates of one conversation have many texts in common."""
+    return array("i", _tokenizer(path).encode(text, add_special_tokens=False).ids)
+
+
 def with_ids(df: DataFrame, column: str, path: str, bos: str | None, eos: str | None, name: str = "ids") -> DataFrame:
     """``df`` with the struct ``name`` (ids, ends) in place of the elements' ``column``: the token ids of all elements,
     each text encoded by itself, and where each turn ends among them, so that every prompt of a conversation is a prefix
@@ -169,7 +178,7 @@ def with_ids(df: DataFrame, column: str, path: str, bos: str | None, eos: str |
             if known is not None:
                 ids.append(known)
             elif value:
-                ids += tokenizer.encode(value, add_special_tokens=False).ids
+                ids += _short_ids(path, value) if len(value) <= KEPT else tokenizer.encode(value, add_special_tokens=False).ids
             ends[-1] = len(ids)
         return {"ids": ids, "ends": ends}
 

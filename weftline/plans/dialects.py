@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import templates, toolcalls
+from weftline.operators.batch import spread
 from weftline.plans.base import query, table
 from weftline.plans.prepared import chats
 
@@ -79,7 +80,7 @@ def _with_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = templates.table_of(spark)
     names = F.array(*map(F.lit, templates.TEMPLATES))
     t = F.broadcast(known.select("name", F.struct(*known.columns).alias("t")))
-    return chats(spark, sf_dir).withColumn("name", F.explode(names)).join(t, "name").select("conv_id", "name", templates.elements(F.col("turns"), F.col("t")).alias("e"))
+    return spread(chats(spark, sf_dir)).withColumn("name", F.explode(names)).join(t, "name").select("conv_id", "name", templates.elements(F.col("turns"), F.col("t")).alias("e"))
 
 
 @query(_TEMPLATE_SQL)
