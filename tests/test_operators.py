@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import answers, codemetrics, steps
-from weftline.operators import batch, evaluation, expansion, finetune, groupstats, policy, tabular, textquality
+from weftline.operators import batch, dedup, evaluation, expansion, finetune, groupstats, policy, tabular, textquality
 from weftline.sources import files
 from weftline.streaming import streams
 
@@ -256,3 +256,55 @@ def test_scores_of_refills_are_kept_and_records_are_dealt_over_tasks(spark):
     one = spark.createDataFrame([(i, ["Let x = 1", "So 2 + 3 = 5"], "x = 1") for i in range(50)], "id int, steps array<string>, code string").coalesce(1)
     assert expansion.expand_steps(one, "id", "steps").rdd.getNumPartitions() > 1
     assert expansion.rewrite_code(one, "id", "code").rdd.getNumPartitions() > 1
+
+
+def test_folds_of_a_feature_search_are_made_once(spark, monkeypatch):
+    made = []
+    fold = batch.stratified_fold
+    monkeypatch.setattr(batch, "stratified_fold", lambda *a: made.append(a[0].columns) or fold(*a))
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5), i % 2, "unused") for i in range(60)], "k int, a double, b double, y int, other string")
+    trace = tabular.search(df, ["a", "b"], "y", "k", rounds=2)
+    assert made == [["a", "b", "y", "k"]] and len(trace) == 2  # once a round and once more before, with all columns
+
+
+def test_costly_columns_are_made_once_for_equal_inputs(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, None, "b"), (4, "c", "b"), (5, None, "b")], "id int, x string, y string")
+    got = {r.id: (r.z, r.u) for r in batch.for_distinct(df, ["x", "y"], z=F.concat_ws("-", "x", "y"), u=F.expr("uuid()")).collect()}
+    assert {i: z for i, (z, _) in got.items()} == {1: "a", 2: "a", 3: "b", 4: "c-b", 5: "b"}
+    assert got[1] == got[2] and got[3] == got[5] and len(set(got.values())) == 3
+
+
+def test_resampled_extremes_of_prompts_of_many_sizes(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    rows = [(i, float(rng.randrange(5)) if i % 9 else rng.choice([float("nan"), float("inf"), 1.0, None])) for i in range(40) for _ in range(1 + i % 6)]
+    got = {r.p: r[1:] for r in evaluation.bootstrap(spark.createDataFrame(rows, "p int, v double"), "p", "v", 3, draws=50).collect()}
+    assert len(got) == 40
+    for p, found in got.items():
+        values = np.sort([float("nan") if v is None else v for q, v in rows if q == p])
+        pick = values[np.random.default_rng(42).integers(0, len(values), size=(50, 3))]
+        hi, lo = pick.max(axis=1), pick.min(axis=1)
+        with np.errstate(invalid="ignore"):
+            assert found == pytest.approx((hi.mean(), hi.std(), lo.mean(), lo.std()), nan_ok=True)
+
+
+def test_nearest_vectors_in_blocks_send_vectors_as_they_are(spark):
+    import numpy as np
+
+    x = np.random.default_rng(4).normal(size=(30, 4)).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>")
+    q, c = df.where("id < 12"), df.where("id >= 12")
+    near = dedup.nearest_vectors(q, c, block=5, rows=2)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    assert {r.query_id: (r.match_id, round(r.cosine, 9)) for r in near.collect()} == {i: (12 + int((u[i] @ u[12:].T).argmax()), round(float((u[i] @ u[12:].T).max()), 9)) for i in range(12)}
+    with pytest.raises(Exception, match="length 0"):
+        dedup.nearest_vectors(spark.createDataFrame([(1, [0.0, 0.0])], "id long, vec array<float>"), c).collect()
+
+
+def test_runs_of_words_are_grouped_by_plain_numbers(spark):
+    df = spark.createDataFrame([("s", "a b c d a b c d"), ("t", "a b")], "k string, t string")
+    out = evaluation.distinct_ngrams(df, "k", "t")
+    assert {r.k: round(r.distinct_share, 6) for r in out.collect()} == {"s": 0.8, "t": 0.0}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_zip" in plan and "sequence" not in plan  # no lambda for each run

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,21 +35,37 @@ def best_worst_expected(df: DataFrame, keys: list[str], uid: str, value: str, n:
 def bootstrap(df: DataFrame, uid: str, value: str, n: int, draws: int = 1000, seed: int = 42) -> DataFrame:
     """Per prompt mean and deviation, over ``draws`` resamples of n values with replacement, of their largest and
     smallest. The seed begins anew for each prompt, so prompts of one size share their draws; values are taken in
-    ascending order, so the result is stable. Prompts come as arrays, many in a batch."""
+    ascending order, so the result is stable. How often a place is the largest or smallest of a draw depends on a
+    prompt's size alone, so prompts of one size in a batch are a product of matrices; one that holds values that are
+    not finite is resampled by itself."""
 
     def run(batches):
         drawn = lru_cache(maxsize=64)(lambda size: np.random.default_rng(seed).integers(0, size, size=(draws, n)))
-        for pdf in batches:
-            rows = []
-            for key, values in zip(pdf[uid], pdf["_v"], strict=True):
-                pick = np.sort(np.asarray(values, dtype=float))[drawn(len(values))]
-                hi, lo = pick.max(axis=1), pick.min(axis=1)
-                rows.append((key, hi.mean(), hi.std(), lo.mean(), lo.std()))
-            yield pd.DataFrame(rows, columns=[uid, "best_mean", "best_std", "worst_mean", "worst_std"])
+        shares = lru_cache(maxsize=64)(lambda size: [np.bincount(edge(drawn(size), axis=1), minlength=size) / draws for edge in (np.max, np.min)])
+        for b in batches:
+            lists = b.column(1)
+            flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            out = np.empty((4, len(sizes)))
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                values = np.sort(flat[starts[at][:, None] + np.arange(size)], axis=1)
+                finite = np.isfinite(values).all(axis=1)
+                plain = values[finite]
+                gaps = plain - plain[:, :1]
+                for k, share in enumerate(shares(size)):
+                    mean = gaps @ share
+                    out[2 * k, at[finite]] = plain[:, 0] + mean
+                    out[2 * k + 1, at[finite]] = np.sqrt((gaps - mean[:, None]) ** 2 @ share)
+                for i in np.flatnonzero(~finite).tolist():
+                    pick = values[i][drawn(size)]
+                    hi, lo = pick.max(axis=1), pick.min(axis=1)
+                    out[:, at[i]] = hi.mean(), hi.std(), lo.mean(), lo.std()
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out)], [uid, "best_mean", "best_std", "worst_mean", "worst_std"])
 
     kind = dict(df.dtypes)[uid]
     values = F.collect_list(F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))).alias("_v")
-    return df.groupBy(uid).agg(values).mapInPandas(run, f"{uid} {kind}, best_mean double, best_std double, worst_mean double, worst_std double")
+    return df.groupBy(uid).agg(values).mapInArrow(run, f"{uid} {kind}, best_mean double, best_std double, worst_mean double, worst_std double")
 
 
 def majority(df: DataFrame, uid: str, answer: str, value: str, order: tuple[str, ...]) -> DataFrame:
@@ -76,10 +92,11 @@ def distinct_ngrams(df: DataFrame, key: str, text: str, n: int = 4) -> DataFrame
     gram is one row of the second step.
     """
     words = F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-    at = lambda i: [F.get("w", i + k) for k in range(n)]
-    gram = lambda i: F.struct(F.xxhash64(*at(i)).alias("a"), F.xxhash64(F.lit(n), *reversed(at(i))).alias("b"))
-    grams = df.select(key, words.alias("w")).where(F.size("w") >= n).select(key, F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - n), gram)).alias("g"))
-    counts = grams.groupBy(key, "g").agg(F.count("*").alias("c")).groupBy(key).agg((F.count("*") / F.sum("c")).alias("distinct_share"))
+    # shifted arrays side by side, so that what is done for each gram is compiled
+    shifted = F.arrays_zip(*(F.slice("w", F.lit(k + 1), F.size("w") - n + 1).alias(f"w{k}") for k in range(n)))
+    at = [F.col(f"g.w{k}") for k in range(n)]
+    grams = df.select(key, words.alias("w")).where(F.size("w") >= n).select(key, F.explode(shifted).alias("g")).select(key, F.xxhash64(*at).alias("a"), F.xxhash64(F.lit(n), *reversed(at)).alias("b"))
+    counts = grams.groupBy(key, "a", "b").agg(F.count("*").alias("c")).groupBy(key).agg((F.count("*") / F.sum("c")).alias("distinct_share"))
     return df.select(key).distinct().join(counts, key, "left").select(key, F.coalesce("distinct_share", F.lit(0.0)).alias("distinct_share"))
 
 
