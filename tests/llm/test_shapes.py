@@ -276,3 +276,11 @@ def test_vectors_of_other_dimensions_take_no_part(spark):
     rows = [(i, [float(i + 1), 1.0]) for i in range(10)] + [(40, [1.0, 2.0, 3.0]), (60, [1.0])]
     got = hilbert.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("id") % 20 == 0).collect()
     assert {r.query_id for r in got} == {0} and len(got) == 9
+
+
+def test_messages_of_groups_to_ranges_stay_few():
+    from weftline.llm import repeats
+
+    groups, ranges, bins = repeats.dealing(600, 10 << 30)
+    assert groups * ranges <= 6_500_000 and bins == 1200  # 24,576,000 before
+    assert repeats.dealing(12, 100) == (12, 12, 24)
