@@ -214,3 +214,9 @@ def test_training_learns_repetition_and_noise():
     model = quality.train(good[:200] + bad[:200], [1] * 200 + [0] * 200)
     assert (model.score(good[200:]) >= 0.5).mean() == 1.0
     assert (model.score(bad[200:]) < 0.5).mean() >= 0.9
+
+
+def test_packing_keeps_few_chunks():
+    from weftline.llm import tokens
+
+    assert tokens.CHUNK_ENTRIES < tokens.CACHE_ENTRIES

@@ -17,6 +17,8 @@ from weftline.llm.common import give_back, steps, table
 
 #: Entries that a worker's chunk cache holds before it starts again.
 CACHE_ENTRIES = 400_000
+#: Those of a byte-level vocabulary, whose packing comes last in the pipeline, when the JVM has its full size.
+CHUNK_ENTRIES = 200_000
 
 #: A regex for words of the lower-cased word vocabulary, as its tokenizer file states it (fixed value).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -231,7 +233,7 @@ class ByteBpe:
         if self.rare.search(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         first, *rest = text.split(" ")
-        if len(self.chunks) > CACHE_ENTRIES:
+        if len(self.chunks) > CHUNK_ENTRIES:
             self.chunks.clear()
         return array("I", self.fast.encode_ordinary(first)).tobytes() + b"".join(map(self.chunks.__getitem__, rest))
 
