@@ -267,6 +267,58 @@ def test_folds_of_a_feature_search_are_made_once(spark, monkeypatch):
     assert made == [["a", "b", "y", "k"]] and len(trace) == 2  # once a round and once more before, with all columns
 
 
+def test_trees_of_a_feature_search_take_equal_rows_once(spark, monkeypatch):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    taken = []
+    fit = DecisionTreeClassifier.fit
+    monkeypatch.setattr(DecisionTreeClassifier, "fit", lambda self, data, *a: taken.append(data.count()) or fit(self, data, *a))
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5), int(i % 7 > 3)) for i in range(600)], "k int, a double, b double, y int")
+    trace = tabular.search(df, ["a", "b"], "y", "k", rounds=2)
+    assert len(trace) == 2 and len(taken) >= 6
+    assert max(taken) <= 35 * 2  # different rows of two folds; 400 rows before
+
+
+def test_trees_of_counted_rows_are_those_of_all_rows(spark):
+    rng = random.Random(3)
+    rows = [(i, float(x), float(z), int(x + z + rng.randrange(4) > 9)) for i in range(3000) for x, z in [(rng.randrange(9), rng.randrange(6))]]
+    rows = tabular.folded(spark.createDataFrame(rows, "k int, a double, b double, y int"), "y", "k")
+    few = tabular.counted(rows, ["a", "b"], "y")
+    assert few.count() < 400 and few.agg({"_rows": "sum"}).first()[0] == 3000
+    want = tabular.cross_validated(rows, ["a", "b"], "y", "k")
+    assert tabular.cross_validated(few, ["a", "b"], "y", "k") == want and want["accuracy"] > 0.7
+
+
+def test_stratified_folds_are_the_same_in_every_run_and_spread_hot_keys(spark):
+    import hashlib
+
+    rows = [(i, i // 2 if i % 3 else None, [None, "x", "y"][i % 50 % 3 if i % 2 else 1]) for i in range(400)]  # one key of a third of the rows, one label of half of them
+    df = spark.createDataFrame(rows, "i int, key int, label string")
+    found = [{r.i: r.f for r in batch.stratified_fold(d, "label", "key", 3, "f", 20).collect()} for d in (df, df.orderBy("i", ascending=False), df.repartition(7))]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 400
+    out = batch.stratified_fold(df, "label", "key", 3, "f", 20)
+    assert out.columns == ["i", "key", "label", "f"]
+    for label in (None, "x", "y"):
+        own = [(k is not None, hashlib.md5(str(k).encode()).hexdigest() if k is not None else "", found[0][i]) for i, k, g in rows if g == label]
+        keys = sorted({r[:2] for r in own})
+        at = 0
+        for key in keys:  # the folds of a key's rows are those of its places
+            n = sum(r[:2] == key for r in own)
+            assert sorted(f for *r, f in own if tuple(r) == key) == sorted((at + j) % 3 for j in range(n))
+            at += n
+
+
+def test_codes_of_few_strings_are_sent_to_all_tasks(spark):
+    df = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(60)], "i int, c string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tabular.encoded(df, "c")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_costly_columns_are_made_once_for_equal_inputs(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, None, "b"), (4, "c", "b"), (5, None, "b")], "id int, x string, y string")
     got = {r.id: (r.z, r.u) for r in batch.for_distinct(df, ["x", "y"], z=F.concat_ws("-", "x", "y"), u=F.expr("uuid()")).collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.sources.shared import checkpointed
+from weftline.sources.shared import checkpointed, stored
 
 
 def with_position(df: DataFrame, order: list[str], name: str = "row_id", rows_per_range: int = 50_000) -> DataFrame:
@@ -156,12 +156,27 @@ def split(df: DataFrame, key: Column, share: float, seed: str = "") -> tuple[Dat
     return df.where(h >= share), df.where(h < share)
 
 
-def stratified_fold(df: DataFrame, label: str, key: str, folds: int, name: str = "fold") -> DataFrame:
-    """``df`` with the fold of each row: rows of a label, in the order of their key's hash, go round the folds. A label
-    may hold most of the rows: its places are counted range by range."""
-    hashed = df.withColumn("__h", F.md5(F.col(key).cast("string")))
-    placed = before_within(hashed, label, ["__h", key], F.lit(1), "__n")
-    return placed.withColumn(name, (F.col("__n") % folds).cast("int")).drop("__h", "__n")
+def stratified_fold(df: DataFrame, label: str, key: str, folds: int, name: str = "fold", rows_per_range: int = 250_000) -> DataFrame:
+    """``df`` with the fold of each row: rows of a label, in the order of their key's hash, go round the folds. Rows of
+    one key stand in the order of a hash of all their columns.
+
+    All rows are shuffled and sorted once, in ranges of the order, and written with their range and their place in it. A
+    label may hold most of the rows, and a key many: either is spread over ranges. Then only the labels' parts of ranges
+    are counted and summed.
+    """
+    n = max(1, -(-df.count() // rows_per_range))
+    rest = F.xxhash64(*(c for c, t in df.dtypes if "map<" not in t))
+    order = [label, "__h", key, "__r"]
+    ranged = df.withColumn("__h", F.unhex(F.md5(F.col(key).cast("string")))).withColumn("__r", rest).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = ranged.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()).drop("__h", "__r")
+    placed = stored(placed.withColumn("__i", (F.col("__i").bitwiseAND((1 << 33) - 1) % folds).cast("int")))
+    runs = placed.groupBy(F.col(label).alias("__g"), F.col("__p").alias("__q")).agg(F.count("*").alias("_n"))
+    earlier = lambda part, by: F.coalesce(F.sum("_n").over(Window.partitionBy(part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = checkpointed(runs.select("__g", "__q", F.pmod(earlier("__g", "__q") - earlier("__q", "__g"), F.lit(folds)).alias("__s")))
+    if shifts.count() <= KNOWN_ROWS:  # at most a row a range and a row a label
+        shifts = F.broadcast(shifts)
+    out = placed.join(shifts, F.col(label).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")))
+    return out.withColumn(name, ((F.col("__i") + F.col("__s")) % folds).cast("int")).drop("__p", "__i", "__g", "__q", "__s")
 
 
 def replicate(sources: list[tuple[DataFrame, int]]) -> DataFrame:

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.batch import before, with_position
-from weftline.sources.shared import checkpointed, shared_folder
+from weftline.operators.batch import KNOWN_ROWS, before, with_position
+from weftline.sources.shared import checkpointed, stored
 
 TARGET_NAMES = ("target", "label", "class", "y")
 
@@ -73,9 +72,11 @@ def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def encoded(df: DataFrame, column: str) -> DataFrame:
     """The column as codes of its distinct strings in order; null is the string 'missing'. The distinct strings, as
-    many as rows at worst, are numbered range by range."""
+    many as rows at worst, are found once and numbered range by range; up to KNOWN_ROWS are sent to all tasks."""
     v = F.coalesce(F.col(column).cast("string"), F.lit("missing"))
-    codes = with_position(df.select(v.alias("_v")).distinct(), ["_v"], "_c").withColumn("_c", F.col("_c").cast("int"))
+    codes = checkpointed(with_position(checkpointed(df.select(v.alias("_v")).distinct()), ["_v"], "_c").withColumn("_c", F.col("_c").cast("int")))
+    if codes.count() <= KNOWN_ROWS:
+        codes = F.broadcast(codes)
     return df.withColumn("_v", v).join(codes, "_v").withColumn(column, F.col("_c")).drop("_v", "_c")
 
 
@@ -113,37 +114,47 @@ def improved(before: dict[str, float], after: dict[str, float], task: str, least
 
 
 def folded(df: DataFrame, target: str, key: str, folds: int = 3) -> DataFrame:
-    """``df`` with its stratified fold (``_fold``), by the hash of a key, written once to the shared folder."""
+    """``df`` with its stratified fold (``_fold``), by the hash of a key; rows are written once to the shared folder."""
     from weftline.operators.batch import stratified_fold
 
-    path = f"{shared_folder(df.sparkSession)}/folds-{uuid.uuid4().hex}"
-    stratified_fold(df, target, key, folds, "_fold").write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return stratified_fold(df, target, key, folds, "_fold")
+
+
+def counted(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """The different rows of a table that ``folded`` made, each with its number (``_rows``), written to the shared folder.
+    Trees of these rows with that weight are trees of all rows. Spark's trees draw the rows among which they look for
+    thresholds by their places, so up to KNOWN_ROWS rows are put in order, for the same trees in every run."""
+    columns = list(dict.fromkeys(["_fold", *features, target]))
+    out = stored(df.groupBy(*columns).agg(F.count("*").alias("_rows")))
+    return out if out.count() > KNOWN_ROWS else stored(out.coalesce(1).sortWithinPartitions(*columns))
 
 
 def cross_validated(df: DataFrame, features: list[str], target: str, key: str, folds: int = 3, depth: int = 4) -> dict[str, float]:
     """Accuracy of decision trees over stratified folds; folds go by the hash of a key. A table that ``folded`` made
-    keeps its folds."""
+    keeps its folds, one that ``counted`` made stands for all rows that were counted."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler
 
     if "_fold" not in df.columns:
         df = folded(df, target, key, folds)
+    if "_rows" not in df.columns:
+        df = df.withColumn("_rows", F.lit(1))
     data = VectorAssembler(inputCols=features, outputCol="_x").transform(df)
-    data = data.select("_fold", "_x", F.col(target).cast("double").alias("_y"))
+    data = data.select("_fold", "_x", F.col(target).cast("double").alias("_y"), "_rows")
     hits = rows = 0
     for k in range(folds):
-        model = DecisionTreeClassifier(featuresCol="_x", labelCol="_y", maxDepth=depth, seed=42).fit(data.where(F.col("_fold") != k))
-        h, n = model.transform(data.where(F.col("_fold") == k)).agg(F.count_if(F.col("prediction") == F.col("_y")), F.count("*")).first()
-        hits, rows = hits + h, rows + n
+        model = DecisionTreeClassifier(featuresCol="_x", labelCol="_y", weightCol="_rows", maxDepth=depth, seed=42).fit(data.where(F.col("_fold") != k))
+        h, n = model.transform(data.where(F.col("_fold") == k)).agg(F.sum(F.when(F.col("prediction") == F.col("_y"), F.col("_rows"))), F.sum("_rows")).first()
+        hits, rows = hits + (h or 0), rows + (n or 0)
     return {"accuracy": hits / max(1, rows)}
 
 
 def search(df: DataFrame, features: list[str], target: str, key: str, rounds: int = 4, texts: list[str] | None = None) -> list[dict]:
     """The rounds of the feature loop: each proposes a column, checks the gates, and keeps it if trees get better. With
     ``texts`` each round proposes the columns of a feature text (see ``expressions``) and keeps all or none of them. The
-    folds are made once, for all rounds, of the columns that these can use."""
-    df = folded(df if texts is not None else df.select(*dict.fromkeys([*features, target, key])), target, key)
+    folds are made once, for all rounds, of the columns that these can use; without ``texts``, which may use any column,
+    equal rows are counted once, too, and all rounds work on the different ones."""
+    df = folded(df, target, key) if texts is not None else counted(folded(df.select(*dict.fromkeys([*features, target, key])), target, key), features, target)
     best, trace = cross_validated(df, features, target, key), []
     if texts is not None:
         from weftline.operators.expressions import robust
