@@ -37,7 +37,7 @@ def score_fill(fill: list[str], masked: str, before: list[str], after: list[str]
     for m in map(matcher, before + after):
         if m.real_quick_ratio() > near and m.quick_ratio() > near:
             near = max(near, m.ratio())
-    similarity = 0.0 if not text.strip() else 1.0 - min(1.0, max(0.0, (near - 0.55) / 0.45))
+    similarity = 0.0 if not text.strip() else (1.0 - near) / (1.0 - 0.55)  # exactly 0 for an equal step, 1 for none alike
     known = set(re.findall(r"[A-Za-z]\w*", " ".join(before + after + [masked])))
     new = {w for w in re.findall(r"\b[A-Za-z]\b", text)} - known
     logic = 0.0 if not text.strip() else 0.25 if any(u in text.lower() for u in UNSURE) else 0.45 if len(new) >= 3 else 0.86 if len(fill) <= 3 else 0.72
